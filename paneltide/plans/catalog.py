@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_analysis, catalog_features
+from . import catalog_analysis, catalog_columns, catalog_features
 
-_MODULES = [catalog_features, catalog_analysis]
+_MODULES = [catalog_features, catalog_analysis, catalog_columns]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
