@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_analysis, catalog_columns, catalog_features
+from . import catalog_analysis, catalog_columns, catalog_features, catalog_models
 
-_MODULES = [catalog_features, catalog_analysis, catalog_columns]
+_MODULES = [catalog_features, catalog_analysis, catalog_columns, catalog_models]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
