@@ -742,7 +742,7 @@ FROM d, range(1, 6) t(f) WHERE b <= f""", "daily_orders")
   {r('AVG(abs(total_orders - prediction) / CASE WHEN total_orders <> 0 THEN abs(total_orders) END)', 'mape')}
 FROM predictions""", "predictions")
     o["pinball_loss"] = duck_with(" UNION ALL ".join(
-        f"SELECT {a} AS alpha, {r(f'AVG(greatest({a} * (total_orders - {c}), ({a} - 1) * (total_orders - {c})))', 'pinball')}, "
+        f"SELECT CAST({a} AS DOUBLE) AS alpha, {r(f'AVG(greatest({a} * (total_orders - {c}), ({a} - 1) * (total_orders - {c})))', 'pinball')}, "
         f"{r(f'AVG(abs(total_orders - {c}))', 'mae')} FROM predictions"
         for a, c in ((0.1, "lower_bound"), (0.5, "prediction"), (0.9, "upper_bound"))), "predictions")
     o["entity_performance"] = duck_with(f"""SELECT restaurant_id, n, {r('rmse', 'rmse')}, {r('mae', 'mae')},

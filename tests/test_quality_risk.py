@@ -47,7 +47,7 @@ def test_duplicates_continuity_missing(spark):
 
 
 def test_risk_score_level_bounds(spark):
-    df = spark.createDataFrame([(10.0, 9.0, 10.5), (1.0, 0.0, 1.5), (-1.0, -2.0, 0.0), (4.0, 5.0, 3.0)],
+    df = spark.createDataFrame([(10.0, 9.0, 10.5), (1.0, 0.8, 1.5), (-1.0, -2.0, 0.0), (4.0, 5.0, 3.0)],
                                "prediction double, lower_bound double, upper_bound double")
     lo, hi = R.bounded("prediction", "lower_bound", "upper_bound")
     b = df.select("prediction", lo.alias("lower_bound"), hi.alias("upper_bound"))
