@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as ST
-from .ranks import ranked_values, value_counts, with_rank
+from ..session import cut_lineage
+from .ranks import ranked_values, value_counts
 
 
 def _pair_name(a: str, b: str) -> str:
@@ -41,26 +42,43 @@ def target_correlation(df: DataFrame, target: str, columns: Sequence[str], top:
     return out.limit(top) if top else out
 
 
+def spearman_many(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
+    """Spearman rho of each column with ``target`` in one ranking pass.
+
+    For each column only the rows where it and the target are both
+    non-null count (scipy on ``dropna()`` pairs).  The pairs of all columns
+    are stacked into one long table (feature, x, y); x and y are ranked per
+    feature with one grouped value-count ranking, joined back by value, and
+    ``corr`` of the ranks per feature is rho.  A row id is not needed: the
+    ranks depend only on the value within its feature.
+    """
+    cols = [c for c in columns if c != target]
+    y = F.col(target).cast("double")
+    parts = [df.select(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), y.alias("y"))
+             .where(F.col("x").isNotNull() & F.col("y").isNotNull()) for c in cols]
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    # the stacked pairs feed three branches (two value counts, the join back):
+    # materialise them once in the shared checkpoint folder
+    long = cut_lineage(long)
+    cx = long.groupBy("feature", F.lit("x").alias("side"), F.col("x").alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
+    cy = long.groupBy("feature", F.lit("y").alias("side"), F.col("y").alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
+    ranks = ranked_values(cx.unionByName(cy), "v", by=["feature", "side"]).select("feature", "side", "v", "avg_rank")
+    rx = ranks.where(F.col("side") == "x").select("feature", F.col("v").alias("x"), F.col("avg_rank").alias("rx"))
+    ry = ranks.where(F.col("side") == "y").select("feature", F.col("v").alias("y"), F.col("avg_rank").alias("ry"))
+    joined = long.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
+    return joined.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """C3 for one pair: (n, rho) on rows where both sides are non-null."""
-    pairs = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
-              .where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    ranked = with_rank(with_rank(pairs, "_x", "_rx"), "_y", "_ry")
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    return spearman_many(df, y, [x]).select("n", "rho")
 
 
 def target_spearman(df: DataFrame, target: str, columns: Sequence[str], min_rows: int = 100) -> DataFrame:
     """Spearman rho of each feature with the target (pairs needing > ``min_rows`` rows)."""
-    parts = []
-    for c in columns:
-        if c == target:
-            continue
-        s = spearman(df, c, target).select(F.lit(c).alias("feature"), "n", "rho")
-        parts.append(s)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("n") > min_rows)
+    return spearman_many(df, target, columns).where(F.col("n") > min_rows)
 
 
 def pearson_test(df: DataFrame, x: str, y: str) -> DataFrame:

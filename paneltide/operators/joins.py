@@ -120,3 +120,21 @@ def eval_two_tables(actual: DataFrame, predicted: DataFrame, target: str = "tota
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.avg(F.abs(err)).alias("mae"),
     )
+
+
+def flag_from_dates(df: DataFrame, dates: DataFrame, flag: str, date_col: str = "date",
+                    label_col: str | None = None) -> DataFrame:
+    """1/0 flag (and optional label) from a date list, e.g. holidays.
+
+    The date list is de-duplicated first so the left join cannot fan out;
+    AQE broadcasts it when it is small (a calendar-bounded list usually is).
+    """
+    keep = [F.col(date_col).alias("_fd")] + ([F.col(label_col).alias(label_col)] if label_col else [])
+    d = dates.select(*keep).dropDuplicates(["_fd"])
+    out = df.join(d, F.col(date_col) == F.col("_fd"), "left")
+    return out.withColumn(flag, F.col("_fd").isNotNull().cast("int")).drop("_fd")
+
+
+def dates_from_ranges(ranges: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """Union of inclusive date ranges -> distinct dates (explode + distinct)."""
+    return ranges.select(F.explode(F.sequence(F.col(start), F.col(end))).alias("date")).distinct()

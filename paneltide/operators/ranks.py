@@ -54,8 +54,14 @@ def bucket_of(key: Column, bounds: Sequence[float]) -> Column:
     return F.size(F.filter(arr, lambda b: b < key))
 
 
-def ranked_values(counts: DataFrame, value: str, values_per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
-    """Add ``before`` (count of smaller values) and ``avg_rank`` to a value-count table."""
+def ranked_values(counts: DataFrame, value: str, values_per_bucket: int = VALUES_PER_BUCKET,
+                  by: Sequence[str] = ()) -> DataFrame:
+    """Add ``before`` (count of smaller values) and ``avg_rank`` to a value-count table.
+
+    ``by``: rank independently within each group (e.g. one ranking per
+    feature in a long table); buckets are cut on the pooled values.
+    """
+    by = list(by)
     n_distinct = counts.count()
     n_buckets = max(1, math.ceil(n_distinct / values_per_bucket))
     if n_buckets == 1:
@@ -66,16 +72,19 @@ def ranked_values(counts: DataFrame, value: str, values_per_bucket: int = VALUES
         raw = keyed.approxQuantile("_key", probs, 1.0 / (4 * n_buckets))
         bounds = sorted(set(raw))
     b = counts.withColumn("_bucket", bucket_of(numeric_key(counts, value), bounds))
-    totals = b.groupBy("_bucket").agg(F.sum("cnt").alias("_bcnt"))
-    # at most len(bounds)+1 rows: a bounded, broadcastable table
+    totals = b.groupBy(*by, "_bucket").agg(F.sum("cnt").alias("_bcnt"))
+    # one row per (group, bucket): without groups at most len(bounds)+1 rows
     offsets = totals.select(
-        "_bucket",
-        F.coalesce(F.sum("_bcnt").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
+        *by, "_bucket",
+        F.coalesce(F.sum("_bcnt").over(Window.partitionBy(*by).orderBy("_bucket")
+                                       .rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_offset"),
     )
-    within = Window.partitionBy("_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    if not by:
+        offsets = F.broadcast(offsets)
+    within = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        b.join(F.broadcast(offsets), "_bucket")
+        b.join(offsets, [*by, "_bucket"])
         .withColumn("before", F.col("_offset") + F.coalesce(F.sum("cnt").over(within), F.lit(0)))
         .withColumn("avg_rank", F.col("before").cast("double") + (F.col("cnt").cast("double") + 1.0) / 2.0)
         .drop("_bucket", "_offset")

@@ -87,7 +87,56 @@ def q_sink_roundtrip(spark, sf):
     return spark.read.parquet(path)
 
 
+def q_read_if_exists(spark, sf):
+    """A written table read back, plus an absent path giving an empty frame of the schema."""
+    d = load_inputs(spark, sf).daily_orders
+    path = S.fresh_scratch(spark, "daily_orders_present")
+    S.write_parquet(d, path)
+    present = S.read_if_exists(spark, path, schemas.DAILY_ORDERS)
+    absent = S.read_if_exists(spark, path + "-absent", schemas.DAILY_ORDERS)
+    return present.unionByName(absent)
+
+
+def q_quality_report_text(spark, sf):
+    """The quality report written as text lines and read back."""
+    from ..operators import quality as D
+    i = load_inputs(spark, sf)
+    path = S.fresh_scratch(spark, "quality_report_txt")
+    S.write_report_text(D.quality_report(i.master, i.daily_orders, i.external_context), path)
+    return spark.read.text(path)
+
+
+# Holiday month-days and event ranges (month-day, inclusive) of the context.
+HOLIDAYS = [(101, "New Year"), (126, "Republic Day"), (501, "Labour Day"), (815, "Independence Day"),
+            (1002, "Gandhi Jayanti"), (1225, "Christmas"), (1231, "New Year's Eve")]
+EVENT_RANGES = [(1224, 1231), (101, 102), (1003, 1012)]
+
+
+def q_holiday_event_flags(spark, sf):
+    """Holiday flag + name from a date list, event flag from date ranges.
+
+    Holidays and event ranges are month-day rules expanded to real dates for
+    every year present in the series (explode of per-year ranges, distinct).
+    """
+    from ..operators import joins as JN
+    d = load_inputs(spark, sf).daily_orders.select("date").distinct()
+    years = d.select(F.year("date").alias("y")).distinct()
+    # the fixed rules are literal arrays exploded next to each year (a Generate, no join)
+    hol = F.array(*[F.struct(F.lit(m).alias("mmdd"), F.lit(n).alias("holiday_name")) for m, n in HOLIDAYS])
+    hol_dates = years.select("y", F.inline(hol)).select(
+        F.make_date("y", (F.col("mmdd") / 100).cast("int"), F.col("mmdd") % 100).alias("date"), "holiday_name")
+    rng = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in EVENT_RANGES])
+    ranges = years.select("y", F.inline(rng)).select(
+        F.make_date("y", (F.col("a") / 100).cast("int"), F.col("a") % 100).alias("start"),
+        F.make_date("y", (F.col("b") / 100).cast("int"), F.col("b") % 100).alias("end"))
+    out = JN.flag_from_dates(d, hol_dates, "is_holiday", label_col="holiday_name")
+    out = JN.flag_from_dates(out, JN.dates_from_ranges(ranges), "event_flag")
+    return out.select("date", "is_holiday", "holiday_name", "event_flag")
+
+
 QUERIES = {
+    "read_if_exists": q_read_if_exists, "quality_report_text": q_quality_report_text,
+    "holiday_event_flags": q_holiday_event_flags,
     "normalise_columns": q_normalise_columns, "rename_project": q_rename_project,
     "static_select": q_static_select, "filter_date_range": q_filter_date_range,
     "filter_flags": q_filter_flags, "semi_top_entities": q_semi_top_entities,
@@ -147,6 +196,15 @@ def oracles() -> dict[str, str]:
     o["median_fill"] = duck_with(_basic_sql(f"SELECT {', '.join(cols)} FROM basic, (SELECT {meds} FROM basic)"),
                                  "daily_orders")
     o["scan_roundtrip"] = duck_with("SELECT * FROM daily_orders", "daily_orders")
+    o["read_if_exists"] = duck_with("SELECT * FROM daily_orders", "daily_orders")
+    hol = " ".join(f"WHEN {m} THEN '{n.replace(chr(39), chr(39) * 2)}'" for m, n in HOLIDAYS)
+    mmdd = "(month(date) * 100 + dayofmonth(date))"
+    ev = " OR ".join(f"{mmdd} BETWEEN {a} AND {b}" for a, b in EVENT_RANGES)
+    o["holiday_event_flags"] = duck_with(f"""SELECT date,
+  CAST({mmdd} IN ({", ".join(str(m) for m, _ in HOLIDAYS)}) AS INT) AS is_holiday,
+  CASE {mmdd} {hol} END AS holiday_name,
+  CAST({ev} AS INT) AS event_flag
+FROM (SELECT DISTINCT date FROM daily_orders)""", "daily_orders")
     o["sink_roundtrip"] = duck_with("SELECT *, strftime(date, '%Y-%m') AS month_partition FROM daily_orders",
                                     "daily_orders")
     return o

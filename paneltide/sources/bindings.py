@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -164,10 +165,33 @@ class Inputs:
         return predictions(self.daily_orders)
 
 
-def load_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+_inputs: dict = {}
+
+
+def load_inputs(spark: SparkSession, sf_dir: str, cache: bool = True) -> Inputs:
+    """The three input tables derived from the driver tables.
+
+    With ``cache`` (the default) they are built once per session and
+    directory and persisted (memory, spilling to disk): every query of a
+    session then starts from the same materialised inputs instead of
+    re-aggregating lineitem and orders.  Persisted blocks lost with an
+    executor are recomputed from lineage.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if cache and key in _inputs:
+        return _inputs[key]
     daily = daily_orders(spark, sf_dir)
     mst = master(spark, sf_dir)
-    return Inputs(daily, mst, external_context(daily, mst))
+    if cache:
+        daily = daily.persist(StorageLevel.MEMORY_AND_DISK)
+        mst = mst.persist(StorageLevel.MEMORY_AND_DISK)
+    ctx = external_context(daily, mst)
+    if cache:
+        ctx = ctx.persist(StorageLevel.MEMORY_AND_DISK)
+    out = Inputs(daily, mst, ctx)
+    if cache:
+        _inputs[key] = out
+    return out
 
 
 # ---------------------------------------------------------------------------
