@@ -65,12 +65,25 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
                .withColumn("share_pct", F.col("count") * 100.0 / total)
 
 
-def describe_by(df: DataFrame, by: str | Column, value: str) -> DataFrame:
-    """Mean, exact median, sample std and count of ``value`` per group."""
+def describe_by(df: DataFrame, by: str, value: str, method: str = "auto") -> DataFrame:
+    """Mean, exact median, sample std and count of ``value`` per group.
+
+    ``method``: ``percentile`` (exact aggregate; one value map per group),
+    ``ranked`` (distributed exact median joined on the group), ``approx``,
+    or ``auto`` (size check on the number of distinct values).
+    """
+    from .ranks import add_group_quantiles, choose_quantile_method
+
     v = F.col(value).cast("double")
-    return df.groupBy(by).agg(
-        F.avg(v).alias("mean"), F.median(v).alias("median"),
-        F.stddev_samp(v).alias("std"), F.count(v).alias("count"))
+    method = choose_quantile_method(df, [value], method)
+    moments = [F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("count")]
+    if method == "ranked":
+        agg = df.groupBy(by).agg(*moments)
+        out = add_group_quantiles(agg, df, [by], value, [0.5], ["median"])
+    else:
+        med = F.median(v) if method == "percentile" else F.percentile_approx(v, 0.5, 10000).cast("double")
+        out = df.groupBy(by).agg(*moments, med.alias("median"))
+    return out.select(by, "mean", "median", "std", "count")
 
 
 def weather_impact(daily: DataFrame, context: DataFrame, master: DataFrame) -> DataFrame:
@@ -167,21 +180,44 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
                     (rng["lo"] + (F.col("bin") + 1) * width).alias("bin_end"), "count"))
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, std, min, 25/50/75 %, max per column (exact quantiles).
+def describe_numeric(df: DataFrame, columns: Sequence[str], method: str = "auto") -> DataFrame:
+    """Count, mean, std, min, 25/50/75 %, max per column (pandas ``describe``).
 
-    One aggregate over all columns, then unpivoted to one row per column.
+    Moments come from one aggregate over all columns.  Quartiles by
+    ``method``: ``"ranked"`` -- exact, from one grouped ranking of the
+    stacked (column, value) table, so no task ever holds all distinct values
+    of a column; ``"percentile"`` -- Spark's exact aggregate, whose final
+    merge holds one value->count map per column; ``"approx"`` --
+    ``percentile_approx``; ``"auto"`` (default) -- a size check: an
+    ``approx_count_distinct`` pass picks ``percentile`` while every column
+    stays under ``PERCENTILE_MAX_DISTINCT`` distinct values and ``ranked``
+    beyond it.
     """
-    aggs = []
+    from .ranks import exact_quantiles
+
+    from .ranks import choose_quantile_method
+
+    method = choose_quantile_method(df, columns, method)
+    moments = []
     for c in columns:
         v = F.col(c).cast("double")
-        aggs.append(F.struct(
-            F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-            F.min(v).alias("min"), F.percentile(v, 0.25).alias("p25"), F.percentile(v, 0.5).alias("p50"),
-            F.percentile(v, 0.75).alias("p75"), F.max(v).alias("max")).alias(c))
-    one = df.agg(*aggs)
+        fields = [F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"),
+                  F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
+        if method == "percentile":
+            fields += [F.percentile(v, q).alias(n) for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
+        elif method == "approx":
+            fields += [F.percentile_approx(v, q, 10000).cast("double").alias(n)
+                       for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
+        moments.append(F.struct(*fields).alias(c))
     stack = ", ".join(f"'{c}', `{c}`" for c in columns)
-    return one.selectExpr(f"stack({len(columns)}, {stack}) AS (column, s)").select("column", "s.*")
+    out = df.agg(*moments).selectExpr(f"stack({len(columns)}, {stack}) AS (column, s)").select("column", "s.*")
+    if method == "ranked":
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+                                            for c in columns])).alias("x")).select("x.*")
+        q = exact_quantiles(long, "v", [0.25, 0.5, 0.75], by=["column"]).select(
+            "column", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
+        out = out.join(q, "column", "left")
+    return out.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def profile_columns(df: DataFrame, approx_distinct: bool = False) -> DataFrame:

@@ -104,3 +104,82 @@ def with_rank(df: DataFrame, value: str, rank_col: str, values_per_bucket: int =
     """
     ranks = average_ranks(df, value, values_per_bucket).select(value, F.col("avg_rank").alias(rank_col))
     return df.join(ranks, value, "left")
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
+                    values_per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
+    """Exact quantiles with pandas' linear interpolation, without a single-task merge.
+
+    ``percentile`` keeps a value->count map per group and merges all maps in
+    one task, which grows with the number of distinct values.  Here the
+    distinct values are ranked with the bucketed prefix sums above; the
+    values at 0-based positions ``floor(h)`` and ``ceil(h)``, ``h = (n-1)q``,
+    are picked by a range test on each value's [before, before + cnt) and
+    interpolated.  Output: one row per group with ``q<i>`` columns.
+    """
+    by = list(by)
+    # NaN counts as missing, as in pandas
+    base = df.select(*by, F.col(value).cast("double").alias("_v")) \
+             .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counts = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("cnt"))
+    ranked = ranked_values(counts, "_v", values_per_bucket, by=by)
+    rj = ranked.select(*by, "_v", "before", "cnt")
+    inside = lambda p: (F.col("before") <= p) & (p < F.col("before") + F.col("cnt"))
+    if not by:
+        # one group: n is a scalar sub-query, the positions are expressions
+        # on it, and each probe is a filter of the ranked values (no join)
+        n = counts.select(F.sum("cnt")).scalar()
+        hs = [(n - 1).cast("double") * F.lit(float(q)) for q in probs]
+        picks = rj.select(F.struct(*[x for i, h in enumerate(hs) for x in (
+            F.max(F.when(inside(F.floor(h)), F.col("_v"))).alias(f"lo{i}"),
+            F.max(F.when(inside(F.ceil(h)), F.col("_v"))).alias(f"hi{i}"))])).scalar()
+        parts = [(picks[f"lo{i}"] + (h - F.floor(h)) * (picks[f"hi{i}"] - picks[f"lo{i}"])).alias(f"q{i}")
+                 for i, h in enumerate(hs)]
+        return counts.sparkSession.range(1).select(*parts)
+    n = counts.groupBy(*by).agg(F.sum("cnt").alias("_n"))
+    targets = []
+    for i, q in enumerate(probs):
+        h = (F.col("_n") - 1).cast("double") * F.lit(float(q))
+        targets.append(F.struct(F.lit(i).alias("qi"), F.floor(h).alias("lo"), F.ceil(h).alias("hi"),
+                                (h - F.floor(h)).alias("frac")))
+    pos = n.select(*by, F.explode(F.array(*targets)).alias("t")).select(*by, "t.*")
+    # equi-join on the group keys; each position matches exactly one distinct
+    # value's [before, before + cnt) inside its group
+    lo = pos.join(rj, [*by]).where(inside(F.col("lo"))).select(*by, "qi", "frac", F.col("_v").alias("v_lo"))
+    hi = pos.join(rj, [*by]).where(inside(F.col("hi"))).select(*by, "qi", F.col("_v").alias("v_hi"))
+    qv = lo.join(hi, [*by, "qi"]).select(
+        *by, "qi", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("qv"))
+    wide = qv.groupBy(*by).pivot("qi", list(range(len(probs)))).agg(F.first("qv"))
+    return wide.select(*by, *[F.col(f"`{i}`").alias(f"q{i}") for i in range(len(probs))])
+
+
+# Above this many distinct values a column's exact ``percentile`` buffer (a
+# value -> count map merged in one task per group) is considered too large.
+PERCENTILE_MAX_DISTINCT = 1_000_000
+
+
+def choose_quantile_method(df: DataFrame, columns: Sequence[str], method: str = "auto") -> str:
+    """Size check for exact quantiles: ``percentile`` below the distinct-value
+    bound (one ``approx_count_distinct`` pass), the ranked path above it."""
+    if method != "auto":
+        return method
+    nd = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in columns]).first()
+    return "percentile" if max((nd[c] or 0) for c in columns) <= PERCENTILE_MAX_DISTINCT else "ranked"
+
+
+def add_group_quantiles(agg: DataFrame, src: DataFrame, by: Sequence[str], value: str,
+                        probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Join ranked exact quantiles of ``value`` per ``by`` group onto ``agg``.
+
+    The join is null-safe on the group keys (a NULL group is a group too).
+    """
+    by = list(by)
+    q = exact_quantiles(src, value, probs, by=by)
+    q = q.select(*[F.col(k).alias(f"_qk{i}") for i, k in enumerate(by)],
+                 *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
+    cond = None
+    for i, k in enumerate(by):
+        c = agg[k].eqNullSafe(q[f"_qk{i}"])
+        cond = c if cond is None else cond & c
+    out = agg.join(q, cond, "left")
+    return out.drop(*[f"_qk{i}" for i in range(len(by))])

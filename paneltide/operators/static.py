@@ -27,19 +27,32 @@ DROP_COLUMNS = [
 YES_NO_COLUMNS = ["has_table_booking", "has_online_delivery", "is_delivering_now"]
 
 
-def _percentile(col: str, q: float, approx: bool):
-    if approx:
-        return F.percentile_approx(F.col(col).cast("double"), q, 10000)
+def _percentile(col: str, q: float, method: str):
+    if method == "approx":
+        return F.percentile_approx(F.col(col).cast("double"), q, 10000).cast("double")
     return F.percentile(F.col(col).cast("double"), q)
 
 
-def static_features(master: DataFrame, approx_percentiles: bool = False) -> DataFrame:
+def static_features(master: DataFrame, method: str = "auto") -> DataFrame:
+    """X3.  ``method`` picks how the two 75th percentiles are computed (see
+    ``ranks.choose_quantile_method``: exact aggregate below the distinct-value
+    bound, distributed exact quantiles above it, or ``approx``)."""
+    from .ranks import choose_quantile_method, exact_quantiles
+
     cols = master.columns
+    qcols = [c for c in ("average_cost_for_two", "votes") if c in cols]
+    method = choose_quantile_method(master, qcols, method) if qcols else "percentile"
+
+    def q75(c: str):
+        if c not in cols:
+            return F.lit(None).cast("double")
+        if method == "ranked":
+            return exact_quantiles(master, c, [0.75]).select("q0").scalar()
+        return _percentile(c, 0.75, method)
+
     stats = master.select(F.struct(
-        _percentile("average_cost_for_two", 0.75, approx_percentiles).alias("cost_q75")
-        if "average_cost_for_two" in cols else F.lit(None).alias("cost_q75"),
-        _percentile("votes", 0.75, approx_percentiles).alias("votes_q75")
-        if "votes" in cols else F.lit(None).alias("votes_q75"),
+        q75("average_cost_for_two").alias("cost_q75"),
+        q75("votes").alias("votes_q75"),
         F.count(F.lit(1)).alias("n_rows"),
     )).scalar()
 

@@ -146,6 +146,16 @@ def q_describe_numeric(spark, sf):
     return rounded(A.describe_numeric(load_inputs(spark, sf).daily_orders, DESCRIBE_COLUMNS))
 
 
+def q_describe_numeric_ranked(spark, sf):
+    """A16 through the distributed exact quantiles (the path used beyond the size check)."""
+    return rounded(A.describe_numeric(load_inputs(spark, sf).daily_orders, DESCRIBE_COLUMNS, method="ranked"))
+
+
+def q_iqr_outliers_ranked(spark, sf):
+    return rounded(D.iqr_outliers(load_inputs(spark, sf).daily_orders, ["total_orders", "total_revenue"],
+                                  method="ranked"))
+
+
 def q_profile_columns(spark, sf):
     return rounded(A.profile_columns(load_inputs(spark, sf).daily_orders))
 
@@ -359,6 +369,11 @@ def q_risk_by_daytype(spark, sf):
     return rounded(A.describe_by(_scored_days(spark, sf), "day_type", "risk_score"))
 
 
+def q_risk_by_daytype_ranked(spark, sf):
+    """A8 with the distributed exact median (the path beyond the size check)."""
+    return rounded(A.describe_by(_scored_days(spark, sf), "day_type", "risk_score", method="ranked"))
+
+
 def q_risk_holiday_summary(spark, sf):
     return rounded(R.risk_holiday_summary(_scored_days(spark, sf)))
 
@@ -377,7 +392,8 @@ QUERIES = {
     "weather_impact": q_weather_impact, "promotion_impact": q_promotion_impact, "flag_impact": q_flag_impact,
     "binned_mean_cancel": q_binned_mean_cancel, "binned_mean_rating": q_binned_mean_rating,
     "box_stats": q_box_stats, "flag_attr_means": q_flag_attr_means, "histogram": q_histogram,
-    "describe_numeric": q_describe_numeric, "profile_columns": q_profile_columns,
+    "describe_numeric": q_describe_numeric, "describe_numeric_ranked": q_describe_numeric_ranked,
+    "iqr_outliers_ranked": q_iqr_outliers_ranked, "profile_columns": q_profile_columns,
     "dataset_summary": q_dataset_summary, "entity_metric_summary": q_entity_metric_summary,
     "top_bottom_entities": q_top_bottom_entities, "entity_best_worst": q_entity_best_worst,
     "top_categories": q_top_categories,
@@ -397,6 +413,7 @@ QUERIES = {
     "riskiest_entities": q_riskiest_entities, "risk_by_dow": q_risk_by_dow,
     "risk_crosstab_entity": q_risk_crosstab_entity, "risk_crosstab_dow": q_risk_crosstab_dow,
     "risk_crosstab_daytype": q_risk_crosstab_daytype, "risk_by_daytype": q_risk_by_daytype,
+    "risk_by_daytype_ranked": q_risk_by_daytype_ranked,
     "risk_holiday_summary": q_risk_holiday_summary, "risk_validation_summary": q_risk_validation_summary,
     "risk_checks": q_risk_checks,
 }
@@ -588,6 +605,7 @@ SELECT bin, {r('lo + bin * ((hi - lo) / 20.0)', 'bin_start')}, {r('lo + (bin + 1
         f"{r(f'STDDEV_SAMP({c})', 'std')}, {r(f'MIN({c})', 'min')}, {r(f'quantile_cont({c}, 0.25)', 'p25')}, "
         f"{r(f'quantile_cont({c}, 0.5)', 'p50')}, {r(f'quantile_cont({c}, 0.75)', 'p75')}, {r(f'MAX({c})', 'max')} "
         f"FROM daily_orders" for c in DESCRIBE_COLUMNS), "daily_orders")
+    o["describe_numeric_ranked"] = o["describe_numeric"]
     types = {"restaurant_id": "bigint", "date": "date", "total_orders": "bigint", "total_revenue": "double",
              "avg_discount": "double", "promotion_flag": "boolean", "cancellation_rate": "double",
              "avg_delivery_time": "double"}
@@ -655,6 +673,7 @@ ANTI JOIN daily_orders d ON d.restaurant_id = s.restaurant_id AND d.date = s.dat
         f"{c} > q3 + 1.5 * (q3 - q1)) AS n_outliers FROM daily_orders, (SELECT quantile_cont({c}, 0.25) AS q1, "
         f"quantile_cont({c}, 0.75) AS q3 FROM daily_orders) GROUP BY q1, q3"
         for c in ("total_orders", "total_revenue")), "daily_orders")
+    o["iqr_outliers_ranked"] = o["iqr_outliers"]
     o["negative_values"] = duck_with(" UNION ALL ".join(
         f"SELECT '{c}' AS column, COUNT(*) FILTER (WHERE {c} < 0) AS n_negative FROM daily_orders"
         for c in ("total_orders", "total_revenue", "avg_discount", "avg_delivery_time")), "daily_orders")
@@ -781,6 +800,7 @@ SELECT restaurant_id, {r('avg_risk', 'avg_risk')}, {r('med_risk', 'med_risk')},
     o["risk_crosstab_dow"] = _with_scored(_crosstab_sql("day_name", "scored_days"), days=True)
     o["risk_crosstab_daytype"] = _with_scored(_crosstab_sql("day_type", "scored_days"), days=True)
     o["risk_by_daytype"] = _with_scored(_describe_sql("day_type", "risk_score", "scored_days", "day_type"), days=True)
+    o["risk_by_daytype_ranked"] = o["risk_by_daytype"]
     o["risk_holiday_summary"] = _with_scored(f"""SELECT day_type, COUNT(*) AS n, {r('AVG(risk_score)', 'mean_risk')},
   {r('quantile_cont(risk_score, 0.5)', 'median_risk')}, {r('STDDEV_SAMP(risk_score)', 'std_risk')},
   {r("AVG(CAST(risk_level = 'Low Risk' AS INT)) * 100", 'low_risk_pct')},

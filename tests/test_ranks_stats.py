@@ -84,3 +84,19 @@ def test_entity_split_matches_sorted_cut(spark):
     k = int(len(srt) * 0.8)
     exp = set(map(tuple, srt.iloc[:k][["restaurant_id", "date"]].to_numpy()))
     assert set(map(tuple, got[got.split == "train"][["restaurant_id", "date"]].to_numpy())) == exp
+
+
+def test_exact_quantiles_match_pandas(spark):
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 500), "v": np.round(rng.normal(0, 1, 500), 2)})
+    pdf.loc[::17, "v"] = np.nan
+    df = spark.createDataFrame(pdf)
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    for per_bucket in (1_000_000, 7):
+        one = RK.exact_quantiles(df, "v", probs, values_per_bucket=per_bucket).first()
+        exp = pdf["v"].quantile(probs).to_numpy()
+        assert np.allclose([one[f"q{i}"] for i in range(5)], exp)
+        grp = RK.exact_quantiles(df, "v", probs, by=["g"], values_per_bucket=per_bucket).toPandas().set_index("g")
+        for g, sub in pdf.groupby("g"):
+            assert np.allclose(grp.loc[g, [f"q{i}" for i in range(5)]].to_numpy(float),
+                               sub["v"].quantile(probs).to_numpy())

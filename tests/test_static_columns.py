@@ -82,3 +82,10 @@ def test_normalise_names():
 def test_yes_no_never_casts(spark):
     df = spark.createDataFrame([("Yes",), ("yes",), ("YES",), ("No",), (None,)], "c string")
     assert [r[0] for r in df.select(S.yes_no_flag("c")).collect()] == [1, 1, 0, 0, 0]
+
+
+def test_static_features_methods_agree(spark):
+    m = _master(spark)
+    a = static_features(m, method="percentile").orderBy("restaurant_id", "city").collect()
+    b = static_features(m, method="ranked").orderBy("restaurant_id", "city").collect()
+    assert [r.asDict() for r in a] == [r.asDict() for r in b]
