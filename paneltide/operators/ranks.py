@@ -72,6 +72,14 @@ def ranked_values(counts: DataFrame, value: str, values_per_bucket: int = VALUES
         raw = keyed.approxQuantile("_key", probs, 1.0 / (4 * n_buckets))
         bounds = sorted(set(raw))
     b = counts.withColumn("_bucket", bucket_of(numeric_key(counts, value), bounds))
+    within = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    if not bounds:
+        # a single bucket (at most ``values_per_bucket`` distinct values): no offsets to add
+        return (
+            b.withColumn("before", F.coalesce(F.sum("cnt").over(within), F.lit(0)))
+            .withColumn("avg_rank", F.col("before").cast("double") + (F.col("cnt").cast("double") + 1.0) / 2.0)
+            .drop("_bucket")
+        )
     totals = b.groupBy(*by, "_bucket").agg(F.sum("cnt").alias("_bcnt"))
     # one row per (group, bucket): without groups at most len(bounds)+1 rows
     offsets = totals.select(
@@ -82,7 +90,6 @@ def ranked_values(counts: DataFrame, value: str, values_per_bucket: int = VALUES
     )
     if not by:
         offsets = F.broadcast(offsets)
-    within = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
         b.join(offsets, [*by, "_bucket"])
         .withColumn("before", F.col("_offset") + F.coalesce(F.sum("cnt").over(within), F.lit(0)))

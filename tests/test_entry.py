@@ -42,3 +42,12 @@ def test_oracle_sample(spark, name):
             a = s[c].astype(float).sort_values().to_numpy()
             b = d[c].astype(float).sort_values().to_numpy()
             assert ((abs(a - b) < 1e-6) | (pd.isna(a) & pd.isna(b))).all(), c
+
+
+@pytest.mark.parametrize("name", ["temporal_features", "static_features", "time_split", "entity_split",
+                                  "mann_whitney", "target_spearman", "describe_numeric_ranked",
+                                  "holiday_event_flags", "city_date_spine", "quality_report", "risk_checks"])
+def test_plan_has_no_cross_join_or_python(spark, name):
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "BatchEvalPython", "ArrowEvalPython"):
+        assert node not in plan, (name, node)
