@@ -197,6 +197,11 @@ def oracles() -> dict[str, str]:
                                  "daily_orders")
     o["scan_roundtrip"] = duck_with("SELECT * FROM daily_orders", "daily_orders")
     o["read_if_exists"] = duck_with("SELECT * FROM daily_orders", "daily_orders")
+    from . import catalog_analysis
+    report = catalog_analysis.oracles()["quality_report"]
+    o["quality_report_text"] = (
+        "SELECT concat_ws(' | ', dataset, \"check\", concat_ws(': ', COALESCE(\"column\", '-'), "
+        "CAST(value AS VARCHAR))) AS value FROM (" + report + ") r")
     hol = " ".join(f"WHEN {m} THEN '{n.replace(chr(39), chr(39) * 2)}'" for m, n in HOLIDAYS)
     mmdd = "(month(date) * 100 + dayofmonth(date))"
     ev = " OR ".join(f"{mmdd} BETWEEN {a} AND {b}" for a, b in EVENT_RANGES)
