@@ -48,6 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared (cluster-visible) folder")
+        # local test session only: a scratch folder on this machine
         configured = tempfile.mkdtemp(prefix="paneltide-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

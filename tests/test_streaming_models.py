@@ -40,3 +40,33 @@ def test_quantile_boost_coverage(spark):
         m = Q.fit_quantile_boost(df, "y", a, n_rounds=15, learning_rate=0.2, num_leaves=8)
         cov = m.transform(df).select(F.avg((F.col("y") <= F.col("prediction")).cast("double"))).first()[0]
         assert abs(cov - a) < 0.06, (a, cov)
+
+
+def test_positional_folds_match_unshuffled_kfold(spark):
+    import datetime as dt
+    from paneltide.operators.models import positional_folds
+    rows = [(rid, dt.date(2024, 1, 1) + dt.timedelta(days=d)) for d in range(7) for rid in (3, 1, 2)]
+    rows += [(9, dt.date(2024, 1, 3))]                      # 22 rows -> fold sizes 8, 7, 7
+    df = spark.createDataFrame(rows, "restaurant_id long, date date")
+    got = positional_folds(df, 3).toPandas().sort_values(["date", "restaurant_id"]).reset_index(drop=True)
+    n = len(got)
+    sizes = [n // 3 + (1 if i < n % 3 else 0) for i in range(3)]
+    exp = np.repeat(np.arange(3), sizes)
+    assert list(got["fold"]) == list(exp)
+
+
+def test_start_scoring_writes_checkpointed_stream(spark):
+    from paneltide.streaming.scoring import start_scoring
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"restaurant_id": np.arange(20) % 4, "date": pd.date_range("2024-03-01", periods=20).date,
+                        "total_orders": rng.integers(0, 9, 20), "prediction": rng.random(20) * 9})
+    pdf["lower_bound"] = pdf["prediction"] - 1.0
+    pdf["upper_bound"] = pdf["prediction"] + 2.0
+    src = tempfile.mkdtemp(prefix="pt-stream-in-")
+    sink = tempfile.mkdtemp(prefix="pt-stream-out-")
+    spark.createDataFrame(pdf, schemas.PREDICTIONS).write.mode("overwrite").parquet(src)
+    q = start_scoring(spark, src, sink, query_name=f"risk_scores_{os.getpid()}")
+    q.awaitTermination(120)
+    out = spark.read.parquet(sink)
+    assert out.count() == 20
+    assert set(out.columns) >= {"risk_score", "risk_level", "day_name"}
