@@ -68,7 +68,7 @@ def fill_constant(df: DataFrame, value, subset: Sequence[str] | None = None) ->
 
 
 def median_fill(df: DataFrame, columns: Sequence[str] | None = None, medians_from: DataFrame | None = None,
-                approx: bool = False) -> DataFrame:
+                approx: bool = False, method: str = "auto") -> DataFrame:
     """Fill numeric NULLs with column medians.
 
     ``medians_from`` = the frame whose medians are used (default ``df``
@@ -83,9 +83,19 @@ def median_fill(df: DataFrame, columns: Sequence[str] | None = None, medians_fro
     cols = [c for c in cols if c in src.columns]
     if not cols:
         return df
-    med = (lambda c: F.percentile_approx(F.col(c).cast("double"), 0.5, 10000)) if approx else \
-          (lambda c: F.median(F.col(c).cast("double")))
-    stats = src.select(F.struct(*[med(c).alias(c) for c in cols])).scalar()
+    from .ranks import choose_quantile_method, exact_quantiles
+
+    method = "approx" if approx else choose_quantile_method(src, cols, method)
+    if method == "ranked":
+        # every column's median from one grouped ranking of the stacked values
+        long = src.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+                                             for c in cols])).alias("x")).select("x.*")
+        meds = exact_quantiles(long, "v", [0.5], by=["column"])
+        stats = meds.select(F.map_from_entries(F.collect_list(F.struct("column", "q0")))).scalar()
+    else:
+        med = (lambda c: F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).cast("double")) \
+            if method == "approx" else (lambda c: F.median(F.col(c).cast("double")))
+        stats = src.select(F.struct(*[med(c).alias(c) for c in cols])).scalar()
     types = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for c in df.columns:

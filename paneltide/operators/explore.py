@@ -121,7 +121,7 @@ def binned_mean(df: DataFrame, col: str, edges, labels, target: str) -> DataFram
              .groupBy("bin", "bin_order").agg(F.avg(target).alias(f"mean_{target}"))
 
 
-def box_stats(df: DataFrame, group: str | Column, value: str) -> DataFrame:
+def box_stats(df: DataFrame, group: str | Column, value: str, method: str = "auto") -> DataFrame:
     """Box-plot numbers per group (quartiles + whiskers, no fliers).
 
     Pass 1: exact quartiles per group.  Pass 2: the whiskers are the min/max
@@ -129,10 +129,18 @@ def box_stats(df: DataFrame, group: str | Column, value: str) -> DataFrame:
     aggregate after joining the per-group fences back (one row per group).
     """
     g = group if isinstance(group, Column) else F.col(group)
+    from .ranks import add_group_quantiles, choose_quantile_method
+
     base = df.select(g.alias("group"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    q = base.groupBy("group").agg(
-        F.percentile("_v", 0.25).alias("q1"), F.percentile("_v", 0.5).alias("median"),
-        F.percentile("_v", 0.75).alias("q3"), F.count(F.lit(1)).alias("n"))
+    method = choose_quantile_method(base, ["_v"], method)
+    if method == "ranked":
+        q = add_group_quantiles(base.groupBy("group").agg(F.count(F.lit(1)).alias("n")), base, ["group"], "_v",
+                                [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    else:
+        pct = (lambda p: F.percentile("_v", p)) if method == "percentile" else \
+              (lambda p: F.percentile_approx("_v", p, 10000).cast("double"))
+        q = base.groupBy("group").agg(pct(0.25).alias("q1"), pct(0.5).alias("median"), pct(0.75).alias("q3"),
+                                      F.count(F.lit(1)).alias("n"))
     fenced = base.join(q.select("group", "q1", "q3"), "group")
     iqr = F.col("q3") - F.col("q1")
     inside = (F.col("_v") >= F.col("q1") - 1.5 * iqr) & (F.col("_v") <= F.col("q3") + 1.5 * iqr)
@@ -251,11 +259,20 @@ def dataset_summary(daily: DataFrame) -> DataFrame:
     )
 
 
-def metric_summary(df: DataFrame, metric: str) -> DataFrame:
+def metric_summary(df: DataFrame, metric: str, method: str = "auto") -> DataFrame:
     """Count, mean, median, std of a metric across entities."""
+    from .ranks import choose_quantile_method, exact_quantiles
+
     v = F.col(metric).cast("double")
-    return df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"),
-                  F.median(v).alias("median"), F.stddev_samp(v).alias("std"))
+    method = choose_quantile_method(df, [metric], method)
+    if method == "ranked":
+        med = exact_quantiles(df, metric, [0.5]).select("q0").scalar()
+    elif method == "approx":
+        med = F.percentile_approx(v, 0.5, 10000).cast("double")
+    else:
+        med = F.median(v)
+    return df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), med.alias("median"),
+                  F.stddev_samp(v).alias("std"))
 
 
 # ---------------------------------------------------------------------------

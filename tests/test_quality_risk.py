@@ -57,3 +57,48 @@ def test_risk_score_level_bounds(spark):
     assert out[1]["l"] == "Medium Risk"
     assert out[2]["s"] is None and out[2]["l"] is None          # point = -1 -> NULL, not inf
     assert out[3]["lower_bound"] == 4.0 and out[3]["upper_bound"] == 4.0
+
+
+def _scored_sample(spark):
+    import numpy as np
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(300):
+        p = float(rng.integers(1, 30))
+        lo, hi = p - float(rng.integers(0, 5)), p + float(rng.integers(0, 12))
+        rows.append((int(i % 7), dt.date(2024, 1, 1) + dt.timedelta(days=i // 7), int(rng.integers(0, 40)),
+                     p, lo, hi, "Holiday" if i % 10 == 0 else "Regular Day"))
+    df = spark.createDataFrame(rows, "restaurant_id long, date date, total_orders long, prediction double, "
+                                     "lower_bound double, upper_bound double, day_type string")
+    return R.score(df)
+
+
+def test_quantile_methods_agree(spark):
+    from paneltide.operators import explore as A
+    from paneltide.operators.columns import median_fill
+    s = _scored_sample(spark)
+
+    def rows(df, key):
+        return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()),
+                      key=lambda t: str(t[key]))
+
+    assert rows(R.validation_summary(s, "percentile"), 0) == rows(
+        R.validation_summary(s, "ranked").select(*R.validation_summary(s, "percentile").columns), 0)
+    a = R.risk_holiday_summary(s, "percentile")
+    assert rows(a, 0) == rows(R.risk_holiday_summary(s, "ranked").select(*a.columns), 0)
+    b = A.box_stats(s, "day_type", "abs_error", "percentile")
+    assert rows(b, 0) == rows(A.box_stats(s, "day_type", "abs_error", "ranked").select(*b.columns), 0)
+    m = A.metric_summary(s, "risk_score", "percentile")
+    assert rows(m, 0) == rows(A.metric_summary(s, "risk_score", "ranked").select(*m.columns), 0)
+    d = A.describe_by(s, "day_type", "risk_score", "percentile")
+    assert rows(d, 0) == rows(A.describe_by(s, "day_type", "risk_score", "ranked").select(*d.columns), 0)
+    holes = s.withColumn("risk_score", F.when(F.col("total_orders") % 3 == 0, None).otherwise(F.col("risk_score")))
+    from paneltide.operators import ranks as RK
+    mf = median_fill(holes, ["risk_score"])
+    exp = holes.select(F.median("risk_score")).first()[0]
+    got = mf.where(F.col("total_orders") % 3 == 0).select(F.min("risk_score"), F.max("risk_score")).first()
+    assert abs(got[0] - exp) < 1e-12 and abs(got[1] - exp) < 1e-12
+    assert RK.choose_quantile_method(holes, ["risk_score"]) == "percentile"
+    mr = median_fill(holes, ["risk_score", "abs_error"], method="ranked")
+    got2 = mr.where(F.col("total_orders") % 3 == 0).select(F.min("risk_score")).first()[0]
+    assert abs(got2 - exp) < 1e-12
