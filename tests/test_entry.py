@@ -51,3 +51,26 @@ def test_plan_has_no_cross_join_or_python(spark, name):
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "BatchEvalPython", "ArrowEvalPython"):
         assert node not in plan, (name, node)
+
+
+def test_temporal_features_keep_rows_and_partitioned_windows(spark):
+    from paneltide.plans import features as X
+    from paneltide.sources.bindings import load_inputs
+    i = load_inputs(spark, SF)
+    t = X.temporal_features(i.daily_orders, i.external_context, i.master)
+    assert t.count() == i.daily_orders.count()
+    plan = X.temporal_window_features(i.daily_orders)._jdf.queryExecution().executedPlan().toString()
+    window_lines = [ln for ln in plan.splitlines() if "Window [" in ln]
+    assert window_lines and all("restaurant_id" in ln.split("]")[-2] or "restaurant_id" in ln
+                                for ln in window_lines)
+
+
+def test_split_sizes_and_disjoint(spark):
+    from pyspark.sql import functions as F
+    from paneltide.operators.split import time_split
+    from paneltide.sources.bindings import load_inputs
+    d = load_inputs(spark, SF).daily_orders
+    s = time_split(d.select("restaurant_id", "date"), 0.2)
+    n = d.count()
+    assert s.where(F.col("split") == "train").count() == int(n * 0.8)
+    assert s.select("restaurant_id", "date").distinct().count() == n
