@@ -171,7 +171,7 @@ def positional_folds(df: DataFrame, n_folds: int = 3, order: str = "date", tie:
     over the distinct values) + its place among the rows sharing that value.
     """
     per = df.groupBy(order).agg(F.count(F.lit(1)).alias("cnt"))
-    before = ranked_values(per, order).select(order, "before")
+    before = ranked_values(per, order, bounded=True).select(order, "before")  # dates: calendar-bounded
     n = df.select(F.count(F.lit(1))).scalar()
     pos = F.col("before") + F.row_number().over(Window.partitionBy(order).orderBy(tie)) - 1
     # sklearn KFold: the first n % k folds hold one row more

@@ -55,14 +55,16 @@ def bucket_of(key: Column, bounds: Sequence[float]) -> Column:
 
 
 def ranked_values(counts: DataFrame, value: str, values_per_bucket: int = VALUES_PER_BUCKET,
-                  by: Sequence[str] = ()) -> DataFrame:
+                  by: Sequence[str] = (), bounded: bool = False) -> DataFrame:
     """Add ``before`` (count of smaller values) and ``avg_rank`` to a value-count table.
 
     ``by``: rank independently within each group (e.g. one ranking per
     feature in a long table); buckets are cut on the pooled values.
+    ``bounded``: the caller guarantees at most ``values_per_bucket`` distinct
+    values (e.g. calendar dates), so the counting pass is skipped.
     """
     by = list(by)
-    n_distinct = counts.count()
+    n_distinct = 0 if bounded else counts.count()
     n_buckets = max(1, math.ceil(n_distinct / values_per_bucket))
     if n_buckets == 1:
         bounds: list[float] = []

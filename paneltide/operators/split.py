@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 from .ranks import ranked_values, with_rank
 
 
-def _boundary(df: DataFrame, key: str, test_size: float):
-    """(split_idx, boundary key value, rows before the boundary key) as scalar columns."""
+def _boundary(df: DataFrame, key: str, test_size: float, bounded: bool = False):
+    """(split_idx, boundary key value, rows before the boundary key) as scalar columns.
+
+    ``bounded``: the key has a calendar-bounded number of distinct values
+    (dates), so its prefix sums need no bucketing pass.
+    """
     n = df.select(F.count(F.lit(1))).scalar()
     split_idx = F.floor(n.cast("double") * F.lit(1.0 - test_size)).cast("bigint")
     per_key = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("cnt"))
     # rows before each key value: bucketed prefix sums, no single-task window
-    cum = ranked_values(per_key, key)
+    cum = ranked_values(per_key, key, bounded=bounded)
     b = cum.where((F.col("before") < split_idx) & (F.col("before") + F.col("cnt") >= split_idx)) \
            .select(F.struct(F.col(key).alias("k"), F.col("before").alias("before"))).scalar()
     return split_idx, b
@@ -36,7 +40,7 @@ def time_split(df: DataFrame, test_size: float = 0.2, date: str = "date",
     position comes from the distributed rank helper, since one date can
     hold every entity).
     """
-    split_idx, b = _boundary(df, date, test_size)
+    split_idx, b = _boundary(df, date, test_size, bounded=True)
     on_b = df.where(F.col(date) == b["k"])
     ranked = with_rank(on_b, tie, "_pos")  # tie is unique within a date
     inside = ranked.withColumn(
