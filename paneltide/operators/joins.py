@@ -98,6 +98,12 @@ def entity_spine(daily: DataFrame, entity: str = "restaurant_id") -> DataFrame:
     return bounds.select(entity, F.explode(F.sequence("_d0", "_d1")).alias("date"))
 
 
+def densify(daily: DataFrame, entity: str = "restaurant_id") -> DataFrame:
+    """Calendar-complete series: every day in each entity's [first, last]
+    range, absent days as rows of NULLs (row lags then become calendar lags)."""
+    return entity_spine(daily, entity).join(daily, [entity, "date"], "left")
+
+
 def city_date_spine(daily: DataFrame, context: DataFrame) -> DataFrame:
     """Dense city x day spine over the global date range of the series."""
     rng = daily.select(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi"))).scalar()

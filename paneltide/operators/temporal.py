@@ -45,8 +45,11 @@ def series_window(entity: str = ENTITY, order: str = DATE) -> WindowSpec:
     return Window.partitionBy(entity).orderBy(order)
 
 
-def trailing(w: WindowSpec, n: int) -> WindowSpec:
-    """Frame of the current row and the ``n-1`` rows before it."""
+def trailing(w: WindowSpec, n: int, leak_safe: bool = False) -> WindowSpec:
+    """Frame of the current row and the ``n-1`` rows before it; with
+    ``leak_safe`` the ``n`` rows before the current one (today excluded)."""
+    if leak_safe:
+        return w.rowsBetween(-n, -1)
     return w.rowsBetween(-(n - 1), Window.currentRow)
 
 
@@ -57,13 +60,13 @@ def lag_columns(col: str, lags: Iterable[int], prefix: str,
 
 
 def rolling_stat(col: str, n: int, stat: str, w: WindowSpec | None = None,
-                 min_periods: int = 1) -> Column:
+                 min_periods: int = 1, leak_safe: bool = False) -> Column:
     """Rolling statistic over the last ``n`` rows including the current one.
 
     ``min_periods`` follows pandas: fewer non-null values in the frame than
     that gives NULL.  ``std`` is the sample deviation (one value -> NULL).
     """
-    w = trailing(w or series_window(), n)
+    w = trailing(w or series_window(), n, leak_safe)
     x = F.col(col).cast("double")
     agg = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
            "sum": F.sum}[stat](x).over(w)
@@ -73,12 +76,12 @@ def rolling_stat(col: str, n: int, stat: str, w: WindowSpec | None = None,
 
 
 def rolling_columns(col: str, windows: Iterable[int], stats: Sequence[str], prefix: str,
-                    w: WindowSpec | None = None, min_periods: int = 1) -> list[Column]:
+                    w: WindowSpec | None = None, min_periods: int = 1, leak_safe: bool = False) -> list[Column]:
     short = {"mean": "rmean", "std": "rstd", "min": "rmin", "max": "rmax", "sum": "rsum"}
     out = []
     for n in windows:
         for s in stats:
-            out.append(rolling_stat(col, n, s, w, min_periods).alias(f"{prefix}{short[s]}_{n}"))
+            out.append(rolling_stat(col, n, s, w, min_periods, leak_safe).alias(f"{prefix}{short[s]}_{n}"))
     return out
 
 
@@ -142,7 +145,7 @@ def ewm_mean_sliding(col: str, span: int = 7, w: WindowSpec | None = None,
 
 
 def ewm_mean(col: str, span: int = 7, w: WindowSpec | None = None,
-             history: int = EWM_HISTORY) -> Column:
+             history: int = EWM_HISTORY, leak_safe: bool = False) -> Column:
     """Exponentially weighted mean with ``adjust=False`` (pandas ``ewm``).
 
     ``y0 = x0``, ``yt = (1-a)*y(t-1) + a*xt`` with ``a = 2/(span+1)``.  There
@@ -150,9 +153,11 @@ def ewm_mean(col: str, span: int = 7, w: WindowSpec | None = None,
     the bounded trailing frame with the higher-order ``aggregate`` (JVM side,
     no Python), in the same order of operations as pandas, so results are
     bit-compatible.  The frame is ``history`` rows (see ``EWM_HISTORY``).
-    NULL inputs are skipped, as ``collect_list`` drops them.
+    NULL inputs are skipped, as ``collect_list`` drops them.  ``leak_safe``:
+    the mean up to the previous row (today's value not included).
     """
-    w = (w or series_window()).rowsBetween(-history, Window.currentRow)
+    w = (w or series_window())
+    w = w.rowsBetween(-history - 1, -1) if leak_safe else w.rowsBetween(-history, Window.currentRow)
     a = 2.0 / (span + 1.0)
     hist = F.collect_list(F.col(col).cast("double")).over(w)
     return F.aggregate(
@@ -180,15 +185,23 @@ def revenue_lag_columns(w: WindowSpec | None = None) -> list[Column]:
     return lag_columns("total_revenue", REVENUE_LAGS, "revenue_lag_", w)
 
 
-def order_rolling_columns(w: WindowSpec | None = None) -> list[Column]:
-    return rolling_columns("total_orders", ROLLING_WINDOWS, ROLLING_STATS, "orders_", w)
+def order_rolling_columns(w: WindowSpec | None = None, leak_safe: bool = False) -> list[Column]:
+    return rolling_columns("total_orders", ROLLING_WINDOWS, ROLLING_STATS, "orders_", w, leak_safe=leak_safe)
 
 
-def revenue_rolling_columns(w: WindowSpec | None = None) -> list[Column]:
-    return rolling_columns("total_revenue", REVENUE_ROLLING_WINDOWS, ["mean"], "revenue_", w)
+def revenue_rolling_columns(w: WindowSpec | None = None, leak_safe: bool = False) -> list[Column]:
+    return rolling_columns("total_revenue", REVENUE_ROLLING_WINDOWS, ["mean"], "revenue_", w, leak_safe=leak_safe)
 
 
-def trend_columns(w: WindowSpec | None = None) -> list[Column]:
+def trend_columns(w: WindowSpec | None = None, leak_safe: bool = False) -> list[Column]:
+    """Diffs, momentum and exponential mean.
+
+    ``leak_safe``: the diffs and the momentum contain today's target
+    (``diff_1 + lag_1 = target``), so they are dropped and the exponential
+    mean stops at the previous row.
+    """
+    if leak_safe:
+        return [ewm_mean("total_orders", 7, w, leak_safe=True).alias("orders_ewm_7")]
     return [
         diff_column("total_orders", 1, w).alias("orders_diff_1"),
         diff_column("total_orders", 7, w).alias("orders_diff_7"),

@@ -152,7 +152,22 @@ def q_join_entity_avg(spark, sf):
                    .select("restaurant_id", "city", "aggregate_rating", "avg_total_orders"))
 
 
+def q_leak_safe_features(spark, sf):
+    """X2 with frames ending at the previous row and the target-bearing columns dropped."""
+    i = load_inputs(spark, sf)
+    return rounded(X.temporal_features(i.daily_orders, i.external_context, i.master, leak_safe=True))
+
+
+def q_calendar_lags(spark, sf):
+    """Lags over the densified (calendar-complete) series: calendar lags, not row lags."""
+    dense = J.densify(load_inputs(spark, sf).daily_orders)
+    return dense.select("restaurant_id", "date", "total_orders",
+                        *W.lag_columns("total_orders", [1, 7], "calendar_lag_"))
+
+
 QUERIES = {
+    "leak_safe_features": q_leak_safe_features,
+    "calendar_lags": q_calendar_lags,
     "temporal_features": q_temporal_features,
     "basic_features": q_basic_features,
     "order_lags": q_order_lags,
@@ -473,8 +488,42 @@ FROM master m JOIN (SELECT restaurant_id, AVG(total_orders) AS avg_total_orders
     return duck_with(body, "daily_orders", "master")
 
 
+_WINDOWS_SAFE = """
+WINDOW w AS (PARTITION BY restaurant_id ORDER BY date),
+       w7 AS (PARTITION BY restaurant_id ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
+       w14 AS (PARTITION BY restaurant_id ORDER BY date ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING),
+       w30 AS (PARTITION BY restaurant_id ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING),
+       wh AS (PARTITION BY restaurant_id ORDER BY date ROWS BETWEEN 301 PRECEDING AND 1 PRECEDING)
+"""
+
+
+def o_leak_safe_features() -> str:
+    ewm = ("list_reduce(LIST(CAST(total_orders AS DOUBLE)) OVER wh, "
+           "lambda a, v: a * CAST(0.75 AS DOUBLE) + v * CAST(0.25 AS DOUBLE))")
+    cols = (_daily_rounded() + _calendar_sql()
+            + _lags_sql("total_orders", W.ORDER_LAGS, "orders_lag_")
+            + _lags_sql("total_revenue", W.REVENUE_LAGS, "revenue_lag_")
+            + _rolling_sql() + _revenue_rolling_sql() + [r(ewm, "orders_ewm_7")])
+    win = "SELECT " + ",\n  ".join(cols) + "\nFROM daily_orders\n" + _WINDOWS_SAFE
+    body = f"WITH f AS ({win})\nSELECT f.*, {_CONTEXT_COLS}\nFROM f {_CONTEXT_JOIN}"
+    return duck_with(body, "daily_orders", "master", "external_context")
+
+
+def o_calendar_lags() -> str:
+    body = """WITH s AS (SELECT restaurant_id, CAST(unnest(generate_series(d0, d1, INTERVAL 1 DAY)) AS DATE) AS date
+  FROM (SELECT restaurant_id, MIN(date) AS d0, MAX(date) AS d1 FROM daily_orders GROUP BY restaurant_id))
+SELECT s.restaurant_id, s.date, d.total_orders,
+  CAST(LAG(d.total_orders, 1) OVER w AS DOUBLE) AS calendar_lag_1,
+  CAST(LAG(d.total_orders, 7) OVER w AS DOUBLE) AS calendar_lag_7
+FROM s LEFT JOIN daily_orders d ON d.restaurant_id = s.restaurant_id AND d.date = s.date
+WINDOW w AS (PARTITION BY s.restaurant_id ORDER BY s.date)"""
+    return duck_with(body, "daily_orders")
+
+
 def oracles() -> dict[str, str]:
     return {
+        "leak_safe_features": o_leak_safe_features(),
+        "calendar_lags": o_calendar_lags(),
         "temporal_features": o_temporal_features(),
         "basic_features": o_basic_features(),
         "order_lags": _keyed_sql(_lags_sql("total_orders", W.ORDER_LAGS, "orders_lag_")),

@@ -22,23 +22,30 @@ def basic_features(daily: DataFrame) -> DataFrame:
     return daily.select("*", *basic_calendar_columns("date"), *W.basic_window_columns(w))
 
 
-def temporal_window_features(daily: DataFrame) -> DataFrame:
-    """Calendar + order/revenue lags + rolling + trend, before the context merge."""
+def temporal_window_features(daily: DataFrame, leak_safe: bool = False) -> DataFrame:
+    """Calendar + order/revenue lags + rolling + trend, before the context merge.
+
+    ``leak_safe=False`` reproduces the reference (rolling frames, momentum
+    and the exponential mean include the current row, diffs are kept).
+    ``leak_safe=True`` ends every frame at the previous row and drops the
+    columns that contain the target.
+    """
     w = W.series_window()
     return daily.select(
         "*",
         *calendar_columns("date"),
         *W.order_lag_columns(w),
         *W.revenue_lag_columns(w),
-        *W.order_rolling_columns(w),
-        *W.revenue_rolling_columns(w),
-        *W.trend_columns(w),
+        *W.order_rolling_columns(w, leak_safe),
+        *W.revenue_rolling_columns(w, leak_safe),
+        *W.trend_columns(w, leak_safe),
     )
 
 
-def temporal_features(daily: DataFrame, context: DataFrame, master: DataFrame) -> DataFrame:
+def temporal_features(daily: DataFrame, context: DataFrame, master: DataFrame,
+                      leak_safe: bool = False) -> DataFrame:
     """The full temporal feature table, one row per (restaurant_id, date)."""
-    return merge_context(temporal_window_features(daily), context, master)
+    return merge_context(temporal_window_features(daily, leak_safe), context, master)
 
 
 def static_features(master: DataFrame) -> DataFrame:
