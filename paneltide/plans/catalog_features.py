@@ -165,7 +165,15 @@ def q_calendar_lags(spark, sf):
                         *W.lag_columns("total_orders", [1, 7], "calendar_lag_"))
 
 
+def q_feature_profile(spark, sf):
+    """A17 on the temporal feature table, with the feature-group labels."""
+    from ..operators.explore import feature_profile
+    i = load_inputs(spark, sf)
+    return rounded(feature_profile(X.temporal_features(i.daily_orders, i.external_context, i.master)))
+
+
 QUERIES = {
+    "feature_profile": q_feature_profile,
     "leak_safe_features": q_leak_safe_features,
     "calendar_lags": q_calendar_lags,
     "temporal_features": q_temporal_features,
@@ -520,8 +528,29 @@ WINDOW w AS (PARTITION BY s.restaurant_id ORDER BY s.date)"""
     return duck_with(body, "daily_orders")
 
 
+def o_feature_profile() -> str:
+    from ..operators.explore import feature_group
+    cols = [c.split(" AS ")[-1].strip() for c in _daily_rounded() + _calendar_sql()
+            + _lags_sql("total_orders", W.ORDER_LAGS, "orders_lag_")
+            + _lags_sql("total_revenue", W.REVENUE_LAGS, "revenue_lag_")
+            + _rolling_sql() + _revenue_rolling_sql() + _trend_sql()] + ["is_holiday", "event_flag", "weather_encoded"]
+    types = {"restaurant_id": "bigint", "date": "date", "total_orders": "bigint", "promotion_flag": "boolean"}
+    ints = {"day_of_week", "day_of_month", "day_of_year", "week", "month", "quarter", "year", "is_weekend",
+            "is_month_start", "is_month_end", "week_of_month", "is_holiday", "event_flag", "weather_encoded"}
+    parts = []
+    for c in cols:
+        t = types.get(c, "int" if c in ints else "double")
+        parts.append(f"SELECT '{c}' AS column, '{feature_group(c)}' AS feature_group, '{t}' AS dtype, "
+                     f"COUNT(*) FILTER (WHERE {c} IS NULL) AS n_null, "
+                     f"{r(f'COUNT(*) FILTER (WHERE {c} IS NULL) * 100.0 / COUNT(*)', 'null_pct')} FROM t")
+    body = (f"WITH f AS ({_temporal_window_sql()}),\nt AS MATERIALIZED (SELECT f.*, {_CONTEXT_COLS} FROM f "
+            f"{_CONTEXT_JOIN})\n" + "\nUNION ALL ".join(parts))
+    return duck_with(body, "daily_orders", "master", "external_context")
+
+
 def oracles() -> dict[str, str]:
     return {
+        "feature_profile": o_feature_profile(),
         "leak_safe_features": o_leak_safe_features(),
         "calendar_lags": o_calendar_lags(),
         "temporal_features": o_temporal_features(),
