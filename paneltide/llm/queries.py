@@ -8,12 +8,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, extendible, langid, multiset_hash, packing, piece_codec, secrets, simple8b, windows
+from . import bottomk, extendible, fuzzy_lines, langid, multiset_hash, packing, piece_codec, secrets, simple8b, windows
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # where the package isn't installed, Python workers find it beside the driver's copy
+def importable(spark: SparkSession) -> None:
+    """Where the package isn't installed, Python workers find it at the driver's path."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
@@ -31,6 +35,10 @@ def op3_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.fingerprints(_documents(spark, sf_dir))
 
 
+def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.dedup_lines(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.document_lengths(_documents(spark, sf_dir)))
 
@@ -59,7 +67,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_simple8b, op3_multiset_fingerprint, op5_best_fit_packing, op6_piece_codec, op7_exact_dedup, op8_repeated_windows, op9_bottomk_near_dedup, op10_secret_scan)
+    f.__name__: f for f in (op1_language_id, op2_simple8b, op3_multiset_fingerprint, op4_fuzzy_line_dedup, op5_best_fit_packing, op6_piece_codec, op7_exact_dedup, op8_repeated_windows, op9_bottomk_near_dedup, op10_secret_scan)
 }
 
 ORACLES = {
