@@ -143,7 +143,7 @@ def redact(docs: DataFrame, repo: str = "doc_id", owner: str = "source", copied_
     spans = (live.select("row_id", "text_key", F.struct(F.col("value_start").alias("start"), F.col("end"), "kind").alias("s")).distinct()
              .groupBy("row_id", "text_key").agg(F.array_sort(F.collect_list("s")).alias("_found")))
     # first of overlapping ones: fold left to right, taking a span only where the last taken one has ended
-    free = F.aggregate("_found", F.array().cast("array<struct<start:int,end:int,kind:string>>"), lambda kept, s: F.when(F.coalesce(F.element_at(kept, -1)["end"] <= s["start"], F.lit(True)), F.concat(kept, F.array(s))).otherwise(kept))
+    free = F.aggregate("_found", F.array().cast("array<struct<start:int,end:int,kind:string>>"), lambda kept, s: F.when(F.coalesce(F.try_element_at(kept, F.lit(-1))["end"] <= s["start"], F.lit(True)), F.concat(kept, F.array(s))).otherwise(kept))
     spans = spans.select("row_id", "text_key", free.alias("_spans"))
     own = docs.columns
     out = with_keys(docs).join(spans, ["row_id", "text_key"], "left")
