@@ -107,7 +107,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def next_links(rows: DataFrame, parts: int) -> DataFrame:
-    """``next_id``, ``next_key`` of every distinct (row_id, text_key) of ``rows``, in ascending order; after the last, the first.
+    """``next_id``, ``next_key`` of every distinct row of ``rows`` (row_id, text_key, known, n_chars), in ascending order; after the last, the first.
 
     Only ids move.  Rows go to contiguous ranges of ``row_id``; a table of one
     row per range says where the last row of each goes on.
@@ -120,7 +120,7 @@ def next_links(rows: DataFrame, parts: int) -> DataFrame:
     follow = firsts.select("_range", F.coalesce(F.lead("_first").over(ring), F.first("_first").over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_follow"))
     out = ranged.withColumn("_after", after).join(F.broadcast(follow), "_range")
     out = out.withColumn("_next", F.coalesce("_after", "_follow"))
-    return out.select("row_id", "text_key", "n_chars", F.col("_next.row_id").alias("next_id"), F.col("_next.text_key").alias("next_key"))
+    return out.select("row_id", "text_key", "known", "n_chars", F.col("_next.row_id").alias("next_id"), F.col("_next.text_key").alias("next_key"))
 
 
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -135,15 +135,16 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed(docs)
-    links = next_links(rows.select("row_id", "text_key", F.length("text").alias("n_chars")), parts)
+    links = next_links(rows.select("row_id", "text_key", F.col("doc_id").isNotNull().alias("known"), F.length("text").alias("n_chars")), parts)
+    rows = rows.select("row_id", "text_key", "text")  # the same columns in both joins: texts are shuffled once
     share = F.floor(F.col("n_chars") / 4).cast("int")
     # to each document, from the next one: the piece that goes into its edited text, and the fingerprint
-    givers = links.select(F.col("next_id").alias("row_id"), F.col("next_key").alias("text_key"), F.col("row_id").alias("to_id"), F.col("text_key").alias("to_key"), share.alias("take"))
-    given = vector(rows.select("row_id", "text_key", "text").join(givers, ["row_id", "text_key"]), "text", "next_vector")
-    given = (given.select(F.col("to_id").alias("row_id"), F.col("to_key").alias("text_key"), F.substring("text", F.lit(1), F.col("take")).alias("piece"), "next_vector")
-             .groupBy("row_id", "text_key").agg(F.first("piece").alias("piece"), F.first("next_vector").alias("next_vector")))
+    givers = links.select(F.col("next_id").alias("row_id"), F.col("next_key").alias("text_key"), F.col("row_id").alias("to_id"), F.col("text_key").alias("to_key"), "known", share.alias("take"))
+    given = vector(rows.join(givers, ["row_id", "text_key"]), "text", "next_vector")
+    given = (given.select(F.col("to_id").alias("row_id"), F.col("to_key").alias("text_key"), F.substring("text", F.lit(1), F.col("take")).alias("piece"), "next_vector", "known")
+             .groupBy("row_id", "text_key", "known").agg(F.first("piece").alias("piece"), F.first("next_vector").alias("next_vector")))
     out = rows.join(given, ["row_id", "text_key"]).withColumn("n_chars", F.length("text"))
     out = out.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - share), "piece"))
     out = vector(vector(out, "text", "v"), "edited", "e")
-    return out.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), to_hex(F.col("v")).alias("fingerprint"), to_hex(F.col("e")).alias("edited_fingerprint"),
+    return out.select(F.when(F.col("known"), F.col("row_id")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), to_hex(F.col("v")).alias("fingerprint"), to_hex(F.col("e")).alias("edited_fingerprint"),
                       likeness(F.col("v"), F.col("e")).alias("near_edited"), likeness(F.col("v"), F.col("next_vector")).alias("near_next"))
