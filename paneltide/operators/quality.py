@@ -17,20 +17,10 @@ from pyspark.sql import types as T
 
 from .joins import entity_spine
 
-# Candidate names of the target columns (the reference's list extended
-# with the names the daily table really has).
-ORDER_COLUMN_CANDIDATES = ["orders", "order_count", "num_orders", "total_orders"]
-REVENUE_COLUMN_CANDIDATES = ["revenue", "sales", "income", "total_revenue"]
-ID_COLUMN_CANDIDATES = ["restaurant_id", "Restaurant ID", "id", "res_id", "store_id"]
-
 # Allowed weather labels of the context.
 WEATHER_LABELS = ["Clear", "Cloudy", "Rainy", "Stormy", "Snowy", "Unknown"]
 
 
-def find_column(df: DataFrame, candidates: Sequence[str]) -> str | None:
-    return next((c for c in candidates if c in df.columns), None)
-
-
 def missing_by_column(df: DataFrame, dataset: str) -> DataFrame:
     """Null count per column (one aggregate, unpivoted)."""
     one = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
@@ -108,23 +98,20 @@ def negative_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.selectExpr(f"stack({len(columns)}, {stack}) AS (column, n_negative)")
 
 
-def quality_report(master: DataFrame, daily: DataFrame, context: DataFrame) -> DataFrame:
+def quality_report(master: DataFrame, daily: DataFrame, context: DataFrame, id_col: str = "restaurant_id",
+                   targets: Sequence[str] = ("total_orders", "total_revenue")) -> DataFrame:
     """Every check of the data-quality report as rows of one table."""
     rows = []
     for name, df in (("restaurants", master), ("daily_orders", daily), ("external_context", context)):
         rows.append(missing_total(df, name).select(
             "dataset", F.lit("missing_values").alias("check"), F.lit(None).cast("string").alias("column"),
             F.col("n_missing").cast("double").alias("value")))
-    id_col = find_column(master, ID_COLUMN_CANDIDATES)
-    if id_col:
-        rows.append(duplicate_ids(master, id_col).select(
-            F.lit("restaurants").alias("dataset"), F.lit("duplicate_ids").alias("check"),
-            F.lit(id_col).alias("column"), F.col("n_duplicates").cast("double").alias("value")))
+    rows.append(duplicate_ids(master, id_col).select(
+        F.lit("restaurants").alias("dataset"), F.lit("duplicate_ids").alias("check"),
+        F.lit(id_col).alias("column"), F.col("n_duplicates").cast("double").alias("value")))
     rows.append(date_continuity(daily).agg(F.count(F.lit(1)).cast("double").alias("value")).select(
         F.lit("daily_orders").alias("dataset"), F.lit("entities_with_missing_dates").alias("check"),
         F.lit("date").alias("column"), "value"))
-    targets = [c for c in (find_column(daily, ORDER_COLUMN_CANDIDATES),
-                           find_column(daily, REVENUE_COLUMN_CANDIDATES)) if c]
     if targets:
         rows.append(iqr_outliers(daily, targets).select(
             F.lit("daily_orders").alias("dataset"), F.lit("iqr_outliers").alias("check"),

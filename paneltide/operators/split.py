@@ -33,7 +33,7 @@ def _boundary(df: DataFrame, key: str, test_size: float, bounded: bool = False):
 
 def time_split(df: DataFrame, test_size: float = 0.2, date: str = "date",
                tie: str = "restaurant_id") -> DataFrame:
-    """Adds ``split`` = 'train' / 'test'; order = (date, tie).
+    """Adds ``split`` = 'train' / 'test'; order = (date, tie), NULL dates last (test).
 
     Rows before the boundary date are train, after it test; on the boundary
     date the first ``split_idx - before`` rows by ``tie`` are train (their
@@ -42,17 +42,20 @@ def time_split(df: DataFrame, test_size: float = 0.2, date: str = "date",
     """
     split_idx, b = _boundary(df, date, test_size, bounded=True)
     on_b = df.where(F.col(date) == b["k"])
-    ranked = with_rank(on_b, tie, "_pos")  # tie is unique within a date
+    # equal ties share an average rank: each takes its own place around it
+    own = Window.partitionBy(tie)
+    place = F.row_number().over(own.orderBy(tie)) - (F.count(F.lit(1)).over(own) + 1) / 2
+    ranked = with_rank(on_b, tie, "_pos").withColumn("_pos", F.col("_pos") + place)
     inside = ranked.withColumn(
         "split", F.when(b["before"] + F.col("_pos") <= split_idx, "train").otherwise("test")).drop("_pos")
-    rest = df.where((F.col(date) != b["k"]) | b["k"].isNull()).withColumn(
+    rest = df.where(~F.col(date).eqNullSafe(b["k"]) | b["k"].isNull()).withColumn(
         "split", F.when(F.col(date) < b["k"], "train").otherwise("test"))
     return rest.unionByName(inside)
 
 
 def entity_split(df: DataFrame, test_size: float = 0.2, entity: str = "restaurant_id",
                  date: str = "date") -> DataFrame:
-    """The notebook's "time-based" split, which really cuts by entity.
+    """The notebook's "time-based" split, which really cuts by entity; NULL entities are last (test).
 
     Order = (entity, date); the boundary entity's rows (one series, bounded
     by the calendar) are ordered by a window partitioned by that entity.
@@ -61,7 +64,7 @@ def entity_split(df: DataFrame, test_size: float = 0.2, entity: str = "restauran
     pos = F.row_number().over(Window.partitionBy(entity).orderBy(date))
     on_b = df.where(F.col(entity) == b["k"]).withColumn(
         "split", F.when(b["before"] + pos <= split_idx, "train").otherwise("test"))
-    rest = df.where((F.col(entity) != b["k"]) | b["k"].isNull()).withColumn(
+    rest = df.where(~F.col(entity).eqNullSafe(b["k"]) | b["k"].isNull()).withColumn(
         "split", F.when(F.col(entity) < b["k"], "train").otherwise("test"))
     return rest.unionByName(on_b)
 

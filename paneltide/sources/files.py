@@ -48,9 +48,12 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_series(df: DataFrame, path: str, date_col: str = "date") -> None:
-    """Daily series sink: Parquet partitioned by month, rows clustered by entity and date."""
+    """Daily series sink: Parquet partitioned by month, rows clustered by entity and date.
+
+    Months are rebalanced, not hashed: a large month is written by several tasks.
+    """
     out = df.withColumn("month_partition", F.date_format(date_col, "yyyy-MM"))
-    out = out.repartition("month_partition").sortWithinPartitions("restaurant_id", date_col)
+    out = out.hint("rebalance", "month_partition").sortWithinPartitions("month_partition", "restaurant_id", date_col)
     out.write.mode("overwrite").partitionBy("month_partition").parquet(path)
 
 
