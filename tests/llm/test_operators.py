@@ -242,3 +242,19 @@ def test_pipeline(spark, tmp_path, docs):
     docs.drop("score").write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() > 0 and {"doc_id", "bin_id"} <= set(out.columns)
+
+
+def test_line_votes_by_rows_and_in_arrays_agree(spark):
+    """Lines on both sides of BYTE_PAIRS word pairs get the majority bits of the same pair hashes; repeated rows stay apart."""
+    from pyspark.sql import functions as F
+
+    made = [" ".join(f"w{i * 7 % 31}" for i in range(n)) for n in (8, fuzzy_lines.BYTE_PAIRS + 1, fuzzy_lines.BYTE_PAIRS + 2, 400)]
+    rows = [(i, text) for i, text in enumerate(made)] + [(1, made[1])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fuzzy_lines.line_table(table).collect()
+    assert len(got) == len(rows)
+    for row in got:
+        words = made[row["row_id"]].split(" ")
+        pairs = spark.createDataFrame(list(zip(words, words[1:])), "x string, y string").select(F.xxhash64("x", "y").alias("h")).collect()
+        want = sum(1 << j for j in range(fuzzy_lines.BITS) if sum((r["h"] >> j) & 1 for r in pairs) * 2 > len(pairs))
+        assert row["sim"] == want
