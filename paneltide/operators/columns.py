@@ -68,39 +68,30 @@ def fill_constant(df: DataFrame, value, subset: Sequence[str] | None = None) ->
 
 
 def median_fill(df: DataFrame, columns: Sequence[str] | None = None, medians_from: DataFrame | None = None,
-                approx: bool = False, method: str = "auto") -> DataFrame:
-    """Fill numeric NULLs with column medians.
+                method: str = "exact") -> DataFrame:
+    """Fill numeric NULLs and NaNs with column medians.
 
     ``medians_from`` = the frame whose medians are used (default ``df``
     itself, as the reference does for train and test alike).  The exact
     median is pandas' (mean of the two middle values); ``ml.feature.Imputer``
     would give the lower middle value instead.  All medians come from one
-    aggregate read as a scalar sub-query, so the fill is a plain projection.
-    ``approx=True`` uses ``percentile_approx`` for very large inputs.
+    ranking read as a scalar sub-query, so the fill is a plain projection.
+    ``method="approx"`` uses ``percentile_approx``.
     """
     src = medians_from if medians_from is not None else df
     cols = list(columns) if columns is not None else numeric_columns(df)
     cols = [c for c in cols if c in src.columns]
     if not cols:
         return df
-    from .ranks import choose_quantile_method, exact_quantiles
-
-    method = "approx" if approx else choose_quantile_method(src, cols, method)
-    if method == "ranked":
-        # every column's median from one grouped ranking of the stacked values
-        long = src.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
-                                             for c in cols])).alias("x")).select("x.*")
-        meds = exact_quantiles(long, "v", [0.5], by=["column"])
-        stats = meds.select(F.map_from_entries(F.collect_list(F.struct("column", "q0")))).scalar()
-    else:
-        med = (lambda c: F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).cast("double")) \
-            if method == "approx" else (lambda c: F.median(F.col(c).cast("double")))
-        stats = src.select(F.struct(*[med(c).alias(c) for c in cols])).scalar()
+    from .ranks import column_quantiles, present
+
+    meds = column_quantiles(src, cols, [0.5], method)
+    stats = meds.select(F.map_from_entries(F.collect_list(F.struct("column", "q0")))).scalar()
     types = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for c in df.columns:
         if c in cols and isinstance(types[c], (T.DoubleType, T.FloatType)):
-            out.append(F.coalesce(F.col(c), stats[c].cast(types[c])).alias(c))
+            out.append(F.coalesce(present(c), stats[c]).cast(types[c]).alias(c))
         elif c in cols:
             # an integer column with gaps is float in pandas; keep the .5 medians
             out.append(F.coalesce(F.col(c).cast("double"), stats[c]).alias(c))
@@ -110,12 +101,12 @@ def median_fill(df: DataFrame, columns: Sequence[str] | None = None, medians_fro
 
 
 def seeded_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """Deterministic sample of ``n`` rows: the ``n`` smallest hashes.
+    """Deterministic sample of ``n`` rows: the ``n`` smallest MD5 values of the keys and the seed.
 
     ``orderBy(...).limit(n)`` plans as TakeOrderedAndProject: each task
     keeps its own top ``n`` and only those meet on one task, so no full
     sort and no unbounded group.  Sampling is the feature here, so the
     limit stays.
     """
-    h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
+    h = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
     return df.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")

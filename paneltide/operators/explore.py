@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import WEEKDAY_NAMES
 from ..functions.scalar import right_closed_bin
+from .ranks import add_group_quantiles, column_quantiles, present, quantiles
 
 # Bins of the exploratory reports (right-closed, pandas.cut).
 DISCOUNT_BINS = [-0.01, 0, 5, 10, 20, 100]
@@ -65,24 +66,14 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
                .withColumn("share_pct", F.col("count") * 100.0 / total)
 
 
-def describe_by(df: DataFrame, by: str, value: str, method: str = "auto") -> DataFrame:
-    """Mean, exact median, sample std and count of ``value`` per group.
+def describe_by(df: DataFrame, by: str, value: str, method: str = "exact") -> DataFrame:
+    """Mean, median, sample std and count of ``value`` per group; NaN is missing.
 
-    ``method``: ``percentile`` (exact aggregate; one value map per group),
-    ``ranked`` (distributed exact median joined on the group), ``approx``,
-    or ``auto`` (size check on the number of distinct values).
+    ``method``: ``exact`` (distributed exact median joined on the group) or ``approx``.
     """
-    from .ranks import add_group_quantiles, choose_quantile_method
-
-    v = F.col(value).cast("double")
-    method = choose_quantile_method(df, [value], method)
-    moments = [F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("count")]
-    if method == "ranked":
-        agg = df.groupBy(by).agg(*moments)
-        out = add_group_quantiles(agg, df, [by], value, [0.5], ["median"])
-    else:
-        med = F.median(v) if method == "percentile" else F.percentile_approx(v, 0.5, 10000).cast("double")
-        out = df.groupBy(by).agg(*moments, med.alias("median"))
+    v = present(value)
+    agg = df.groupBy(by).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("count"))
+    out = add_group_quantiles(agg, df, [by], value, [0.5], ["median"], method)
     return out.select(by, "mean", "median", "std", "count")
 
 
@@ -121,26 +112,18 @@ def binned_mean(df: DataFrame, col: str, edges, labels, target: str) -> DataFram
              .groupBy("bin", "bin_order").agg(F.avg(target).alias(f"mean_{target}"))
 
 
-def box_stats(df: DataFrame, group: str | Column, value: str, method: str = "auto") -> DataFrame:
+def box_stats(df: DataFrame, group: str | Column, value: str, method: str = "exact") -> DataFrame:
     """Box-plot numbers per group (quartiles + whiskers, no fliers).
 
-    Pass 1: exact quartiles per group.  Pass 2: the whiskers are the min/max
-    of the values inside [q1 - 1.5 IQR, q3 + 1.5 IQR], a conditional
-    aggregate after joining the per-group fences back (one row per group).
+    Pass 1: quartiles per group (``exact`` or ``approx``).  Pass 2: the
+    whiskers are the min/max of the values inside [q1 - 1.5 IQR, q3 + 1.5 IQR],
+    a conditional aggregate after joining the per-group fences back (one row
+    per group).
     """
     g = group if isinstance(group, Column) else F.col(group)
-    from .ranks import add_group_quantiles, choose_quantile_method
-
-    base = df.select(g.alias("group"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    method = choose_quantile_method(base, ["_v"], method)
-    if method == "ranked":
-        q = add_group_quantiles(base.groupBy("group").agg(F.count(F.lit(1)).alias("n")), base, ["group"], "_v",
-                                [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    else:
-        pct = (lambda p: F.percentile("_v", p)) if method == "percentile" else \
-              (lambda p: F.percentile_approx("_v", p, 10000).cast("double"))
-        q = base.groupBy("group").agg(pct(0.25).alias("q1"), pct(0.5).alias("median"), pct(0.75).alias("q3"),
-                                      F.count(F.lit(1)).alias("n"))
+    base = df.select(g.alias("group"), present(value).alias("_v")).where(F.col("_v").isNotNull())
+    q = add_group_quantiles(base.groupBy("group").agg(F.count(F.lit(1)).alias("n")), base, ["group"], "_v",
+                            [0.25, 0.5, 0.75], ["q1", "median", "q3"], method)
     fenced = base.join(q.select("group", "q1", "q3"), "group")
     iqr = F.col("q3") - F.col("q1")
     inside = (F.col("_v") >= F.col("q1") - 1.5 * iqr) & (F.col("_v") <= F.col("q3") + 1.5 * iqr)
@@ -176,56 +159,37 @@ def _safe(label: str) -> str:
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
-    """Equal-width bins between min and max; last bin closed."""
-    v = F.col(col).cast("double")
+    """Equal-width bins between min and max; last bin closed; empty bins count 0 (no values: no rows)."""
+    v = present(col)
     rng = df.select(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()
     width = (rng["hi"] - rng["lo"]) / F.lit(float(bins))
     idx = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((v - rng["lo"]) / width), F.lit(bins - 1))).cast("int")
-    return (df.where(v.isNotNull()).groupBy(idx.alias("bin"))
-            .agg(F.count(F.lit(1)).alias("count"))
-            .select("bin", (rng["lo"] + F.col("bin") * width).alias("bin_start"),
-                    (rng["lo"] + (F.col("bin") + 1) * width).alias("bin_end"), "count"))
-
-
-def describe_numeric(df: DataFrame, columns: Sequence[str], method: str = "auto") -> DataFrame:
-    """Count, mean, std, min, 25/50/75 %, max per column (pandas ``describe``).
-
-    Moments come from one aggregate over all columns.  Quartiles by
-    ``method``: ``"ranked"`` -- exact, from one grouped ranking of the
-    stacked (column, value) table, so no task ever holds all distinct values
-    of a column; ``"percentile"`` -- Spark's exact aggregate, whose final
-    merge holds one value->count map per column; ``"approx"`` --
-    ``percentile_approx``; ``"auto"`` (default) -- a size check: an
-    ``approx_count_distinct`` pass picks ``percentile`` while every column
-    stays under ``PERCENTILE_MAX_DISTINCT`` distinct values and ``ranked``
-    beyond it.
-    """
-    from .ranks import exact_quantiles
+    counts = df.where(v.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).where(rng["lo"].isNotNull())
+    return every.join(counts, "bin", "left").select(
+        "bin", (rng["lo"] + F.col("bin") * width).alias("bin_start"),
+        (rng["lo"] + (F.col("bin") + 1) * width).alias("bin_end"), F.coalesce("_n", F.lit(0)).alias("count"))
+
 
-    from .ranks import choose_quantile_method
+def describe_numeric(df: DataFrame, columns: Sequence[str], method: str = "exact") -> DataFrame:
+    """Count, mean, std, min, 25/50/75 %, max per column (pandas ``describe``; NaN is missing).
 
-    method = choose_quantile_method(df, columns, method)
+    Moments come from one aggregate over all columns; quartiles from one
+    grouped ranking of the stacked (column, value) table, so no task ever
+    holds all distinct values of a column.  ``method="approx"`` uses
+    ``percentile_approx`` instead.
+    """
     moments = []
     for c in columns:
-        v = F.col(c).cast("double")
-        fields = [F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"),
-                  F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
-        if method == "percentile":
-            fields += [F.percentile(v, q).alias(n) for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
-        elif method == "approx":
-            fields += [F.percentile_approx(v, q, 10000).cast("double").alias(n)
-                       for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
-        moments.append(F.struct(*fields).alias(c))
+        v = present(c)
+        moments.append(F.struct(F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"),
+                                F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")).alias(c))
     stack = ", ".join(f"'{c}', `{c}`" for c in columns)
     out = df.agg(*moments).selectExpr(f"stack({len(columns)}, {stack}) AS (column, s)").select("column", "s.*")
-    if method == "ranked":
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
-                                            for c in columns])).alias("x")).select("x.*")
-        q = exact_quantiles(long, "v", [0.25, 0.5, 0.75], by=["column"]).select(
-            "column", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
-        out = out.join(q, "column", "left")
-    return out.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    q = column_quantiles(df, columns, [0.25, 0.5, 0.75], method).select(
+        "column", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
+    return out.join(q, "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def profile_columns(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
@@ -299,18 +263,10 @@ def dataset_summary(daily: DataFrame) -> DataFrame:
     )
 
 
-def metric_summary(df: DataFrame, metric: str, method: str = "auto") -> DataFrame:
-    """Count, mean, median, std of a metric across entities."""
-    from .ranks import choose_quantile_method, exact_quantiles
-
-    v = F.col(metric).cast("double")
-    method = choose_quantile_method(df, [metric], method)
-    if method == "ranked":
-        med = exact_quantiles(df, metric, [0.5]).select("q0").scalar()
-    elif method == "approx":
-        med = F.percentile_approx(v, 0.5, 10000).cast("double")
-    else:
-        med = F.median(v)
+def metric_summary(df: DataFrame, metric: str, method: str = "exact") -> DataFrame:
+    """Count, mean, median, std of a metric across entities; NaN is missing."""
+    v = present(metric)
+    med = quantiles(df, metric, [0.5], method=method).select("q0").scalar()
     return df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), med.alias("median"),
                   F.stddev_samp(v).alias("std"))
 
@@ -321,8 +277,9 @@ def metric_summary(df: DataFrame, metric: str, method: str = "auto") -> DataFram
 
 def top_bottom(df: DataFrame, value: str, k: int, key: str = "restaurant_id") -> DataFrame:
     """K largest and k smallest rows by ``value`` with a label."""
-    top = df.orderBy(F.col(value).desc_nulls_last(), F.col(key)).limit(k).withColumn("category", F.lit("top"))
-    bottom = df.where(F.col(value).isNotNull()).orderBy(F.col(value).asc(), F.col(key)).limit(k) \
+    known = df.where(F.col(value).isNotNull())
+    top = known.orderBy(F.col(value).desc(), F.col(key)).limit(k).withColumn("category", F.lit("top"))
+    bottom = known.orderBy(F.col(value).asc(), F.col(key)).limit(k) \
                .withColumn("category", F.lit("bottom"))
     return top.unionByName(bottom)
 

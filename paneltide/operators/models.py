@@ -56,7 +56,7 @@ def prepare_features(df: DataFrame, names: Sequence[str] | None = None, medians_
     src = None
     if medians_from is not None:
         src = medians_from.select(*[F.col(c).cast("double").alias(c) for c in names])
-    filled = median_fill(cast, names, medians_from=src, approx=approx_medians)
+    filled = median_fill(cast, names, medians_from=src, method="approx" if approx_medians else "exact")
     return VectorAssembler(inputCols=names, outputCol=FEATURES, handleInvalid="error").transform(filled)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .joins import entity_spine
+from .ranks import column_quantiles, present
 
 # Allowed weather labels of the context.
 WEATHER_LABELS = ["Clear", "Cloudy", "Rainy", "Stormy", "Snowy", "Unknown"]
@@ -55,35 +56,21 @@ def missing_dates(daily: DataFrame, entity: str = "restaurant_id") -> DataFrame:
     return entity_spine(daily, entity).join(daily.select(entity, "date"), [entity, "date"], "left_anti")
 
 
-def iqr_outliers(df: DataFrame, columns: Sequence[str], method: str = "auto") -> DataFrame:
-    """X < q1 - 1.5 IQR or x > q3 + 1.5 IQR, per column.
+def iqr_outliers(df: DataFrame, columns: Sequence[str], method: str = "exact") -> DataFrame:
+    """X < q1 - 1.5 IQR or x > q3 + 1.5 IQR, per column; NaN is missing.
 
-    Quartiles are exact (pandas' interpolation).  ``method`` as in
-    ``explore.describe_numeric``: ``auto`` uses Spark's ``percentile``
-    aggregate while columns have few distinct values and the distributed
-    ranked quantiles beyond that; ``approx`` uses ``percentile_approx``.
+    Quartiles are exact (pandas' interpolation), from one ranking of all
+    columns; ``method="approx"`` uses ``percentile_approx``.
     Pass 2 is one conditional count per column with the fences as scalars.
     """
-    from .ranks import choose_quantile_method, exact_quantiles
-
-    method = choose_quantile_method(df, columns, method)
-    if method == "ranked":
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
-                                            for c in columns])).alias("x")).select("x.*")
-        qt = exact_quantiles(long, "v", [0.25, 0.75], by=["column"])
-        qs = qt.select(F.map_from_entries(F.collect_list(F.struct("column", F.struct(
-            F.col("q0").alias("q1"), F.col("q1").alias("q3")))))).scalar()
-    else:
-        def pct(c, q):
-            v = F.col(c).cast("double")
-            return F.percentile_approx(v, q, 10000).cast("double") if method == "approx" else F.percentile(v, q)
-        qs = df.select(F.struct(*[F.struct(pct(c, 0.25).alias("q1"), pct(c, 0.75).alias("q3")).alias(c)
-                                  for c in columns])).scalar()
+    qt = column_quantiles(df, columns, [0.25, 0.75], method)
+    qs = qt.select(F.map_from_entries(F.collect_list(F.struct("column", F.struct(
+        F.col("q0").alias("q1"), F.col("q1").alias("q3")))))).scalar()
     aggs = []
     for c in columns:
         q1, q3 = qs[c]["q1"], qs[c]["q3"]
         lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-        v = F.col(c).cast("double")
+        v = present(c)
         aggs.append(F.struct(q1.alias("q1"), q3.alias("q3"), lo.alias("lower"), hi.alias("upper"),
                              F.count_if((v < lo) | (v > hi)).alias("n_outliers")).alias(c))
     one = df.agg(*aggs)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .models import FEATURES, leaves_to_depth
-from .ranks import choose_quantile_method, exact_quantiles
+from .ranks import exact_quantiles
 
 LEAF = "_leaf"
 
@@ -73,12 +73,7 @@ def fit_quantile_boost(train: DataFrame, label: str, alpha: float, n_rounds: int
     """Fit one quantile model; ``train`` needs the ``features`` vector column."""
     depth = leaves_to_depth(num_leaves, max_depth)
     base = train.select(FEATURES, F.col(label).cast("double").alias("_y"))
-    # exact alpha-quantile of the target (size-checked: the distributed
-    # ranked path when the target has too many distinct values)
-    if choose_quantile_method(base, ["_y"]) == "ranked":
-        init = exact_quantiles(base, "_y", [alpha]).first()[0]
-    else:
-        init = base.select(F.percentile("_y", alpha)).first()[0]
+    init = exact_quantiles(base, "_y", [alpha]).first()[0]  # F0
     model = QuantileBoostModel(alpha=alpha, init=float(init), learning_rate=learning_rate)
     cur = cut_lineage(base.withColumn("_F", F.lit(float(init))))
     for m in range(n_rounds):

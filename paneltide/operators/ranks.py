@@ -1,30 +1,40 @@
-"""Average ranks without a global sort.
+"""Average ranks and exact quantiles without a global sort.
 
-Rank statistics (Spearman, Mann-Whitney, positional splits) need, for each
-distinct value, the number of values below it.  A window ordered over the
-whole table would run in one task, so instead:
+Rank statistics (Spearman, Mann-Whitney, positional splits, quantiles)
+need, for each distinct value, the number of values below it.  A window
+ordered over the whole table would run in one task, so instead:
 
 1. collapse the rows to distinct values with their counts (a hash
    aggregate; a value holding a third of all rows becomes one row);
-2. cut the distinct values into ordered buckets at approximate quantile
-   boundaries (a small list of numbers read once on the driver, then used
-   as literals) -- each bucket holds about ``values_per_bucket`` values;
+2. cut the distinct values into ``BUCKETS`` ordered buckets at approximate
+   quantiles, read inside the plan as a scalar sub-query -- each bucket
+   holds about the same share of the distinct values;
 3. bucket totals -> prefix offsets over the bucket list (a few rows);
 4. within each bucket a window partitioned by bucket adds the running
    count.  ``avg_rank = before + (count + 1) / 2`` is the tie-averaged
    1-based rank (scipy / pandas ``rank(method="average")``).
+
+The plan is the same at every size, and building it starts no job.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VALUES_PER_BUCKET = 1_000_000
+#: Ordered buckets of a ranking; a bucket is one window partition per group.
+BUCKETS = 256
+#: Accuracy of the approximate bucket bounds (they only balance the buckets).
+BOUND_ACCURACY = 10_000
+
+
+def present(value: str | Column) -> Column:
+    """A numeric column as double, NaN as NULL: both are missing, as in pandas."""
+    c = F.col(value) if isinstance(value, str) else value
+    return F.nullif(c.cast("double"), F.lit(float("nan")))
 
 
 def value_counts(df: DataFrame, value: str, extra_counts: dict[str, Column] | None = None) -> DataFrame:
@@ -46,144 +56,139 @@ def numeric_key(df: DataFrame, value: str) -> Column:
     return c.cast("double")
 
 
-def bucket_of(key: Column, bounds: Sequence[float]) -> Column:
-    """Monotone bucket id: the number of boundaries strictly below ``key``."""
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b < key))
+def with_bucket(counts: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame:
+    """Add ``_bucket``: how many of the ``buckets - 1`` bounds lie below the value (binary search)."""
+    if buckets < 2:
+        return counts.withColumn("_bucket", F.lit(0))
+    probs = [i / buckets for i in range(1, buckets)]
+    bounds = counts.select(F.percentile_approx(numeric_key(counts, value), probs, BOUND_ACCURACY)).scalar()
+    out = counts.select("*", numeric_key(counts, value).alias("_key"), bounds.alias("_bounds"), F.lit(0).alias("_bucket"))
+    at = F.col("_bucket")
+    for step in (1 << i for i in reversed(range((buckets - 1).bit_length()))):
+        above = F.get("_bounds", at + F.lit(step - 1)) < F.col("_key")
+        out = out.withColumn("_bucket", at + F.when(above, step).otherwise(0))
+    return out.drop("_key", "_bounds")
+
+
+def _bucket_offsets(bucketed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per (group, bucket): ``_bcnt``, ``_offset`` (rows of smaller buckets), ``_n`` (rows of the group)."""
+    group = Window.partitionBy(*by)
+    below = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = bucketed.groupBy(*by, "_bucket").agg(F.sum("cnt").alias("_bcnt"))
+    return totals.select(*by, "_bucket", "_bcnt", F.coalesce(F.sum("_bcnt").over(below), F.lit(0)).alias("_offset"),
+                         F.sum("_bcnt").over(group).alias("_n"))
+
+
+def _join_offsets(bucketed: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Bucketed rows with their bucket's offsets (a NULL group is a group too); buckets without a row go."""
+    keys = [F.col(k).alias(f"_o{i}") for i, k in enumerate(by)]
+    off = offsets.select(*keys, F.col("_bucket").alias("_ob"), "_offset", "_n")
+    if not by:
+        off = F.broadcast(off)  # at most one row per bucket
+    cond = F.col("_bucket") == F.col("_ob")
+    for i, k in enumerate(by):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_o{i}"))
+    return bucketed.join(off, cond).drop("_ob", *[f"_o{i}" for i in range(len(by))])
 
 
-def ranked_values(counts: DataFrame, value: str, values_per_bucket: int = VALUES_PER_BUCKET,
-                  by: Sequence[str] = (), bounded: bool = False) -> DataFrame:
+def _counted_before(value: str, by: Sequence[str]) -> Column:
+    """Rows of smaller values in the same bucket."""
+    within = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("cnt").over(within), F.lit(0))
+
+
+def ranked_values(counts: DataFrame, value: str, by: Sequence[str] = (), bounded: bool = False,
+                  buckets: int = BUCKETS) -> DataFrame:
     """Add ``before`` (count of smaller values) and ``avg_rank`` to a value-count table.
 
     ``by``: rank independently within each group (e.g. one ranking per
     feature in a long table); buckets are cut on the pooled values.
-    ``bounded``: the caller guarantees at most ``values_per_bucket`` distinct
-    values (e.g. calendar dates), so the counting pass is skipped.
+    ``bounded``: the values are calendar dates, so that one window over
+    them is bounded by the calendar and needs no buckets.
     """
     by = list(by)
-    n_distinct = 0 if bounded else counts.count()
-    n_buckets = max(1, math.ceil(n_distinct / values_per_bucket))
-    if n_buckets == 1:
-        bounds: list[float] = []
+    if bounded:
+        out = counts.withColumn("_bucket", F.lit(0)).withColumn("before", _counted_before(value, by))
     else:
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        keyed = counts.select(numeric_key(counts, value).alias("_key"))
-        raw = keyed.approxQuantile("_key", probs, 1.0 / (4 * n_buckets))
-        bounds = sorted(set(raw))
-    b = counts.withColumn("_bucket", bucket_of(numeric_key(counts, value), bounds))
-    within = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    if not bounds:
-        # a single bucket (at most ``values_per_bucket`` distinct values): no offsets to add
-        return (
-            b.withColumn("before", F.coalesce(F.sum("cnt").over(within), F.lit(0)))
-            .withColumn("avg_rank", F.col("before").cast("double") + (F.col("cnt").cast("double") + 1.0) / 2.0)
-            .drop("_bucket")
-        )
-    totals = b.groupBy(*by, "_bucket").agg(F.sum("cnt").alias("_bcnt"))
-    # one row per (group, bucket): without groups at most len(bounds)+1 rows
-    offsets = totals.select(
-        *by, "_bucket",
-        F.coalesce(F.sum("_bcnt").over(Window.partitionBy(*by).orderBy("_bucket")
-                                       .rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_offset"),
-    )
-    if not by:
-        offsets = F.broadcast(offsets)
-    return (
-        b.join(offsets, [*by, "_bucket"])
-        .withColumn("before", F.col("_offset") + F.coalesce(F.sum("cnt").over(within), F.lit(0)))
-        .withColumn("avg_rank", F.col("before").cast("double") + (F.col("cnt").cast("double") + 1.0) / 2.0)
-        .drop("_bucket", "_offset")
-    )
+        b = with_bucket(counts, value, buckets)
+        out = _join_offsets(b, _bucket_offsets(b, by), by)
+        out = out.withColumn("before", F.col("_offset") + _counted_before(value, by)).drop("_offset", "_n")
+    return out.withColumn("avg_rank", F.col("before").cast("double") + (F.col("cnt").cast("double") + 1.0) / 2.0) \
+              .drop("_bucket")
 
 
-def average_ranks(df: DataFrame, value: str, values_per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame:
     """(value, cnt, before, avg_rank) for the non-null values of ``df``."""
-    return ranked_values(value_counts(df, value), value, values_per_bucket)
+    return ranked_values(value_counts(df, value), value, buckets=buckets)
 
 
-def with_rank(df: DataFrame, value: str, rank_col: str, values_per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
+def with_rank(df: DataFrame, value: str, rank_col: str, buckets: int = BUCKETS) -> DataFrame:
     """Attach the tie-averaged rank of ``value`` to every row (NULL -> NULL).
 
     The join back is on the value; a hot value is one skewed partition on
     the row side, which AQE's skew-join handling splits.
     """
-    ranks = average_ranks(df, value, values_per_bucket).select(value, F.col("avg_rank").alias(rank_col))
+    ranks = average_ranks(df, value, buckets).select(value, F.col("avg_rank").alias(rank_col))
     return df.join(ranks, value, "left")
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    values_per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
+                    buckets: int = BUCKETS) -> DataFrame:
     """Exact quantiles with pandas' linear interpolation, without a single-task merge.
 
     ``percentile`` keeps a value->count map per group and merges all maps in
     one task, which grows with the number of distinct values.  Here the
-    distinct values are ranked with the bucketed prefix sums above; the
-    values at 0-based positions ``floor(h)`` and ``ceil(h)``, ``h = (n-1)q``,
-    are picked by a range test on each value's [before, before + cnt) and
-    interpolated.  Output: one row per group with ``q<i>`` columns.
+    bucket totals tell which buckets hold the 0-based positions ``floor(h)``
+    and ``ceil(h)``, ``h = (n-1)q``; only those buckets are ranked, and the
+    values at the positions are interpolated.  NULL and NaN are missing.
+    Output: one row per group with ``q<i>`` columns (no group: one row, NULL
+    where there are no values); a NULL group is a group.
     """
     by = list(by)
-    # NaN counts as missing, as in pandas
-    base = df.select(*by, F.col(value).cast("double").alias("_v")) \
-             .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    base = df.select(*by, present(value).alias("_v")).where(F.col("_v").isNotNull())
     counts = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = ranked_values(counts, "_v", values_per_bucket, by=by)
-    rj = ranked.select(*by, "_v", "before", "cnt")
-    inside = lambda p: (F.col("before") <= p) & (p < F.col("before") + F.col("cnt"))
-    if not by:
-        # one group: n is a scalar sub-query, the positions are expressions
-        # on it, and each probe is a filter of the ranked values (no join)
-        n = counts.select(F.sum("cnt")).scalar()
-        hs = [(n - 1).cast("double") * F.lit(float(q)) for q in probs]
-        picks = rj.select(F.struct(*[x for i, h in enumerate(hs) for x in (
-            F.max(F.when(inside(F.floor(h)), F.col("_v"))).alias(f"lo{i}"),
-            F.max(F.when(inside(F.ceil(h)), F.col("_v"))).alias(f"hi{i}"))])).scalar()
-        parts = [(picks[f"lo{i}"] + (h - F.floor(h)) * (picks[f"hi{i}"] - picks[f"lo{i}"])).alias(f"q{i}")
-                 for i, h in enumerate(hs)]
-        return counts.sparkSession.range(1).select(*parts)
-    n = counts.groupBy(*by).agg(F.sum("cnt").alias("_n"))
-    targets = []
-    for i, q in enumerate(probs):
-        h = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-        targets.append(F.struct(F.lit(i).alias("qi"), F.floor(h).alias("lo"), F.ceil(h).alias("hi"),
-                                (h - F.floor(h)).alias("frac")))
-    pos = n.select(*by, F.explode(F.array(*targets)).alias("t")).select(*by, "t.*")
-    # equi-join on the group keys; each position matches exactly one distinct
-    # value's [before, before + cnt) inside its group
-    lo = pos.join(rj, [*by]).where(inside(F.col("lo"))).select(*by, "qi", "frac", F.col("_v").alias("v_lo"))
-    hi = pos.join(rj, [*by]).where(inside(F.col("hi"))).select(*by, "qi", F.col("_v").alias("v_hi"))
-    qv = lo.join(hi, [*by, "qi"]).select(
-        *by, "qi", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("qv"))
-    wide = qv.groupBy(*by).pivot("qi", list(range(len(probs)))).agg(F.first("qv"))
-    return wide.select(*by, *[F.col(f"`{i}`").alias(f"q{i}") for i in range(len(probs))])
-
-
-# Above this many distinct values a column's exact ``percentile`` buffer (a
-# value -> count map merged in one task per group) is considered too large.
-PERCENTILE_MAX_DISTINCT = 1_000_000
-
-
-def choose_quantile_method(df: DataFrame, columns: Sequence[str], method: str = "auto") -> str:
-    """Size check for exact quantiles: ``percentile`` below the distinct-value
-    bound (one ``approx_count_distinct`` pass), the ranked path above it."""
-    if method != "auto":
-        return method
-    nd = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in columns]).first()
-    return "percentile" if max((nd[c] or 0) for c in columns) <= PERCENTILE_MAX_DISTINCT else "ranked"
+    b = with_bucket(counts, "_v", buckets)
+    h = [(F.col("_n") - 1).cast("double") * F.lit(float(q)) for q in probs]
+    places = [f(x) for x in h for f in (F.floor, F.ceil)]
+    holds = lambda p, first, n: (p >= first) & (p < first + n)
+    wanted = F.lit(False)
+    for p in places:
+        wanted = wanted | holds(p, F.col("_offset"), F.col("_bcnt"))
+    hit = _join_offsets(b, _bucket_offsets(b, by).where(wanted), by)
+    hit = hit.withColumn("_before", F.col("_offset") + _counted_before("_v", by))
+    at = [F.max(F.when(holds(p, F.col("_before"), F.col("cnt")), F.col("_v"))).alias(f"_p{i}") for i, p in enumerate(places)]
+    picked = hit.groupBy(*by).agg(F.max("_n").alias("_n"), *at)
+    out = []
+    for i, x in enumerate(h):
+        lo, hi = F.col(f"_p{2 * i}"), F.col(f"_p{2 * i + 1}")
+        out.append(F.when(lo == hi, lo).otherwise(lo + (x - F.floor(x)) * (hi - lo)).alias(f"q{i}"))
+    return picked.select(*by, *out)
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], method: str = "exact") -> DataFrame:
+    """(column, q0, q1, ...) of several numeric columns in one ranking; ``approx`` uses bounded sketches."""
+    pairs = [F.struct(F.lit(c).alias("column"), present(c).alias("v")) for c in columns]
+    long = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+    return quantiles(long, "v", probs, ["column"], method)
+
+
+def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), method: str = "exact") -> DataFrame:
+    """``exact_quantiles``, or ``percentile_approx`` where the caller asks for ``approx``."""
+    if method == "exact":
+        return exact_quantiles(df, value, probs, by)
+    if method != "approx":
+        raise ValueError("method is exact or approx")
+    return df.groupBy(*by).agg(*[F.percentile_approx(present(value), q, 10000).alias(f"q{i}") for i, q in enumerate(probs)])
 
 
 def add_group_quantiles(agg: DataFrame, src: DataFrame, by: Sequence[str], value: str,
-                        probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Join ranked exact quantiles of ``value`` per ``by`` group onto ``agg``.
+                        probs: Sequence[float], names: Sequence[str], method: str = "exact") -> DataFrame:
+    """Join the quantiles of ``value`` per ``by`` group onto ``agg``.
 
     The join is null-safe on the group keys (a NULL group is a group too).
     """
     by = list(by)
-    q = exact_quantiles(src, value, probs, by=by)
+    q = quantiles(src, value, probs, by, method)
     q = q.select(*[F.col(k).alias(f"_qk{i}") for i, k in enumerate(by)],
                  *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
     cond = None

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import WEEKDAY_NAMES
 from ..functions.scalar import nan_safe_greatest, nan_safe_least
 from .explore import crosstab_pct, describe_by
+from .ranks import add_group_quantiles
 
 # Class thresholds and labels of the risk engine.
 LOW_MAX = 0.2
@@ -96,30 +97,19 @@ def risk_by_dow(scored_days: DataFrame) -> DataFrame:
     return d.select("day_of_week", names.alias("day_name"), "mean", "median", "std", "count")
 
 
-def risk_holiday_summary(scored_days: DataFrame, method: str = "auto") -> DataFrame:
+def risk_holiday_summary(scored_days: DataFrame, method: str = "exact") -> DataFrame:
     """N, mean, median, std and the share of each level per day type."""
-    from .ranks import add_group_quantiles, choose_quantile_method
-
     s = F.col("risk_score")
-    method = choose_quantile_method(scored_days, ["risk_score"], method)
     aggs = [F.count(F.lit(1)).alias("n"), F.avg(s).alias("mean_risk"), F.stddev_samp(s).alias("std_risk"),
             *[(F.avg((F.col("risk_level") == lv).cast("int")) * 100).alias(
                 lv.lower().replace(" ", "_") + "_pct") for lv in RISK_LEVELS]]
-    if method == "ranked":
-        out = add_group_quantiles(scored_days.groupBy("day_type").agg(*aggs), scored_days, ["day_type"],
-                                  "risk_score", [0.5], ["median_risk"])
-    else:
-        med = F.median(s) if method == "percentile" else F.percentile_approx(s, 0.5, 10000).cast("double")
-        out = scored_days.groupBy("day_type").agg(*aggs, med.alias("median_risk"))
-    return out
+    return add_group_quantiles(scored_days.groupBy("day_type").agg(*aggs), scored_days, ["day_type"],
+                               "risk_score", [0.5], ["median_risk"], method)
 
 
-def validation_summary(scored: DataFrame, method: str = "auto") -> DataFrame:
+def validation_summary(scored: DataFrame, method: str = "exact") -> DataFrame:
     """Named metrics per risk level, rounded half-even to 4, rows with NULLs dropped."""
-    from .ranks import add_group_quantiles, choose_quantile_method
-
     src = scored.where(F.col("risk_level").isNotNull())
-    method = choose_quantile_method(src, ["abs_error"], method)
     aggs = [
         F.count(F.lit(1)).alias("count"),
         F.avg("risk_score").alias("mean_risk_score"),
@@ -129,13 +119,8 @@ def validation_summary(scored: DataFrame, method: str = "auto") -> DataFrame:
         F.avg("prediction").alias("mean_prediction"),
         F.avg(F.col("total_orders").cast("double")).alias("mean_actual"),
     ]
-    if method == "ranked":
-        g = add_group_quantiles(src.groupBy("risk_level").agg(*aggs), src, ["risk_level"], "abs_error", [0.5],
-                                ["median_abs_error"])
-    else:
-        med = F.median("abs_error") if method == "percentile" else \
-            F.percentile_approx("abs_error", 0.5, 10000).cast("double")
-        g = src.groupBy("risk_level").agg(*aggs, med.alias("median_abs_error"))
+    g = add_group_quantiles(src.groupBy("risk_level").agg(*aggs), src, ["risk_level"], "abs_error", [0.5],
+                            ["median_abs_error"], method)
     metric = [c for c in g.columns if c not in ("risk_level", "count")]
     out = g.select("risk_level", level_order("risk_level").alias("level_order"), "count",
                    *[F.bround(c, 4).alias(c) for c in metric])

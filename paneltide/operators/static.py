@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .ranks import column_quantiles
 
 # Raw text / high-cardinality columns dropped from the output.
 DROP_COLUMNS = [
@@ -27,28 +28,15 @@ DROP_COLUMNS = [
 YES_NO_COLUMNS = ["has_table_booking", "has_online_delivery", "is_delivering_now"]
 
 
-def _percentile(col: str, q: float, method: str):
-    if method == "approx":
-        return F.percentile_approx(F.col(col).cast("double"), q, 10000).cast("double")
-    return F.percentile(F.col(col).cast("double"), q)
-
-
-def static_features(master: DataFrame, method: str = "auto") -> DataFrame:
-    """X3.  ``method`` picks how the two 75th percentiles are computed (see
-    ``ranks.choose_quantile_method``: exact aggregate below the distinct-value
-    bound, distributed exact quantiles above it, or ``approx``)."""
-    from .ranks import choose_quantile_method, exact_quantiles
-
+def static_features(master: DataFrame, method: str = "exact") -> DataFrame:
+    """X3.  ``method``: the two 75th percentiles are ``exact`` (one ranking of both columns) or ``approx``."""
     cols = master.columns
     qcols = [c for c in ("average_cost_for_two", "votes") if c in cols]
-    method = choose_quantile_method(master, qcols, method) if qcols else "percentile"
+    found = column_quantiles(master, qcols, [0.75], method).select(
+        F.map_from_entries(F.collect_list(F.struct("column", "q0")))).scalar() if qcols else None
 
     def q75(c: str):
-        if c not in cols:
-            return F.lit(None).cast("double")
-        if method == "ranked":
-            return exact_quantiles(master, c, [0.75]).select("q0").scalar()
-        return _percentile(c, 0.75, method)
+        return found[c] if c in qcols else F.lit(None).cast("double")
 
     stats = master.select(F.struct(
         q75("average_cost_for_two").alias("cost_q75"),

@@ -147,13 +147,12 @@ def q_describe_numeric(spark, sf):
 
 
 def q_describe_numeric_ranked(spark, sf):
-    """A16 through the distributed exact quantiles (the path used beyond the size check)."""
-    return rounded(A.describe_numeric(load_inputs(spark, sf).daily_orders, DESCRIBE_COLUMNS, method="ranked"))
+    """A16 again: kept from when the ranked quantiles were a second path."""
+    return rounded(A.describe_numeric(load_inputs(spark, sf).daily_orders, DESCRIBE_COLUMNS))
 
 
 def q_iqr_outliers_ranked(spark, sf):
-    return rounded(D.iqr_outliers(load_inputs(spark, sf).daily_orders, ["total_orders", "total_revenue"],
-                                  method="ranked"))
+    return rounded(D.iqr_outliers(load_inputs(spark, sf).daily_orders, ["total_orders", "total_revenue"]))
 
 
 def q_profile_columns(spark, sf):
@@ -371,7 +370,7 @@ def q_risk_by_daytype(spark, sf):
 
 def q_risk_by_daytype_ranked(spark, sf):
     """A8 with the distributed exact median (the path beyond the size check)."""
-    return rounded(A.describe_by(_scored_days(spark, sf), "day_type", "risk_score", method="ranked"))
+    return rounded(A.describe_by(_scored_days(spark, sf), "day_type", "risk_score"))
 
 
 def q_risk_holiday_summary(spark, sf):
@@ -599,7 +598,9 @@ b AS (SELECT CAST(CASE WHEN (hi - lo) / 20.0 = 0 THEN 0
                   ELSE least(floor((total_revenue - lo) / ((hi - lo) / 20.0)), 19) END AS INT) AS bin, lo, hi
       FROM daily_orders, rg WHERE total_revenue IS NOT NULL)
 SELECT bin, {r('lo + bin * ((hi - lo) / 20.0)', 'bin_start')}, {r('lo + (bin + 1) * ((hi - lo) / 20.0)', 'bin_end')},
-  COUNT(*) AS count FROM b GROUP BY bin, lo, hi""", "daily_orders")
+  CAST(SUM(n) AS BIGINT) AS count
+FROM (SELECT bin, lo, hi, 1 AS n FROM b UNION ALL SELECT CAST(range AS INT), lo, hi, 0 FROM range(20), rg)
+GROUP BY bin, lo, hi""", "daily_orders")
     o["describe_numeric"] = duck_with(" UNION ALL ".join(
         f"SELECT '{c}' AS column, {r(f'COUNT({c})', 'count')}, {r(f'AVG({c})', 'mean')}, "
         f"{r(f'STDDEV_SAMP({c})', 'std')}, {r(f'MIN({c})', 'min')}, {r(f'quantile_cont({c}, 0.25)', 'p25')}, "

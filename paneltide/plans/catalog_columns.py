@@ -67,7 +67,7 @@ def q_median_fill(spark, sf):
 
 
 def q_seeded_sample(spark, sf):
-    return P.seeded_sample(load_inputs(spark, sf).daily_orders, 500, ["restaurant_id", "date"], seed=42)
+    return rounded(P.seeded_sample(load_inputs(spark, sf).daily_orders, 500, ["restaurant_id", "date"], seed=42))
 
 
 def q_scan_roundtrip(spark, sf):
@@ -171,6 +171,11 @@ def _basic_select(lag_expr) -> str:
 def oracles() -> dict[str, str]:
     o: dict[str, str] = {}
     o["normalise_columns"] = duck_with("SELECT * FROM master", "master")
+    o["seeded_sample"] = duck_with(f"""SELECT restaurant_id, date, total_orders, {r('total_revenue', 'total_revenue')},
+  {r('avg_discount', 'avg_discount')}, promotion_flag, {r('cancellation_rate', 'cancellation_rate')},
+  {r('avg_delivery_time', 'avg_delivery_time')}
+FROM daily_orders ORDER BY md5(concat_ws('|', CAST(restaurant_id AS VARCHAR), CAST(date AS VARCHAR), '42')),
+  restaurant_id, date LIMIT 500""", "daily_orders")
     o["rename_project"] = duck_with("SELECT restaurant_id, date, total_orders AS orders, total_revenue AS revenue "
                                     "FROM daily_orders", "daily_orders")
     o["static_select"] = duck_with("SELECT * EXCLUDE (restaurant_name, locality, currency, cuisines, "

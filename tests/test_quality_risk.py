@@ -73,32 +73,28 @@ def _scored_sample(spark):
     return R.score(df)
 
 
-def test_quantile_methods_agree(spark):
+def test_group_quantiles_equal_the_percentile_aggregate(spark):
     from paneltide.operators import explore as A
     from paneltide.operators.columns import median_fill
     s = _scored_sample(spark)
 
-    def rows(df, key):
-        return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()),
-                      key=lambda t: str(t[key]))
-
-    assert rows(R.validation_summary(s, "percentile"), 0) == rows(
-        R.validation_summary(s, "ranked").select(*R.validation_summary(s, "percentile").columns), 0)
-    a = R.risk_holiday_summary(s, "percentile")
-    assert rows(a, 0) == rows(R.risk_holiday_summary(s, "ranked").select(*a.columns), 0)
-    b = A.box_stats(s, "day_type", "abs_error", "percentile")
-    assert rows(b, 0) == rows(A.box_stats(s, "day_type", "abs_error", "ranked").select(*b.columns), 0)
-    m = A.metric_summary(s, "risk_score", "percentile")
-    assert rows(m, 0) == rows(A.metric_summary(s, "risk_score", "ranked").select(*m.columns), 0)
-    d = A.describe_by(s, "day_type", "risk_score", "percentile")
-    assert rows(d, 0) == rows(A.describe_by(s, "day_type", "risk_score", "ranked").select(*d.columns), 0)
+    def check(df, key, names, value, probs, src=s):
+        exp = {r[0]: r[1:] for r in src.groupBy(key).agg(*[F.percentile(value, p) for p in probs]).collect()}
+        got = {r[0]: r[1:] for r in df.select(df.columns[0], *names).collect()}
+        assert got.keys() == exp.keys()
+        for k in exp:
+            assert all(abs(x - y) < 1e-4 if "median_abs_error" in names else abs(x - y) < 1e-9 for x, y in zip(got[k], exp[k])), k
+
+    check(R.validation_summary(s), "risk_level", ["median_abs_error"], "abs_error", [0.5])
+    check(R.risk_holiday_summary(s), "day_type", ["median_risk"], "risk_score", [0.5])
+    check(A.box_stats(s, "day_type", "abs_error"), "day_type", ["q1", "median", "q3"], "abs_error", [0.25, 0.5, 0.75])
+    check(A.describe_by(s, "day_type", "risk_score"), "day_type", ["median"], "risk_score", [0.5])
+    assert abs(A.metric_summary(s, "risk_score").first()["median"] - s.select(F.median("risk_score")).first()[0]) < 1e-9
     holes = s.withColumn("risk_score", F.when(F.col("total_orders") % 3 == 0, None).otherwise(F.col("risk_score")))
-    from paneltide.operators import ranks as RK
     mf = median_fill(holes, ["risk_score"])
     exp = holes.select(F.median("risk_score")).first()[0]
     got = mf.where(F.col("total_orders") % 3 == 0).select(F.min("risk_score"), F.max("risk_score")).first()
     assert abs(got[0] - exp) < 1e-12 and abs(got[1] - exp) < 1e-12
-    assert RK.choose_quantile_method(holes, ["risk_score"]) == "percentile"
-    mr = median_fill(holes, ["risk_score", "abs_error"], method="ranked")
+    mr = median_fill(holes, ["risk_score", "abs_error"])
     got2 = mr.where(F.col("total_orders") % 3 == 0).select(F.min("risk_score")).first()[0]
     assert abs(got2 - exp) < 1e-12

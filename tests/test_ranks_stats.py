@@ -20,8 +20,8 @@ def _tied(n=400, seed=1):
 def test_average_ranks_match_pandas_with_buckets(spark):
     pdf = _tied()
     df = spark.createDataFrame(pdf)
-    for per_bucket in (1_000_000, 3):   # one bucket / many buckets
-        got = RK.with_rank(df, "x", "rx", values_per_bucket=per_bucket).toPandas()
+    for buckets in (1, 3, 256):
+        got = RK.with_rank(df, "x", "rx", buckets=buckets).toPandas()
         exp = pdf.assign(rx=pdf["x"].rank(method="average"))
         m = got.groupby("x")["rx"].first().sort_index()
         e = exp.groupby("x")["rx"].first().sort_index()
@@ -92,11 +92,31 @@ def test_exact_quantiles_match_pandas(spark):
     pdf.loc[::17, "v"] = np.nan
     df = spark.createDataFrame(pdf)
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    for per_bucket in (1_000_000, 7):
-        one = RK.exact_quantiles(df, "v", probs, values_per_bucket=per_bucket).first()
+    for buckets in (1, 3, 256):
+        one = RK.exact_quantiles(df, "v", probs, buckets=buckets).first()
         exp = pdf["v"].quantile(probs).to_numpy()
         assert np.allclose([one[f"q{i}"] for i in range(5)], exp)
-        grp = RK.exact_quantiles(df, "v", probs, by=["g"], values_per_bucket=per_bucket).toPandas().set_index("g")
+        grp = RK.exact_quantiles(df, "v", probs, by=["g"], buckets=buckets).toPandas().set_index("g")
         for g, sub in pdf.groupby("g"):
             assert np.allclose(grp.loc[g, [f"q{i}" for i in range(5)]].to_numpy(float),
                                sub["v"].quantile(probs).to_numpy())
+
+
+def test_missing_values_and_null_groups_of_quantiles(spark):
+    """NaN and NULL are missing, a NULL group is a group, and the number of buckets changes nothing."""
+    rows = [(None, 1.0), (None, 3.0), ("a", float("nan")), ("a", 5.0), ("a", None), ("b", None), ("c", float("inf")), ("c", float("inf"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for buckets in (1, 3, 256):
+        got = {r["g"]: r["q0"] for r in RK.exact_quantiles(df, "v", [0.5], by=["g"], buckets=buckets).collect()}
+        assert got == {None: 2.0, "a": 5.0, "c": float("inf")}
+    empty = RK.exact_quantiles(df.where("false"), "v", [0.25, 0.5]).collect()
+    assert [tuple(r) for r in empty] == [(None, None)]
+
+
+def test_histogram_has_empty_bins(spark):
+    from paneltide.operators.explore import histogram
+
+    df = spark.createDataFrame([(0.0,), (0.5,), (10.0,), (None,), (float("nan"),)], "v double")
+    got = {r["bin"]: r["count"] for r in histogram(df, "v", 10).collect()}
+    assert got == {0: 2, 9: 1, **{i: 0 for i in range(1, 9)}}
+    assert histogram(df.where("false"), "v", 10).count() == 0

@@ -84,8 +84,12 @@ def test_yes_no_never_casts(spark):
     assert [r[0] for r in df.select(S.yes_no_flag("c")).collect()] == [1, 1, 0, 0, 0]
 
 
-def test_static_features_methods_agree(spark):
+def test_static_percentiles_equal_the_aggregate(spark):
+    from pyspark.sql import functions as F
+
+    from paneltide.operators.ranks import column_quantiles
     m = _master(spark)
-    a = static_features(m, method="percentile").orderBy("restaurant_id", "city").collect()
-    b = static_features(m, method="ranked").orderBy("restaurant_id", "city").collect()
-    assert [r.asDict() for r in a] == [r.asDict() for r in b]
+    got = {r["column"]: r["q0"] for r in column_quantiles(m, ["average_cost_for_two", "votes"], [0.75]).collect()}
+    exp = m.select(F.percentile("average_cost_for_two", 0.75), F.percentile("votes", 0.75)).first()
+    assert [got["average_cost_for_two"], got["votes"]] == list(exp)
+    assert static_features(m).count() == m.count()
