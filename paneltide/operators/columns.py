@@ -88,6 +88,9 @@ def median_fill(df: DataFrame, columns: Sequence[str] | None = None, medians_fro
     meds = column_quantiles(src, cols, [0.5], method)
     stats = meds.select(F.map_from_entries(F.collect_list(F.struct("column", "q0")))).scalar()
     types = {f.name: f.dataType for f in df.schema.fields}
+    # the sub-query stands in the plan once, not once a column
+    filled = df.select("*", stats.alias("_medians"))
+    stats = F.col("_medians")
     out = []
     for c in df.columns:
         if c in cols and isinstance(types[c], (T.DoubleType, T.FloatType)):
@@ -97,7 +100,7 @@ def median_fill(df: DataFrame, columns: Sequence[str] | None = None, medians_fro
             out.append(F.coalesce(F.col(c).cast("double"), stats[c]).alias(c))
         else:
             out.append(F.col(c))
-    return df.select(*out)
+    return filled.select(*out)
 
 
 def seeded_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
