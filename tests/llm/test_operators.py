@@ -277,3 +277,16 @@ def test_fuzzy_lines_drop_one_changed_word(spark):
         found = sum(r["n_dropped"] for r in got if r["doc_id"] % 2)
         assert sum(r["n_dropped"] for r in got if r["doc_id"] % 2 == 0) == 0
         assert found >= 0.95 * len(rows) / 2, (low, high, found)
+
+
+def test_fuzzy_lines_short_and_without_blanks(spark):
+    """Lines of few words and of scripts without blanks lose their edited copies too."""
+    pairs = [("Contact us today", "Contact us todai"), ("Copyright notice", "Copyrights notice"), ("page of 20", "page on 20"),
+             ("All rights reserved by the owner", "All rights reserved bi the owner"),
+             ("日本語の文章は空白なしで書かれることが多いので単語では比べられない", "日本語の文章は空白なしで書かれることが多いのに単語では比べられない"),
+             ("ประเทศไทยมีประชากรมากและภาษาไทยไม่มีการเว้นวรรคระหว่างคำ", "ประเทศไทยมีประชากรมากและภาษาไทยไม่มีการเว้นวรรคระหว่างคน")]
+    apart = ["Contact", "Contacts", "page of 2", "nothing like it here", "天地玄黄宇宙洪荒日月盈昃辰宿列張"]
+    rows = [(i, t) for i, t in enumerate([t for pair in pairs for t in pair] + apart)]
+    got = {r["doc_id"]: r["n_dropped"] for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: int(i < 2 * len(pairs) and i % 2) for i, _ in rows} | {rows[-3][0]: 1}  # "page of 2" is "page of 20" less one of ten characters
+    assert got == want
