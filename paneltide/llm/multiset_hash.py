@@ -7,8 +7,9 @@ vector.  The vector has two parts:
 
 * ``EXACT`` lanes modulo 2^32, filled by every paragraph: equality.
 * ``LEVELS`` x ``LANES`` lanes modulo 2^16, each paragraph's sentences hashed
-  to one lane of each level that samples them (level j takes one in 4^j), and
-  a count.  Documents that differ in few sentences agree in most lanes of some
+  to one lane of each level that samples them (level j takes one in 4^j; the
+  last covers 2 * 10^9 differing sentences, more than two strings can hold),
+  and a count.  Documents that differ in few sentences agree in most lanes of some
   level; the share that agrees estimates how many sentences differ.
 
 DataFrame operations only.
@@ -24,7 +25,7 @@ from pyspark.sql import Window as W
 
 from .common import keyed, range_bounds, range_bucket
 
-EXACT, LEVELS, LANES = 8, 4, 24
+EXACT, LEVELS, LANES = 8, 14, 24
 _M16, _M32 = (1 << 16) - 1, (1 << 32) - 1
 
 
@@ -40,7 +41,7 @@ def _sampled(level: int) -> Column:
     """(lane, value) of each sentence that the level samples; bits of the hash that the sampling does not use."""
     mask = (1 << 2 * level) - 1
     taken = F.filter("_s", lambda h: h.bitwiseAND(F.lit(mask)) == 0) if level else F.col("_s")
-    return F.transform(taken, lambda h: F.struct(F.pmod(F.shiftrightunsigned(h, 8).bitwiseAND(F.lit(_M32)), F.lit(LANES)).alias("lane"), F.shiftrightunsigned(h, 48).alias("value")))
+    return F.transform(taken, lambda h: F.struct(F.pmod(F.shiftrightunsigned(h, 2 * LEVELS - 2).bitwiseAND(F.lit((1 << 50 - 2 * LEVELS) - 1)), F.lit(LANES)).alias("lane"), F.shiftrightunsigned(h, 48).alias("value")))
 
 
 def _lane_of(column: str):
