@@ -9,8 +9,9 @@ fallback, and the decoder that undoes them.
 Distinct units of text (a run of blanks with what follows, cut also at
 characters that no longer piece holds) are encoded once per slice, in
 multithreaded batches, and remembered in bounded memory.  Each new unit is also
-encoded by the sentencepiece library and decoded again, so parity and the round
-trip are verified for every piece of every text.
+encoded by the sentencepiece library and decoded again, and the first two units
+of a text once more behind the dummy prefix, so parity and the round trip are
+verified for every piece of every text.
 """
 
 from __future__ import annotations
@@ -168,6 +169,7 @@ class Codec:
             self.model = spec = parse(f.read())
         self.inner, self.whole = build(spec, prefix=False), build(spec)
         self.check = sentencepiece.SentencePieceProcessor(model_proto=spec.plain)
+        self.full = sentencepiece.SentencePieceProcessor(model_proto=_with_prefix(spec)) if spec.dummy_prefix else self.check
         blanks, self.lines = cuts(spec)
         # units are taken only where they can't change what a text gives
         self.by_unit = blanks and spec.escape and not spec.charsmap and not spec.remove_extra
@@ -194,9 +196,7 @@ class Codec:
         return self._units(text) if self.by_unit else self._whole(text.to_pylist())
 
     def _whole(self, texts: list[str]):
-        import sentencepiece
-
-        full = sentencepiece.SentencePieceProcessor(model_proto=_with_prefix(self.model)) if self.model.dummy_prefix else self.check
+        full = self.full
         got = [x.ids for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
         want = full.encode(texts, num_threads=1)
         plain = [full.decode(w) for w in want]
@@ -207,10 +207,21 @@ class Codec:
     def _split(self, text: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Units of all rows, and how many each row has; an empty text has none."""
         prefix = MARK if self.model.dummy_prefix else ""
-        if pc.any(pc.or_(pc.match_substring(text, "  "), pc.match_substring(text, MARK))).as_py():
-            found = [self.finder.findall(prefix + t.replace(" ", MARK)) if t else [] for t in text.to_pylist()]
-            return pa.array([u for f in found for u in f], pa.string()), np.array([len(f) for f in found], np.int64)
-        marked = pc.replace_substring(text, " ", " " + MARK)  # single blanks: each starts a unit
+        found, n = self._single(text, prefix)
+        odd = pc.or_(pc.or_(pc.match_substring(text, "  "), pc.match_substring(text, MARK)), pc.starts_with(text, " "))
+        rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if not len(rows):
+            return found, n
+        edge, parts, counts, at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64), [], n.astype(np.int64), 0
+        for row, t in zip(rows.tolist(), text.take(pa.array(rows)).to_pylist(), strict=True):
+            units = self.finder.findall(prefix + t.replace(" ", MARK))
+            parts += [found.slice(edge[at], edge[row] - edge[at]), pa.array(units, pa.string())]
+            counts[row], at = len(units), row + 1
+        return pa.concat_arrays([*parts, found.slice(edge[at])]), counts
+
+    def _single(self, text: pa.Array, prefix: str) -> tuple[pa.Array, np.ndarray]:
+        """``_split`` of rows that have no mark, no double blank and no blank in front: each blank starts a unit."""
+        marked = pc.replace_substring(text, " ", " " + MARK)
         if self.lines:
             marked = pc.replace_substring(marked, "\n", " \n ")
         marked = pc.if_else(pc.equal(text, ""), "", pc.binary_join_element_wise(prefix, marked, ""))
@@ -221,11 +232,35 @@ class Codec:
         units, per_row = self._split(text)
         flat, n, names, index = assemble(units, per_row, self.values)
         parity = again = np.ones(len(text), bool)
+        if self.model.dummy_prefix:
+            parity, again = self._heads(per_row, names, index)
         if self.bad and (seen := [self.bad.get(u, (True, True)) for u in names]):
             edge = np.concatenate([[0], np.cumsum(per_row)]).astype(np.int64)
-            parity, again = (np.diff(np.concatenate([[0], np.cumsum(~np.array(x, bool)[index])])[edge]) == 0 for x in zip(*seen, strict=True))
+            whole = [np.diff(np.concatenate([[0], np.cumsum(~np.array(x, bool)[index])])[edge]) == 0 for x in zip(*seen, strict=True)]
+            parity, again = parity & whole[0], again & whole[1]
         return flat, n, parity, again
 
+    def _heads(self, per_row: np.ndarray, names: list[str], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the first two units of each row, as a text, get the same ids from the model with the dummy prefix, and decode to it."""
+        start = (np.cumsum(per_row) - per_row).astype(np.int64)
+        rows = np.flatnonzero(per_row > 0)
+        parity, again = np.ones(len(per_row), bool), np.ones(len(per_row), bool)
+        if not len(rows):
+            return parity, again
+        first = index[start[rows]]
+        second = np.where(per_row[rows] > 1, index[np.minimum(start[rows] + 1, len(index) - 1)], -1)
+        pairs, place = np.unique(np.stack([first, second]), axis=1, return_inverse=True)
+        units = [[names[i] for i in pair if i >= 0] for pair in pairs.T.tolist()]
+        held = sorted({u for pair in units for u in pair})
+        value = dict(zip(held, self.values(held), strict=True))
+        ids = [array("I", b"".join(value[u] for u in pair)).tolist() for pair in units]
+        texts = ["".join(pair).replace(MARK, " ").removeprefix(" ") for pair in units]
+        want, back = self.full.encode(texts, num_threads=1), self.whole.decode_batch(ids, skip_special_tokens=False)
+        place = place.reshape(-1)
+        parity[rows] = np.array([a == b for a, b in zip(ids, want, strict=True)], bool)[place]
+        again[rows] = np.array([a == b for a, b in zip(back, texts, strict=True)], bool)[place]
+        return parity, again
+
 
 def _with_prefix(model: Model) -> bytes:
     """The model file with the dummy prefix: later fields win in a protobuf."""

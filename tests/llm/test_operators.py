@@ -301,3 +301,18 @@ def test_fingerprint_of_a_long_edited_text(spark):
         pair = multiset_hash.vector(pair, c, f"v{c}")
     near, far = pair.select(multiset_hash.likeness(pair["vx"], pair["vy"]), multiset_hash.likeness(pair["vx"], pair["vz"])).first()
     assert 0.35 < near < 0.85 and far < 0.3
+
+
+def test_piece_codec_leading_blank(spark):
+    """A text gets the same ids whatever stands in its slice, also if it starts with one blank."""
+    import public_tokenizers as P
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    for texts in ([" ", " 1", " a b", "a b", "\n x", "x "], [" ", " 1", " a b", "a b", "\n x", "x ", "two  blanks", "", None, "  ", "\n  y", "▁"]):
+        table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+        for r in piece_codec.encode(table, path).collect():
+            text = texts[r["doc_id"]] or ""
+            assert r["ids"] == sp.encode(text) and r["parity"], (text, r)
+            assert r["round_trip"] or "▁" in text
