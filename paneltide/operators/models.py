@@ -15,17 +15,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from statistics import fmean, pstdev
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .columns import median_fill
 from .evaluate import metric_columns
 from .ranks import ranked_values
@@ -190,23 +191,26 @@ def grid_search(train: DataFrame, label: str = "total_orders", grid: dict | None
     mean MSE (the reference's score) and its rank.
     """
     grid = grid or PARAM_GRID
-    est = gbt(label, seed=seed)
-    maps, settings = [], []
-    for nl in grid["num_leaves"]:
-        for lr in grid["learning_rate"]:
-            for ne in grid["n_estimators"]:
-                for md in grid["max_depth"]:
-                    depth = leaves_to_depth(nl, md)
-                    maps.append({est.maxIter: ne, est.stepSize: lr, est.maxDepth: depth})
-                    settings.append((nl, lr, ne, md, depth))
-    folded = positional_folds(train, n_folds)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps,
-                        evaluator=RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="mse"),
-                        foldCol="fold", parallelism=parallelism, collectSubModels=False, seed=seed)
-    model = cv.fit(folded)
+    settings = [(nl, lr, ne, md, leaves_to_depth(nl, md)) for nl in grid["num_leaves"] for lr in grid["learning_rate"]
+                for ne in grid["n_estimators"] for md in grid["max_depth"]]
+    most = max(grid["n_estimators"])
+    folded = cut_lineage(positional_folds(train, n_folds))
+    # the first trees of a long fit are the trees of a shorter one: one fit for each (rate, depth) and fold
+    fits = [(lr, depth, k) for lr, depth in sorted({(s[1], s[4]) for s in settings}) for k in range(n_folds)]
+
+    def errors(fit):
+        lr, depth, k = fit
+        est = gbt(label, n_estimators=most, learning_rate=lr, seed=seed).setMaxDepth(depth)
+        model = est.fit(folded.where(F.col("fold") != k))
+        return model.evaluateEachIteration(folded.where(F.col("fold") == k), "squared")
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        staged = dict(zip(fits, pool.map(errors, fits), strict=True))
     spark = train.sparkSession
-    rows = [(nl, lr, ne, md, depth, float(m), float(s))
-            for (nl, lr, ne, md, depth), m, s in zip(settings, model.avgMetrics, model.stdMetrics)]
+    rows = []
+    for nl, lr, ne, md, depth in settings:
+        mse = [float(staged[lr, depth, k][ne - 1]) for k in range(n_folds)]
+        rows.append((nl, lr, ne, md, depth, fmean(mse), pstdev(mse)))
     res = spark.createDataFrame(rows, "num_leaves int, learning_rate double, n_estimators int, max_depth int, "
                                       "spark_max_depth int, mean_mse double, std_mse double")
     return res.withColumn("mean_test_score", -F.col("mean_mse")) \

@@ -70,3 +70,33 @@ def test_start_scoring_writes_checkpointed_stream(spark):
     out = spark.read.parquet(sink)
     assert out.count() == 20
     assert set(out.columns) >= {"risk_score", "risk_level", "day_name"}
+
+
+def _assembled(spark, pdf, cols=("x",)):
+    return VectorAssembler(inputCols=list(cols), outputCol="features").transform(spark.createDataFrame(pdf))
+
+
+def test_registered_models_run_the_whole_settings(spark):
+    from paneltide.operators import models as M
+    from paneltide.plans import catalog_models as C
+    assert C.ROUNDS == 200 and not hasattr(C, "CHECK_GRID")
+    assert M.PARAM_GRID["n_estimators"] == [100, 200]
+
+
+def test_grid_search_equals_one_fit_a_setting(spark):
+    from paneltide.operators import models as M
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"restaurant_id": np.arange(90) % 3, "date": pd.date_range("2024-01-01", periods=90).date,
+                        "x": rng.random(90), "total_orders": rng.integers(0, 20, 90).astype(float)})
+    train = _assembled(spark, pdf)
+    grid = {"num_leaves": [4], "learning_rate": [0.1, 0.3], "n_estimators": [2, 4], "max_depth": [1, -1]}
+    got = M.grid_search(train, grid=grid).collect()
+    assert len(got) == 8
+    folded = M.positional_folds(train, 3)
+    for r in got:
+        mse = []
+        for k in range(3):
+            m = M.gbt("total_orders", r["n_estimators"], r["learning_rate"], 4, r["max_depth"]).fit(folded.where(F.col("fold") != k))
+            p = m.transform(folded.where(F.col("fold") == k))
+            mse.append(p.agg(F.avg((F.col("prediction") - F.col("total_orders")) ** 2)).first()[0])
+        assert abs(r["mean_mse"] - np.mean(mse)) < 1e-6 and abs(r["std_mse"] - np.std(mse)) < 1e-6
