@@ -144,8 +144,8 @@ def multi_output(train: DataFrame, test: DataFrame, estimator_for, name: str,
 
 
 def multi_output_forest(train: DataFrame, test: DataFrame, n_trees: int = 100, seed: int = 42,
-                        max_depth: int = 10) -> DataFrame:
-    """M7: a random forest per target (Spark forests need a depth bound; sklearn grows until pure)."""
+                        max_depth: int = 30) -> DataFrame:
+    """M7: a random forest per target.  sklearn grows until pure; ``max_depth`` defaults to 30, the deepest that Spark permits."""
     return multi_output(train, test, lambda t: RandomForestRegressor(
         featuresCol=FEATURES, labelCol=t, predictionCol="prediction", numTrees=n_trees, seed=seed,
         maxDepth=max_depth, maxBins=64), "MultiOutput RandomForest")

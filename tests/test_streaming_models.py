@@ -100,3 +100,13 @@ def test_grid_search_equals_one_fit_a_setting(spark):
             p = m.transform(folded.where(F.col("fold") == k))
             mse.append(p.agg(F.avg((F.col("prediction") - F.col("total_orders")) ** 2)).first()[0])
         assert abs(r["mean_mse"] - np.mean(mse)) < 1e-6 and abs(r["std_mse"] - np.std(mse)) < 1e-6
+
+
+def test_forest_grows_deeper_than_ten(spark):
+    """Powers of three split off one by one: ten levels can't tell the smallest apart."""
+    from paneltide.operators import models as M
+    x = np.repeat(np.arange(24.0), 20)
+    pdf = pd.DataFrame({"x": x, "total_orders": 3.0 ** x, "total_revenue": 3.0 ** x})
+    train = _assembled(spark, pdf)
+    got = M.multi_output_forest(train, train.where("x < 4"), n_trees=3).collect()
+    assert all(r["mae"] < 100 for r in got)
