@@ -171,16 +171,17 @@ def positional_folds(df: DataFrame, n_folds: int = 3, order: str = "date", tie:
     Position = rows before this row's ``order`` value (bucketed prefix sums
     over the distinct values) + its place among the rows sharing that value.
     """
-    per = df.groupBy(order).agg(F.count(F.lit(1)).alias("cnt"))
+    per = df.where(F.col(order).isNotNull()).groupBy(order).agg(F.count(F.lit(1)).alias("cnt"))
     before = ranked_values(per, order, bounded=True).select(order, "before")  # dates: calendar-bounded
     n = df.select(F.count(F.lit(1))).scalar()
-    pos = F.col("before") + F.row_number().over(Window.partitionBy(order).orderBy(tie)) - 1
+    known = df.select(F.count(F.col(order))).scalar()  # rows of a NULL date come last
+    pos = F.coalesce("before", known) + F.row_number().over(Window.partitionBy(order).orderBy(tie)) - 1
     # sklearn KFold: the first n % k folds hold one row more
     size = F.floor(n / n_folds)
     extra = n % n_folds
     big = (size + 1) * extra
     fold = F.when(pos < big, F.floor(pos / (size + 1))).otherwise(extra + F.floor((pos - big) / size))
-    return df.join(before, order).withColumn("fold", fold.cast("int")).drop("before")
+    return df.join(before, order, "left").withColumn("fold", fold.cast("int")).drop("before")
 
 
 def grid_search(train: DataFrame, label: str = "total_orders", grid: dict | None = None, n_folds: int = 3,

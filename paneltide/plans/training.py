@@ -66,13 +66,16 @@ def score_batch(requests: DataFrame, features: DataFrame, orders_models: dict, r
     Each request is joined to the entity's feature row for that date, the
     request's discount/promotion override the stored ones, and the three
     quantile models of each target give point and bounds; the orders
-    interval gives the risk score and level.
+    interval gives the risk score and level.  Every request gets a row:
+    ``status`` is "ok", or "no_features" (and no numbers) where the feature
+    table has no row for its entity and date.
     """
     req = requests.select(F.col("restaurant_id").cast("bigint").alias("restaurant_id"),
                           F.to_date("date").alias("date"),
                           F.col("discount").cast("double").alias("_discount"),
                           F.col("promotion_flag").cast("boolean").alias("_promo"))
-    base = features.join(req, ["restaurant_id", "date"], "inner") \
+    joined = req.join(features.withColumn("_known", F.lit(True)), ["restaurant_id", "date"], "left")
+    base = joined.where("_known").drop("_known") \
                    .withColumn("avg_discount", F.coalesce("_discount", "avg_discount")) \
                    .withColumn("promotion_flag", F.coalesce("_promo", "promotion_flag")) \
                    .drop("_discount", "_promo")
@@ -93,4 +96,8 @@ def score_batch(requests: DataFrame, features: DataFrame, orders_models: dict, r
     )
     score = F.try_divide(F.col("orders_upper_bound") - F.col("orders_lower_bound"),
                          F.col("predicted_orders") + F.lit(1.0))
-    return res.withColumn("risk_score", score).withColumn("risk_level", R.risk_level(score))
+    res = res.withColumn("risk_score", score).withColumn("risk_level", R.risk_level(score)).withColumn("status", F.lit("ok"))
+    unknown = joined.where("_known IS NULL").select(F.col("restaurant_id").cast("string").alias("restaurant_id"),
+                                                    F.date_format("date", "yyyy-MM-dd").alias("date"),
+                                                    F.lit("no_features").alias("status"))
+    return res.unionByName(unknown, allowMissingColumns=True)

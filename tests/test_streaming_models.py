@@ -110,3 +110,28 @@ def test_forest_grows_deeper_than_ten(spark):
     train = _assembled(spark, pdf)
     got = M.multi_output_forest(train, train.where("x < 4"), n_trees=3).collect()
     assert all(r["mae"] < 100 for r in got)
+
+
+def test_positional_folds_keep_null_dates_last(spark):
+    import datetime as dt
+    from paneltide.operators.models import positional_folds
+    rows = [(i, dt.date(2024, 1, 1 + i)) for i in range(4)] + [(8, None), (9, None)]
+    got = {r["restaurant_id"]: r["fold"] for r in positional_folds(spark.createDataFrame(rows, "restaurant_id long, date date"), 3).collect()}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 1, 8: 2, 9: 2}
+
+
+def test_score_batch_answers_requests_without_features(spark):
+    import datetime as dt
+    from paneltide.plans.training import score_batch
+
+    class Constant:
+        def transform(self, df, output):
+            return df.withColumn(output, F.lit(5.0))
+
+    models = {a: Constant() for a in (0.1, 0.5, 0.9)}
+    feats = spark.createDataFrame([(1, dt.date(2024, 1, 1), 0.1, False)], "restaurant_id long, date date, avg_discount double, promotion_flag boolean")
+    for asked in ([("1", "2024-01-01"), ("2", "2024-01-01"), ("1", "2024-01-02")], [("7", "2024-01-01")]):
+        requests = spark.createDataFrame([(*a, 0.2, True) for a in asked], "restaurant_id string, date string, discount double, promotion_flag boolean")
+        got = score_batch(requests, feats, models, models, ["avg_discount", "promotion_flag"]).collect()
+        assert {(r["restaurant_id"], r["date"]): (r["status"], r["predicted_orders"]) for r in got} == \
+            {a: ("ok", 5.0) if a == ("1", "2024-01-01") else ("no_features", None) for a in asked}
