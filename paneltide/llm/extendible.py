@@ -8,7 +8,7 @@
   its local depth.  Entries with one and the same hash can't be split further
   and are chained: ``chain`` numbers the different texts behind one hash.
 * Index files lie in the shared folder, range-partitioned by hash: each owner
-  task writes, and later reads, one contiguous range of buckets.
+  task writes one contiguous range of hashes; its bounds need not be buckets' bounds.
 * Documents find their entry by ``(hash, sha256)``, without moving texts again.
 
 DataFrame operations only.
