@@ -121,7 +121,7 @@ class _Automaton:
 def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
+        if out and a <= out[-1][1] + 1:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))
