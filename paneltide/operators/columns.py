@@ -74,8 +74,8 @@ def median_fill(df: DataFrame, columns: Sequence[str] | None = None, medians_fro
     ``medians_from`` = the frame whose medians are used (default ``df``
     itself, as the reference does for train and test alike).  The exact
     median is pandas' (mean of the two middle values); ``ml.feature.Imputer``
-    would give the lower middle value instead.  All medians come from one
-    ranking read as a scalar sub-query, so the fill is a plain projection.
+    would give the lower middle value instead.  The medians are worked out first
+    (``ranks.quantile_values``), so the fill is a plain projection.
     ``method="approx"`` uses ``percentile_approx``.
     """
     src = medians_from if medians_from is not None else df
@@ -83,24 +83,28 @@ def median_fill(df: DataFrame, columns: Sequence[str] | None = None, medians_fro
     cols = [c for c in cols if c in src.columns]
     if not cols:
         return df
-    from .ranks import column_quantiles, present
+    from .ranks import quantile_values
+
+    return fill_with(df, {c: q[0] for c, q in quantile_values(src, cols, [0.5], method).items()})
+
+
+def fill_with(df: DataFrame, values: Mapping[str, float | None]) -> DataFrame:
+    """NULLs and NaNs of the named columns replaced by a number each (None: they stay NULL).
+
+    An integer column becomes double, so that medians of .5 stay, as in pandas.
+    """
+    from .ranks import present
 
-    meds = column_quantiles(src, cols, [0.5], method)
-    stats = meds.select(F.map_from_entries(F.collect_list(F.struct("column", "q0")))).scalar()
     types = {f.name: f.dataType for f in df.schema.fields}
-    # the sub-query stands in the plan once, not once a column
-    filled = df.select("*", stats.alias("_medians"))
-    stats = F.col("_medians")
     out = []
     for c in df.columns:
-        if c in cols and isinstance(types[c], (T.DoubleType, T.FloatType)):
-            out.append(F.coalesce(present(c), stats[c]).cast(types[c]).alias(c))
-        elif c in cols:
-            # an integer column with gaps is float in pandas; keep the .5 medians
-            out.append(F.coalesce(F.col(c).cast("double"), stats[c]).alias(c))
-        else:
-            out.append(F.col(c))
-    return filled.select(*out)
+        if c not in values:
+            out.append(F.col(f"`{c}`"))
+            continue
+        floating = isinstance(types[c], (T.DoubleType, T.FloatType))
+        x = F.coalesce(present(F.col(f"`{c}`")), F.lit(values[c]).cast("double"))
+        out.append((x.cast(types[c]) if floating else x).alias(c))
+    return df.select(*out)
 
 
 def seeded_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:

@@ -175,10 +175,9 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 def describe_numeric(df: DataFrame, columns: Sequence[str], method: str = "exact") -> DataFrame:
     """Count, mean, std, min, 25/50/75 %, max per column (pandas ``describe``; NaN is missing).
 
-    Moments come from one aggregate over all columns; quartiles from one
-    grouped ranking of the stacked (column, value) table, so no task ever
-    holds all distinct values of a column.  ``method="approx"`` uses
-    ``percentile_approx`` instead.
+    Moments come from one aggregate over all columns; the quartiles are worked out
+    before (``ranks.quantile_values``), so no task ever holds all distinct values of a column.
+    ``method="approx"`` uses ``percentile_approx`` instead.
     """
     moments = []
     for c in columns:

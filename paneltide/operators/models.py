@@ -5,6 +5,8 @@ is a ``pyspark.ml`` estimator (distributed over the executors), features
 are one ``VectorAssembler`` column, and predictions stay attached to their
 rows (``transform``), so no positional concat is needed.
 
+M7 grows its own trees (forest.py), M6 too (quantile.py).
+
 Mapping of the boosting parameters: LightGBM grows leaf-wise with
 ``num_leaves``; Spark grows trees level-wise, so ``num_leaves = n`` becomes
 ``maxDepth = ceil(log2 n)`` (31 -> 5, 50 -> 6); ``max_depth = -1`` has no
@@ -19,16 +21,16 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from statistics import fmean, pstdev
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml import Pipeline
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .columns import median_fill
 from .evaluate import metric_columns
+from .forest import fit_forest
+from .preparation import FeaturePreparation
 from .ranks import ranked_values
 
 # Columns never used as model inputs.
@@ -44,21 +46,16 @@ def feature_names(df: DataFrame, exclude: Sequence[str] = ID_COLUMNS + TARGET_CO
             if f.name not in ex and isinstance(f.dataType, (T.NumericType, T.BooleanType))]
 
 
-def prepare_features(df: DataFrame, names: Sequence[str] | None = None, medians_from: DataFrame | None = None,
-                     approx_medians: bool = False) -> DataFrame:
+def prepare_features(df: DataFrame, names: Sequence[str] | None = None, medians_from: DataFrame | None = None) -> DataFrame:
     """M1: median-fill the feature columns and assemble them into one vector.
 
     ``medians_from=None`` fills each frame with its own medians (as the
-    reference does for test data too); pass the training frame for
-    train-only medians.
+    reference does for test data too); pass the training frame, or keep a fitted
+    ``preparation.FeaturePreparation``, for train-only medians.
     """
     names = list(names) if names is not None else feature_names(df)
-    cast = df.select(*[F.col(c).cast("double").alias(c) if c in names else F.col(c) for c in df.columns])
-    src = None
-    if medians_from is not None:
-        src = medians_from.select(*[F.col(c).cast("double").alias(c) for c in names])
-    filled = median_fill(cast, names, medians_from=src, method="approx" if approx_medians else "exact")
-    return VectorAssembler(inputCols=names, outputCol=FEATURES, handleInvalid="error").transform(filled)
+    fitted = FeaturePreparation(inputCols=names, outputCol=FEATURES).fit(df if medians_from is None else medians_from)
+    return fitted.transform(df)
 
 
 def leaves_to_depth(num_leaves: int, max_depth: int = -1, cap: int = 30) -> int:
@@ -125,16 +122,27 @@ def gbt_forecast(train: DataFrame, test: DataFrame, label: str = "total_orders",
     return _fit_predict(gbt(label, **params), train, test, label, "GBT")
 
 
-def multi_output(train: DataFrame, test: DataFrame, estimator_for, name: str,
-                 targets: Sequence[str] = TARGET_COLUMNS, with_mean_row: bool = False) -> DataFrame:
-    """M7 / M8: one model per target over the same cached feature frame."""
-    parts = []
-    for t in targets:
-        f = _fit_predict(estimator_for(t), train, test, t, name)
-        parts.append(f.metrics.select(F.lit(t).alias("target"), "model", "n", "rmse", "mae", "r2"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def long_predictions(pred: DataFrame, columns: dict[str, str], keys: Sequence[str] = tuple(ID_COLUMNS)) -> DataFrame:
+    """(target, keys, actual, prediction) with one row per row and target; ``columns`` maps targets to prediction columns.
+
+    Predictions stay with their rows; a NULL actual stays NULL.
+    """
+    kept = [k for k in keys if k in pred.columns]
+    each = [F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("actual"), F.col(p).alias("prediction")) for t, p in columns.items()]
+    return pred.select(*kept, F.inline(F.array(*each))).select("target", *kept, "actual", "prediction")
+
+
+@dataclass
+class MultiOutput:
+    """``predictions``: long_predictions of the test rows; ``metrics``: one row per target (and their mean)."""
+
+    predictions: DataFrame
+    metrics: DataFrame
+
+
+def target_metrics(predictions: DataFrame, name: str, with_mean_row: bool = False) -> DataFrame:
+    """target, model, n, rmse, mae, r2 of a long predictions table."""
+    out = predictions.groupBy("target").agg(*metric_columns("actual", "prediction")).select("target", F.lit(name).alias("model"), "n", "rmse", "mae", "r2")
     if with_mean_row:
         mean = out.agg(F.lit("aggregate_mean").alias("target"), F.lit(name).alias("model"),
                        F.sum("n").alias("n"), F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"),
@@ -143,17 +151,21 @@ def multi_output(train: DataFrame, test: DataFrame, estimator_for, name: str,
     return out
 
 
-def multi_output_forest(train: DataFrame, test: DataFrame, n_trees: int = 100, seed: int = 42,
-                        max_depth: int = 30) -> DataFrame:
-    """M7: a random forest per target.  sklearn grows until pure; ``max_depth`` defaults to 30, the deepest that Spark permits."""
-    return multi_output(train, test, lambda t: RandomForestRegressor(
-        featuresCol=FEATURES, labelCol=t, predictionCol="prediction", numTrees=n_trees, seed=seed,
-        maxDepth=max_depth, maxBins=64), "MultiOutput RandomForest")
+def multi_output_forest(train: DataFrame, test: DataFrame, n_trees: int = 100, seed: int = 42, max_depth: int | None = None,
+                        targets: Sequence[str] = TARGET_COLUMNS) -> MultiOutput:
+    """M7: a random forest per target, grown to purity (``max_depth`` to stop before)."""
+    model = fit_forest(train, FEATURES, targets, n_trees=n_trees, seed=seed, max_depth=max_depth)
+    pred = cut_lineage(long_predictions(model.transform(test, FEATURES), {t: f"prediction_{t}" for t in targets}))
+    return MultiOutput(pred, target_metrics(pred, "MultiOutput RandomForest"))
 
 
-def multi_output_gbt(train: DataFrame, test: DataFrame, **params) -> DataFrame:
-    """M8: gradient boosting per target plus the mean-of-targets row."""
-    return multi_output(train, test, lambda t: gbt(t, **params), "MultiOutput GBT", with_mean_row=True)
+def multi_output_gbt(train: DataFrame, test: DataFrame, targets: Sequence[str] = TARGET_COLUMNS, **params) -> MultiOutput:
+    """M8: gradient boosting per target plus the mean-of-targets row; ``params`` may be ``best_params`` of a grid."""
+    pred = test
+    for t in targets:
+        pred = gbt(t, **params).setPredictionCol(f"prediction_{t}").fit(train).transform(pred)
+    pred = cut_lineage(long_predictions(pred, {t: f"prediction_{t}" for t in targets}))
+    return MultiOutput(pred, target_metrics(pred, "MultiOutput GBT", with_mean_row=True))
 
 
 # The reference's search grid (2 x 2 x 2 x 3 = 24 settings).
@@ -218,6 +230,12 @@ def grid_search(train: DataFrame, label: str = "total_orders", grid: dict | None
               .withColumn("rank", F.rank().over(Window.orderBy(F.col("mean_mse"))))
 
 
-def persist_model(model: PipelineModel, path: str) -> str:
-    model.write().overwrite().save(path)
-    return path
+def best_params(results: DataFrame) -> dict:
+    """The settings of the best row of a grid, as keyword arguments of ``gbt`` and ``fit_boosts`` callers (one row is read)."""
+    r = results.orderBy("rank", "num_leaves", "learning_rate", "n_estimators", "max_depth").first()
+    return {} if r is None else {c: r[c] for c in ("num_leaves", "learning_rate", "n_estimators", "max_depth")}
+
+
+def quantile_params(best: dict) -> dict:
+    """``best_params`` in the names of the quantile boosting."""
+    return {("n_rounds" if k == "n_estimators" else k): v for k, v in best.items()}

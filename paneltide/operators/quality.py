@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .joins import entity_spine
-from .ranks import column_quantiles, present
+from .ranks import present, quantile_values
 
 # Allowed weather labels of the context.
 WEATHER_LABELS = ["Clear", "Cloudy", "Rainy", "Stormy", "Snowy", "Unknown"]
@@ -56,23 +56,32 @@ def missing_dates(daily: DataFrame, entity: str = "restaurant_id") -> DataFrame:
     return entity_spine(daily, entity).join(daily.select(entity, "date"), [entity, "date"], "left_anti")
 
 
+def iqr_fences(df: DataFrame, columns: Sequence[str], method: str = "exact") -> dict[str, tuple[float, float, float, float] | None]:
+    """(q1, q3, lower fence, upper fence) of each column; None for a column without values (jobs start here)."""
+    out: dict = {}
+    for c, (q1, q3) in quantile_values(df, columns, [0.25, 0.75], method).items():
+        out[c] = None if q1 is None else (q1, q3, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+    return out
+
+
+def _outside(c: str, fence: tuple | None) -> Column:
+    if fence is None:
+        return F.lit(False)
+    return (present(c) < F.lit(fence[2])) | (present(c) > F.lit(fence[3]))
+
+
 def iqr_outliers(df: DataFrame, columns: Sequence[str], method: str = "exact") -> DataFrame:
     """X < q1 - 1.5 IQR or x > q3 + 1.5 IQR, per column; NaN is missing.
 
-    Quartiles are exact (pandas' interpolation), from one ranking of all
-    columns; ``method="approx"`` uses ``percentile_approx``.
-    Pass 2 is one conditional count per column with the fences as scalars.
+    Quartiles are exact (pandas' interpolation); ``method="approx"`` uses ``percentile_approx``.
+    The second pass is one conditional count per column with the fences as numbers.
     """
-    qt = column_quantiles(df, columns, [0.25, 0.75], method)
-    qs = qt.select(F.map_from_entries(F.collect_list(F.struct("column", F.struct(
-        F.col("q0").alias("q1"), F.col("q1").alias("q3")))))).scalar()
+    fences = iqr_fences(df, columns, method)
     aggs = []
     for c in columns:
-        q1, q3 = qs[c]["q1"], qs[c]["q3"]
-        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-        v = present(c)
+        q1, q3, lo, hi = (F.lit(v).cast("double") for v in (fences[c] or (None,) * 4))
         aggs.append(F.struct(q1.alias("q1"), q3.alias("q3"), lo.alias("lower"), hi.alias("upper"),
-                             F.count_if((v < lo) | (v > hi)).alias("n_outliers")).alias(c))
+                             F.count_if(_outside(c, fences[c])).alias("n_outliers")).alias(c))
     one = df.agg(*aggs)
     stack = ", ".join(f"'{c}', `{c}`" for c in columns)
     return one.selectExpr(f"stack({len(columns)}, {stack}) AS (column, s)").select("column", "s.*")
@@ -85,28 +94,33 @@ def negative_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.selectExpr(f"stack({len(columns)}, {stack}) AS (column, n_negative)")
 
 
+def _n_missing(df: DataFrame) -> Column:
+    return reduce(lambda a, b: a + b, [F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns])
+
+
 def quality_report(master: DataFrame, daily: DataFrame, context: DataFrame, id_col: str = "restaurant_id",
                    targets: Sequence[str] = ("total_orders", "total_revenue")) -> DataFrame:
-    """Every check of the data-quality report as rows of one table."""
-    rows = []
-    for name, df in (("restaurants", master), ("daily_orders", daily), ("external_context", context)):
-        rows.append(missing_total(df, name).select(
-            "dataset", F.lit("missing_values").alias("check"), F.lit(None).cast("string").alias("column"),
-            F.col("n_missing").cast("double").alias("value")))
-    rows.append(duplicate_ids(master, id_col).select(
-        F.lit("restaurants").alias("dataset"), F.lit("duplicate_ids").alias("check"),
-        F.lit(id_col).alias("column"), F.col("n_duplicates").cast("double").alias("value")))
-    rows.append(date_continuity(daily).agg(F.count(F.lit(1)).cast("double").alias("value")).select(
-        F.lit("daily_orders").alias("dataset"), F.lit("entities_with_missing_dates").alias("check"),
-        F.lit("date").alias("column"), "value"))
-    if targets:
-        rows.append(iqr_outliers(daily, targets).select(
-            F.lit("daily_orders").alias("dataset"), F.lit("iqr_outliers").alias("check"),
-            "column", F.col("n_outliers").cast("double").alias("value")))
-        rows.append(negative_values(daily, targets).select(
-            F.lit("daily_orders").alias("dataset"), F.lit("negative_values").alias("check"),
-            "column", F.col("n_negative").cast("double").alias("value")))
-    return reduce(DataFrame.unionByName, rows)
+    """Every check of the data-quality report as rows of one table.
+
+    One aggregate per table holds all its counts; only the entities' continuity is another one.
+    """
+    def rows(dataset: str, df: DataFrame, checks: list[tuple[str, str | None, Column]]) -> DataFrame:
+        one = df.agg(*[v.cast("double").alias(f"v{i}") for i, (_, _, v) in enumerate(checks)])
+        each = F.array(*[F.struct(F.lit(dataset).alias("dataset"), F.lit(check).alias("check"), F.lit(c).cast("string").alias("column"), F.col(f"v{i}").alias("value"))
+                         for i, (check, c, _) in enumerate(checks)])
+        return one.select(F.inline(each))
+
+    fences = iqr_fences(daily, targets) if targets else {}
+    duplicates = F.count(F.lit(1)) - F.count_distinct(F.col(id_col)) - F.when(F.count_if(F.col(id_col).isNull()) > 0, 1).otherwise(0)
+    out = [
+        rows("restaurants", master, [("missing_values", None, _n_missing(master)), ("duplicate_ids", id_col, duplicates)]),
+        rows("daily_orders", daily, [("missing_values", None, _n_missing(daily)),
+                                     *[("iqr_outliers", c, F.count_if(_outside(c, fences[c]))) for c in targets],
+                                     *[("negative_values", c, F.count_if(F.col(c) < 0)) for c in targets]]),
+        rows("external_context", context, [("missing_values", None, _n_missing(context))]),
+        rows("daily_orders", date_continuity(daily), [("entities_with_missing_dates", "date", F.count(F.lit(1)))]),
+    ]
+    return reduce(DataFrame.unionByName, out)
 
 
 # ---------------------------------------------------------------------------

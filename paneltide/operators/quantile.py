@@ -1,142 +1,317 @@
 """Quantile gradient boosting on Spark (M6).
 
-``pyspark.ml`` has no quantile (pinball) loss, so the boosting loop is
-written on top of ``DecisionTreeRegressor``:
+``pyspark.ml`` has no quantile (pinball) loss.  The boosting loop here:
 
 * F0 = the alpha-quantile of the target;
-* each round fits a regression tree to the negative pinball gradient
-  ``alpha - 1{y < F}`` (distributed tree induction), then re-estimates
-  every leaf's output as the alpha-quantile of the residuals ``y - F`` of
-  its rows (one grouped aggregate; at most 2**depth leaves, so the leaf
-  table read back to the driver is bounded);
-* F += learning_rate * leaf value, applied with a literal leaf->value map
-  (no join).
-
-The training frame with its running F is cached each round and written to
-the reliable checkpoint folder every ``checkpoint_every`` rounds, so the
-plan does not grow with the rounds and a lost executor replays at most
-that many rounds.  Leaf quantiles use ``percentile_approx`` (a bounded
-sketch per leaf) so a leaf holding a third of all rows stays cheap.
+* each round grows a regression tree on the negative pinball gradient
+  ``alpha - 1{y < F}`` (each row counts by its bin; trees.py), then every leaf's
+  output is the alpha-quantile of the residuals ``y - F`` of its rows, from mergeable
+  sketches (exact up to ``trees.SKETCH`` different residuals a leaf);
+* F += learning_rate * leaf value.
+
+The frame is binned once.  All levels of all models (several alphas, several
+targets) are grown together: one job a level and one for the leaves, whatever
+the number of models.  Rows carry F as of the last snapshot; tasks add the few trees
+since.  Every ``checkpoint_every`` rounds a new snapshot is written to the
+reliable checkpoint folder, so lineage stays short and a lost executor
+replays at most that many rounds.  Thousands of jobs are worth it only where the
+rows are many: a frame of at most ``LOCAL_ROWS`` rows goes to one task a model, which
+runs the same rounds there.  Both give the same trees (a test compares them).
 """
 
 from __future__ import annotations
 
+import json
+import sys
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark import RDD, StorageLevel, cloudpickle
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 from .models import FEATURES, leaves_to_depth
-from .ranks import exact_quantiles
+from .trees import MAX_BINS, BinnedFrame, Tree, best_split, compress, histogram, level_splits, merge_sketches, sketch_quantile, walk
 
-LEAF = "_leaf"
+ALPHAS = (0.1, 0.5, 0.9)
+#: Rows of a frame up to which a model's rounds run in one task: some 10 MB of bins.
+LOCAL_ROWS = 100_000
 
 
 @dataclass
 class QuantileBoostModel:
+    """One quantile of one target; leaf values hold the learning rate."""
+
     alpha: float
     init: float
     learning_rate: float
-    trees: list = field(default_factory=list)
-    leaf_values: list = field(default_factory=list)  # one {leaf index: value} per round
-
-    def _round_update(self, df: DataFrame, m: int) -> DataFrame:
-        tree = self.trees[m].copy()
-        tree.setLeafCol(LEAF).setPredictionCol("_tree_pred")
-        values = self.leaf_values[m]
-        lut = F.create_map(*[F.lit(x) for kv in values.items() for x in (float(kv[0]), float(kv[1]))])
-        out = tree.transform(df)
-        return out.withColumn("_F", F.col("_F") + F.lit(self.learning_rate) * F.coalesce(lut[F.col(LEAF)], F.lit(0.0))) \
-                  .drop(LEAF, "_tree_pred")
-
-    def transform(self, df: DataFrame, output: str = "prediction", checkpoint_every: int = 25) -> DataFrame:
-        out = df.withColumn("_F", F.lit(self.init))
-        for m in range(len(self.trees)):
-            out = self._round_update(out, m)
-            if checkpoint_every and (m + 1) % checkpoint_every == 0:
-                out = cut_lineage(out)
-        return out.withColumnRenamed("_F", output)
-
-
-def _leaf_quantiles(df: DataFrame, alpha: float, accuracy: int) -> dict[float, float]:
-    rows = df.groupBy(LEAF).agg(
-        F.percentile_approx(F.col("_y") - F.col("_F"), alpha, accuracy).alias("v")).collect()
-    return {float(r[LEAF]): float(r["v"]) for r in rows}
-
-
-def fit_quantile_boost(train: DataFrame, label: str, alpha: float, n_rounds: int = 200,
-                       learning_rate: float = 0.1, num_leaves: int = 50, max_depth: int = -1,
-                       min_rows_per_leaf: int = 20, seed: int = 42, accuracy: int = 10000,
-                       checkpoint_every: int = 10) -> QuantileBoostModel:
-    """Fit one quantile model; ``train`` needs the ``features`` vector column."""
-    depth = leaves_to_depth(num_leaves, max_depth)
-    base = train.select(FEATURES, F.col(label).cast("double").alias("_y"))
-    init = exact_quantiles(base, "_y", [alpha]).first()[0]  # F0
-    model = QuantileBoostModel(alpha=alpha, init=float(init), learning_rate=learning_rate)
-    cur = cut_lineage(base.withColumn("_F", F.lit(float(init))))
-    for m in range(n_rounds):
-        grad = F.when(F.col("_y") < F.col("_F"), F.lit(alpha - 1.0)).otherwise(F.lit(alpha))
-        step = cur.withColumn("_g", grad)
-        dt = DecisionTreeRegressor(featuresCol=FEATURES, labelCol="_g", predictionCol="_tree_pred",
-                                   leafCol=LEAF, maxDepth=depth, minInstancesPerNode=min_rows_per_leaf,
-                                   maxBins=64, seed=seed + m)
-        tree = dt.fit(step)
-        values = _leaf_quantiles(tree.transform(step), alpha, accuracy)
-        model.trees.append(tree)
-        model.leaf_values.append(values)
-        # F is updated lazily; the (at most checkpoint_every) pending tree
-        # applications are folded into a reliable checkpoint periodically
-        cur = model._round_update(cur, m)
-        if (m + 1) % checkpoint_every == 0:
-            cur = cut_lineage(cur)
-    return model
-
-
-def fit_quantile_models(train: DataFrame, label: str, alphas=(0.1, 0.5, 0.9),
-                        **params) -> dict[float, QuantileBoostModel]:
-    """One model per alpha, fitted concurrently (independent Spark jobs from threads).
-
-    Each round is a handful of small jobs, so on a small table the loop is
-    bound by job latency; running the alphas side by side fills the cores.
-    """
-    from concurrent.futures import ThreadPoolExecutor
+    label: str = ""
+    trees: list = field(default_factory=list)  # arrays of trees.Tree
 
-    with ThreadPoolExecutor(max_workers=len(alphas)) as pool:
-        futs = {a: pool.submit(fit_quantile_boost, train, label, a, **params) for a in alphas}
-        return {a: f.result() for a, f in futs.items()}
+    def transform(self, df: DataFrame, output: str = "prediction", features: str = FEATURES) -> DataFrame:
+        return predict_columns(df, {output: self}, features)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """As a Parquet table: one row per node, and one that describes the model."""
+        save_models(spark, {"model": self}, path)
+
+
+def predict_columns(df: DataFrame, models: dict[str, QuantileBoostModel], features: str = FEATURES) -> DataFrame:
+    """``df`` with one column per model, in one pass over the rows.  A row of null features gets nulls."""
+    names = list(models)
+    held = df.sparkSession.sparkContext.broadcast([(m.init, m.trees) for m in models.values()])  # rounds x leaves x models, whatever the rows
+
+    schema = ", ".join(f"p{k} double" for k in range(len(names)))
+
+    @F.pandas_udf(schema)
+    def predict(xs: pd.Series) -> pd.DataFrame:
+        known = xs.notna().to_numpy()
+        out = np.full((len(xs), len(names)), np.nan)
+        if known.any():
+            x = np.stack(xs[known].to_list())
+            for k, (init, trees) in enumerate(held.value):
+                out[known, k] = init + sum(tree[5][walk(tree, x, binned=False)] for tree in trees)
+        return pd.DataFrame({f"p{k}": out[:, k] for k in range(len(names))})
+
+    out = df.withColumn("_predicted", predict(vector_to_array(features)))
+    return out.select(*df.columns, *[F.when(~F.isnan(F.col(f"_predicted.p{k}")), F.col(f"_predicted.p{k}")).alias(n) for k, n in enumerate(names)])
+
+
+# ---- fitting
+
+@dataclass
+class _State:
+    """A block of rows with the predictions of all models as of the last snapshot."""
+
+    bins: np.ndarray
+    y: np.ndarray
+    f: np.ndarray  # rows x models
+
+
+def _now(block: _State, since: list[list]) -> np.ndarray:
+    out = block.f.copy()
+    for k, grown in enumerate(since):
+        for tree in grown:
+            out[:, k] += tree[5][walk(tree, block.bins, binned=True)]
+    return out
 
-def quantile_forecast(train: DataFrame, test: DataFrame, alphas=(0.1, 0.5, 0.9), label: str = "total_orders",
-                      **params) -> tuple[DataFrame, DataFrame, dict[float, QuantileBoostModel]]:
-    """Fit one model per alpha; return (long predictions, pinball/mae per alpha, models).
 
-    The long predictions table has one row per test row and alpha -- write
-    it with ``partitionBy("alpha")`` for one folder per quantile (S6).
+@dataclass
+class _Rounds:
+    """How a round's trees grow, whatever counts the rows."""
+
+    learning_rate: float
+    num_leaves: int
+    depth: int
+    least: int
+    edges: list
+
+    def allowed(self, found: dict, model: int, leaves: int) -> list:
+        """The splits of a level with the highest gains, as many as leaves are left."""
+        own = sorted(((split[0], node, split) for (k, node), (split, _, _) in found.items() if k == model and split), key=lambda x: (-x[0], x[1]))
+        return own[:max(0, self.num_leaves - leaves)]
+
+    def grow(self, models: int, splits_of, quantiles_of) -> list[tuple]:
+        """One tree a model.  ``splits_of(trees, open nodes)`` gives the best split of every open node, ``quantiles_of(trees)`` every leaf's output."""
+        grown = [Tree() for _ in range(models)]
+        open_nodes: list[list[int]] = [[0] for _ in range(models)]
+        for _ in range(self.depth):
+            if not any(open_nodes):
+                break
+            found = splits_of([t.arrays() for t in grown], open_nodes)
+            open_nodes = [[] for _ in range(models)]
+            for k, tree in enumerate(grown):
+                leaves = sum(x < 0 for x in tree.feature)
+                for _, node, (_, feature, cut, left_n, _, n, _) in self.allowed(found, k, leaves):
+                    for child, rows in zip(tree.split(node, feature, cut, float(self.edges[feature][cut])), (left_n, n - left_n), strict=True):
+                        if rows >= 2 * self.least:
+                            open_nodes[k].append(child)
+        for (k, leaf), v in quantiles_of([t.arrays() for t in grown]):
+            grown[k].value[leaf] = self.learning_rate * v
+        return [t.arrays() for t in grown]
+
+
+def _open_rows(b: _State, f: np.ndarray, target: Sequence[int], arrays: list, open_nodes: list):
+    """For ``trees.level_splits``.  The gradient is alpha less what is summed here: a constant doesn't move the best split."""
+    for k, nodes in enumerate(open_nodes):
+        if nodes:
+            slot = np.full(len(arrays[k][0]), -1)
+            slot[nodes] = np.arange(len(nodes))
+            yield [(k, node) for node in nodes], slot[walk(arrays[k], b.bins, binned=True)], None, b.y[:, target[k]] < f[:, k]
+
+
+def _leaf_residuals(b: _State, f: np.ndarray, target: Sequence[int], arrays: list):
+    for k, tree in enumerate(arrays):
+        leaf = walk(tree, b.bins, binned=True)
+        order = np.argsort(leaf, kind="stable")
+        r = (b.y[:, target[k]] - f[:, k])[order]
+        names, at = np.unique(leaf[order], return_index=True)
+        for name, part in zip(names.tolist(), np.split(r, at[1:]), strict=True):
+            yield (k, name), compress(part, np.ones(len(part)))
+
+
+def fit_boosts(train: DataFrame, wanted: Sequence[tuple[str, float]], n_rounds: int = 200, learning_rate: float = 0.1,
+               num_leaves: int = 50, max_depth: int = -1, min_rows_per_leaf: int = 20, max_bins: int = MAX_BINS,
+               checkpoint_every: int = 20, local_rows: int = LOCAL_ROWS) -> list[QuantileBoostModel]:
+    """One model for each (label, alpha) of ``wanted``.
+
+    ``train`` needs the ``features`` vector column; rows with a null label take no part; no rows raise ValueError.
+    Trees have at most ``num_leaves`` leaves and ``leaves_to_depth`` levels; of a level, the splits of the highest gain come first.
     """
-    preds, metrics = [], []
+    ensure_checkpoint_dir(train.sparkSession)
+    labels = list(dict.fromkeys(label for label, _ in wanted))
+    target = [labels.index(label) for label, _ in wanted]
+    alphas = [a for _, a in wanted]
+    frame = BinnedFrame(train, FEATURES, labels, max_bins)
+
+    def first(blocks):
+        for b in blocks:
+            for j in range(len(labels)):
+                yield j, compress(b.y[:, j], np.ones(len(b.y)))
+
+    start = dict(frame.rdd.mapPartitions(first).reduceByKey(merge_sketches, frame.meet).collect())
+    init = [sketch_quantile(*start[j], a) for j, a in zip(target, alphas, strict=True)]
+    rounds = _Rounds(learning_rate, num_leaves, leaves_to_depth(num_leaves, max_depth), min_rows_per_leaf, frame.edges)
+    fit = _fit_where_rows_meet if frame.rows <= local_rows else _fit_in_step
+    trees = fit(frame, rounds, target, alphas, init, n_rounds, checkpoint_every)
+    frame.free()
+    return [QuantileBoostModel(a, f0, learning_rate, label, own) for (label, a), f0, own in zip(wanted, init, trees, strict=True)]
+
+
+def _fit_where_rows_meet(frame: BinnedFrame, rounds: _Rounds, target: list, alphas: list, init: list, n_rounds: int, _: int) -> list[list]:
+    """At most ``local_rows`` rows: each model's rounds run in one task, the models side by side."""
+    offset, size, total = frame.offset, frame.size, frame.total
+
+    def run(blocks):
+        by_model: dict = {}
+        for k, b in blocks:
+            by_model.setdefault(k, []).append(b)
+        for k, own in by_model.items():
+            own.sort(key=lambda b: int(b.ids[0]))
+            b = _State(np.concatenate([x.bins for x in own]), np.concatenate([x.y for x in own])[:, [target[k]]], np.zeros((0, 0)))
+            f = np.full((len(b.y), 1), init[k])
+
+            def splits_of(arrays, open_nodes, b=b, f=f):
+                return {keys[slot]: (best_split(n, s, offset, size, rounds.least), 0, 0)
+                        for keys, at, w, v in _open_rows(b, f, [0], arrays, open_nodes) for slot, n, s in histogram(b.bins, at, w, v, offset, total)}
+
+            def quantiles_of(arrays, b=b, f=f, alpha=alphas[k]):
+                return [(key, sketch_quantile(*sketch, alpha)) for key, sketch in _leaf_residuals(b, f, [0], arrays)]
+
+            trees = []
+            for _ in range(n_rounds):
+                trees += rounds.grow(1, splits_of, quantiles_of)
+                f[:, 0] += trees[-1][5][walk(trees[-1], b.bins, binned=True)]
+            yield k, trees
+
+    sent = frame.rdd.flatMap(lambda b: [(k, b) for k in range(len(alphas))]).partitionBy(len(alphas), lambda k: k)
+    found = dict(sent.mapPartitions(run).collect())
+    return [found[k] for k in range(len(alphas))]
+
+
+def _fit_in_step(frame: BinnedFrame, rounds: _Rounds, target: list, alphas: list, init: list, n_rounds: int, checkpoint_every: int) -> list[list]:
+    """All models grow together: one job a level and one for the leaves, whatever the number of models."""
+    models = len(alphas)
+    state = _snapshot(frame.rdd.map(lambda b: _State(b.bins, b.y, np.tile(init, (len(b.y), 1)))), None)
+    frame.free()
+    frame.rdd = state
+    trees: list[list] = [[] for _ in alphas]
+    since: list[list] = [[] for _ in alphas]
+    for m in range(n_rounds):
+        def splits_of(arrays, open_nodes, since=since):
+            return level_splits(frame, lambda b: _open_rows(b, _now(b, since), target, arrays, open_nodes), rounds.least)
+
+        def quantiles_of(arrays, state=state, since=since):
+            sketches = state.mapPartitions(lambda blocks: (x for b in blocks for x in _leaf_residuals(b, _now(b, since), target, arrays)))
+            return sketches.reduceByKey(merge_sketches, frame.meet).map(lambda x: (x[0], sketch_quantile(*x[1], alphas[x[0][0]]))).collect()
+
+        for k, tree in enumerate(rounds.grow(models, splits_of, quantiles_of)):
+            trees[k].append(tree)
+            since[k] = [*since[k], tree]
+        if (m + 1) % checkpoint_every == 0 and m + 1 < n_rounds:
+            state = _snapshot(state.map(lambda b, since=since: _State(b.bins, b.y, _now(b, since))), state)
+            frame.rdd = state
+            since = [[] for _ in alphas]
+    return trees
+
+
+def _snapshot(new: RDD, old: RDD | None) -> RDD:
+    new.persist(StorageLevel.MEMORY_AND_DISK)
+    new.checkpoint()  # to the shared folder: short lineage, nothing is lost with an executor
+    new.count()
+    if old is not None:
+        old.unpersist()
+    return new
+
+
+def fit_quantile_boost(train: DataFrame, label: str, alpha: float, **params) -> QuantileBoostModel:
+    """Fit one quantile model."""
+    return fit_boosts(train, [(label, alpha)], **params)[0]
+
+
+def fit_quantile_models(train: DataFrame, label: str, alphas: Sequence[float] = ALPHAS, **params) -> dict[float, QuantileBoostModel]:
+    """One model per alpha, grown together."""
+    return dict(zip(alphas, fit_boosts(train, [(label, a) for a in alphas], **params), strict=True))
+
+
+def quantile_predictions(models: dict[float, QuantileBoostModel], test: DataFrame, label: str = "total_orders") -> DataFrame:
+    """One row per test row and alpha (long); write it with ``partitionBy("alpha")`` for one folder per quantile."""
     keep = [c for c in ("restaurant_id", "date") if c in test.columns] + [label]
+    wide = predict_columns(test.select(*keep, FEATURES), {f"_q{k}": m for k, m in enumerate(models.values())})
+    each = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(f"_q{k}").alias("prediction")) for k, a in enumerate(models)])
+    return wide.select(*keep, F.inline(each))
+
+
+def quantile_metrics(predictions: DataFrame, label: str = "total_orders") -> DataFrame:
+    """E3 of a long table: mean pinball loss and mae per alpha."""
+    y = F.col(label).cast("double")
+    loss = F.greatest(F.col("alpha") * (y - F.col("prediction")), (F.col("alpha") - 1) * (y - F.col("prediction")))
+    return predictions.groupBy("alpha").agg(F.avg(loss).alias("pinball_loss"), F.avg(F.abs(y - F.col("prediction"))).alias("mae"))
+
+
+def quantile_forecast(train: DataFrame, test: DataFrame, alphas: Sequence[float] = ALPHAS, label: str = "total_orders",
+                      **params) -> tuple[DataFrame, DataFrame, dict[float, QuantileBoostModel]]:
+    """Fit one model per alpha; return (long predictions, pinball/mae per alpha, models)."""
     models = fit_quantile_models(train, label, alphas, **params)
-    for a in alphas:
-        mdl = models[a]
-        p = mdl.transform(test.select(*keep, FEATURES)).select(
-            *keep, F.lit(float(a)).alias("alpha"), F.col("prediction"))
-        p = cut_lineage(p)
-        preds.append(p)
-        d = F.col(label).cast("double") - F.col("prediction")
-        metrics.append(p.agg(F.lit(float(a)).alias("alpha"),
-                             F.avg(F.greatest(F.lit(a) * d, F.lit(a - 1.0) * d)).alias("pinball_loss"),
-                             F.avg(F.abs(d)).alias("mae")))
-    long = preds[0]
-    for p in preds[1:]:
-        long = long.unionByName(p)
-    met = metrics[0]
-    for m in metrics[1:]:
-        met = met.unionByName(m)
-    return long, met, models
+    long = cut_lineage(quantile_predictions(models, test, label))
+    return long, quantile_metrics(long, label), models
+
+
+# ---- saving
+
+_NODES = "name string, tree int, node int, feature int, cut int, threshold double, left int, right int, value double, about string"
+
+
+def save_models(spark: SparkSession, models: dict[str, QuantileBoostModel], path: str) -> None:
+    """S8 for quantile models: one Parquet table for all of ``models``."""
+    rows = []
+    for name, m in models.items():
+        about = {"alpha": m.alpha, "init": m.init, "learning_rate": m.learning_rate, "label": m.label}
+        rows.append((name, -1, 0, None, None, None, None, None, None, json.dumps(about)))
+        for k, tree in enumerate(m.trees):
+            rows += [(name, k, i, *[c.item() for c in node], None) for i, node in enumerate(zip(*tree, strict=True))]
+    spark.createDataFrame(rows, _NODES).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_models(spark: SparkSession, path: str) -> dict[str, QuantileBoostModel]:
+    """The models of ``save_models``; a table holds rounds x leaves nodes a model, whatever the training rows."""
+    nodes = spark.read.schema(_NODES).parquet(path).toPandas().sort_values(["name", "tree", "node"])
+    out = {}
+    for name, own in nodes.groupby("name"):
+        m = QuantileBoostModel(**json.loads(own["about"].iloc[0]))
+        for _, t in own[own["tree"] >= 0].groupby("tree"):
+            m.trees.append((*[t[c].to_numpy().astype(int) for c in ("feature", "cut")], t["threshold"].to_numpy(), *[t[c].to_numpy().astype(int) for c in ("left", "right")], t["value"].to_numpy()))
+        out[name] = m
+    return out
 
 
 def pinball(y: Column, q: Column, alpha: float) -> Column:
     d = y - q
     return F.greatest(F.lit(alpha) * d, F.lit(alpha - 1.0) * d)
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

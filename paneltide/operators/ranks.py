@@ -1,20 +1,22 @@
 """Average ranks and exact quantiles without a global sort.
 
-Rank statistics (Spearman, Mann-Whitney, positional splits, quantiles)
-need, for each distinct value, the number of values below it.  A window
-ordered over the whole table would run in one task, so instead:
+Ranks: rank statistics (Spearman, Mann-Whitney, positional splits) need, for
+each distinct value, the number of values below it.  A window ordered over the
+whole table would run in one task, so instead:
 
 1. collapse the rows to distinct values with their counts (a hash
-   aggregate; a value holding a third of all rows becomes one row);
-2. cut the distinct values into ``BUCKETS`` ordered buckets at approximate
-   quantiles, read inside the plan as a scalar sub-query -- each bucket
-   holds about the same share of the distinct values;
-3. bucket totals -> prefix offsets over the bucket list (a few rows);
+   aggregate; a value holding a third of all rows becomes one row), written once
+   to the shared folder;
+2. cut the distinct values into ordered buckets of about ``BUCKET_VALUES`` at
+   approximate quantiles -- their number grows with the data;
+3. bucket totals -> prefix offsets over the bucket list;
 4. within each bucket a window partitioned by bucket adds the running
    count.  ``avg_rank = before + (count + 1) / 2`` is the tie-averaged
    1-based rank (scipy / pandas ``rank(method="average")``).
 
-The plan is the same at every size, and building it starts no job.
+Quantiles: a bounded sketch first says between which two values a quantile
+lies; then the rows outside of these ranges only count, and the values inside, a
+small share of the rows, are counted one by one.  The result is exact.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Ordered buckets of a ranking; a bucket is one window partition per group.
-BUCKETS = 256
-#: Accuracy of the approximate bucket bounds (they only balance the buckets).
+from ..session import cut_lineage
+
+#: Distinct values of a bucket of a ranking, about; a bucket is one window partition per group.
+BUCKET_VALUES = 100_000
+#: Accuracy of sketches: a sketched rank is off by at most one in this number of the rows.
 BOUND_ACCURACY = 10_000
 
 
@@ -56,7 +60,7 @@ def numeric_key(df: DataFrame, value: str) -> Column:
     return c.cast("double")
 
 
-def with_bucket(counts: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame:
+def with_bucket(counts: DataFrame, value: str, buckets: int) -> DataFrame:
     """Add ``_bucket``: how many of the ``buckets - 1`` bounds lie below the value (binary search)."""
     if buckets < 2:
         return counts.withColumn("_bucket", F.lit(0))
@@ -98,16 +102,21 @@ def _counted_before(value: str, by: Sequence[str]) -> Column:
 
 
 def ranked_values(counts: DataFrame, value: str, by: Sequence[str] = (), bounded: bool = False,
-                  buckets: int = BUCKETS) -> DataFrame:
+                  buckets: int | None = None) -> DataFrame:
     """Add ``before`` (count of smaller values) and ``avg_rank`` to a value-count table.
 
     ``by``: rank independently within each group (e.g. one ranking per
     feature in a long table); buckets are cut on the pooled values.
     ``bounded``: the values are calendar dates, so that one window over
     them is bounded by the calendar and needs no buckets.
+    The count table is written to the shared folder (a job starts here); the buckets hold
+    about ``BUCKET_VALUES`` of its rows, or as many as ``buckets`` says.
     """
     by = list(by)
-    if bounded:
+    if not bounded:
+        counts = cut_lineage(counts)
+        buckets = buckets or -(-counts.count() // BUCKET_VALUES)
+    if bounded or buckets < 2:
         out = counts.withColumn("_bucket", F.lit(0)).withColumn("before", _counted_before(value, by))
     else:
         b = with_bucket(counts, value, buckets)
@@ -117,12 +126,12 @@ def ranked_values(counts: DataFrame, value: str, by: Sequence[str] = (), bounded
               .drop("_bucket")
 
 
-def average_ranks(df: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
     """(value, cnt, before, avg_rank) for the non-null values of ``df``."""
     return ranked_values(value_counts(df, value), value, buckets=buckets)
 
 
-def with_rank(df: DataFrame, value: str, rank_col: str, buckets: int = BUCKETS) -> DataFrame:
+def with_rank(df: DataFrame, value: str, rank_col: str, buckets: int | None = None) -> DataFrame:
     """Attach the tie-averaged rank of ``value`` to every row (NULL -> NULL).
 
     The join back is on the value; a hot value is one skewed partition on
@@ -132,44 +141,102 @@ def with_rank(df: DataFrame, value: str, rank_col: str, buckets: int = BUCKETS)
     return df.join(ranks, value, "left")
 
 
+def _around(probs: Sequence[float], accuracy: int) -> list[float]:
+    """Sketch probabilities on both sides of each quantile, further away than the sketch can err."""
+    return [min(1.0, max(0.0, q + side * 2.0 / accuracy)) for q in probs for side in (-1, 1)]
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    buckets: int = BUCKETS) -> DataFrame:
+                    accuracy: int = BOUND_ACCURACY) -> DataFrame:
     """Exact quantiles with pandas' linear interpolation, without a single-task merge.
 
     ``percentile`` keeps a value->count map per group and merges all maps in
-    one task, which grows with the number of distinct values.  Here the
-    bucket totals tell which buckets hold the 0-based positions ``floor(h)``
-    and ``ceil(h)``, ``h = (n-1)q``; only those buckets are ranked, and the
-    values at the positions are interpolated.  NULL and NaN are missing.
+    one task, which grows with the number of distinct values.  Here a sketch (``accuracy``) gives each
+    group a range of values around each quantile.  Values inside a range are counted by value, those between ranges
+    only in all, with their smallest and largest; the running count
+    finds the 0-based positions ``floor(h)`` and ``ceil(h)``, ``h = (n-1)q``.  A group's window holds about ``4 n / accuracy`` rows a quantile.
+    NULL and NaN are missing.
     Output: one row per group with ``q<i>`` columns (no group: one row, NULL
     where there are no values); a NULL group is a group.
     """
     by = list(by)
     base = df.select(*by, present(value).alias("_v")).where(F.col("_v").isNotNull())
-    counts = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("cnt"))
-    b = with_bucket(counts, "_v", buckets)
+    ranges = base.groupBy(*by).agg(F.percentile_approx("_v", _around(probs, accuracy), accuracy).alias("_r"))
+    if by:
+        near = ranges.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(by)], "_r")
+        cond = F.lit(True)
+        for i, k in enumerate(by):
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+        near = base.join(near, cond).drop(*[f"_g{i}" for i in range(len(by))])
+    else:
+        near = base.withColumn("_r", ranges.select("_r").scalar())
+    low, high = [F.get("_r", F.lit(2 * i)) for i in range(len(probs))], [F.get("_r", F.lit(2 * i + 1)) for i in range(len(probs))]
+    inside, below = F.lit(False), F.lit(None).cast("double")
+    for lo, hi in zip(low, high, strict=True):
+        inside = inside | F.col("_v").between(lo, hi)
+        below = F.greatest(below, F.when(hi < F.col("_v"), hi))
+    # a value between ranges is filed behind the range below it
+    filed = near.select(*by, F.when(inside, F.col("_v")).otherwise(below).alias("_k"), F.when(inside, 0).otherwise(1).alias("_side"), "_v")
+    counts = filed.groupBy(*by, "_k", "_side").agg(F.count(F.lit(1)).alias("cnt"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    order = Window.partitionBy(*by).orderBy(F.col("_k").asc_nulls_first(), "_side")
+    counts = counts.withColumn("_before", F.coalesce(F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
+                   .withColumn("_n", F.sum("cnt").over(Window.partitionBy(*by)))
     h = [(F.col("_n") - 1).cast("double") * F.lit(float(q)) for q in probs]
-    places = [f(x) for x in h for f in (F.floor, F.ceil)]
-    holds = lambda p, first, n: (p >= first) & (p < first + n)
-    wanted = F.lit(False)
-    for p in places:
-        wanted = wanted | holds(p, F.col("_offset"), F.col("_bcnt"))
-    hit = _join_offsets(b, _bucket_offsets(b, by).where(wanted), by)
-    hit = hit.withColumn("_before", F.col("_offset") + _counted_before("_v", by))
-    at = [F.max(F.when(holds(p, F.col("_before"), F.col("cnt")), F.col("_v"))).alias(f"_p{i}") for i, p in enumerate(places)]
-    picked = hit.groupBy(*by).agg(F.max("_n").alias("_n"), *at)
+    at = []
+    for i, x in enumerate(h):
+        for name, place in ((f"_lo{i}", F.floor(x)), (f"_hi{i}", F.ceil(x))):
+            held = (place >= F.col("_before")) & (place < F.col("_before") + F.col("cnt"))
+            found = F.when(place == F.col("_before"), F.col("_low")).when(place == F.col("_before") + F.col("cnt") - 1, F.col("_high")) \
+                     .when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.raise_error(F.lit("a quantile lies outside of its range")).cast("double"))
+            at.append(F.max(F.when(held, found)).alias(name))
+    picked = counts.groupBy(*by).agg(F.max("_n").alias("_n"), *at)
     out = []
     for i, x in enumerate(h):
-        lo, hi = F.col(f"_p{2 * i}"), F.col(f"_p{2 * i + 1}")
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         out.append(F.when(lo == hi, lo).otherwise(lo + (x - F.floor(x)) * (hi - lo)).alias(f"q{i}"))
     return picked.select(*by, *out)
 
 
+def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float], method: str = "exact",
+                    accuracy: int = BOUND_ACCURACY) -> dict[str, list[float | None]]:
+    """The quantiles of several numeric columns, as numbers (jobs start here).
+
+    One aggregate sketches all columns at once.  Where the sketch's two sides agree (values that
+    many rows share) the quantile is known; the other columns go through ``exact_quantiles`` together.
+    """
+    columns = list(dict.fromkeys(columns))
+    if not columns:
+        return {}
+    if method not in ("exact", "approx"):
+        raise ValueError("method is exact or approx")
+    if method == "approx":
+        row = df.agg(*[F.percentile_approx(present(c), list(probs), accuracy).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+        return {c: list(row[f"c{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
+    wide = [min(1.0, max(0.0, q + side * 4.0 / accuracy)) for q in probs for side in (-1, 1)]
+    row = df.agg(*[F.struct(F.count(present(c)).alias("n"), F.percentile_approx(present(c), wide, accuracy).alias("r")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    out: dict[str, list] = {}
+    open_columns = []
+    for i, c in enumerate(columns):
+        n, r = row[f"c{i}"]["n"], row[f"c{i}"]["r"]
+        if n == 0:
+            out[c] = [None] * len(probs)
+        elif r[0::2] == r[1::2] and n >= accuracy:  # with fewer rows the sides may miss the next row
+            out[c] = list(r[0::2])
+        else:
+            open_columns.append(c)
+    if open_columns:
+        pairs = [F.struct(F.lit(i).alias("i"), present(c).alias("v")) for i, c in enumerate(open_columns)]
+        long = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+        for r in exact_quantiles(long, "v", probs, ["i"], accuracy).collect():  # one row a column
+            out[open_columns[r["i"]]] = [r[f"q{k}"] for k in range(len(probs))]
+    return out
+
+
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], method: str = "exact") -> DataFrame:
-    """(column, q0, q1, ...) of several numeric columns in one ranking; ``approx`` uses bounded sketches."""
-    pairs = [F.struct(F.lit(c).alias("column"), present(c).alias("v")) for c in columns]
-    long = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
-    return quantiles(long, "v", probs, ["column"], method)
+    """(column, q0, q1, ...) of several numeric columns; ``approx`` uses bounded sketches."""
+    found = quantile_values(df, columns, probs, method)
+    schema = ", ".join(["column string", *[f"q{i} double" for i in range(len(probs))]])
+    return df.sparkSession.createDataFrame([(c, *[None if v is None else float(v) for v in q]) for c, q in found.items()], schema)
 
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), method: str = "exact") -> DataFrame:

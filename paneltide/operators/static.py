@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from .ranks import column_quantiles
+from .ranks import quantile_values
 
 # Raw text / high-cardinality columns dropped from the output.
 DROP_COLUMNS = [
@@ -29,20 +29,15 @@ YES_NO_COLUMNS = ["has_table_booking", "has_online_delivery", "is_delivering_now
 
 
 def static_features(master: DataFrame, method: str = "exact") -> DataFrame:
-    """X3.  ``method``: the two 75th percentiles are ``exact`` (one ranking of both columns) or ``approx``."""
+    """X3.  ``method``: the two 75th percentiles are ``exact`` or ``approx``."""
     cols = master.columns
     qcols = [c for c in ("average_cost_for_two", "votes") if c in cols]
-    found = column_quantiles(master, qcols, [0.75], method).select(
-        F.map_from_entries(F.collect_list(F.struct("column", "q0")))).scalar() if qcols else None
+    found = quantile_values(master, qcols, [0.75], method)
 
     def q75(c: str):
-        return found[c] if c in qcols else F.lit(None).cast("double")
+        return F.lit(found[c][0] if c in qcols else None).cast("double")
 
-    stats = master.select(F.struct(
-        q75("average_cost_for_two").alias("cost_q75"),
-        q75("votes").alias("votes_q75"),
-        F.count(F.lit(1)).alias("n_rows"),
-    )).scalar()
+    stats = {"cost_q75": q75("average_cost_for_two"), "votes_q75": q75("votes"), "n_rows": master.select(F.count(F.lit(1))).scalar()}
 
     out = []
     # 1. boolean flags (switch_to_order_menu is dropped)

@@ -3,7 +3,8 @@
 Every feature here is a window expression over the same specification
 ``PARTITION BY restaurant_id ORDER BY date`` with a ROWS frame that ends at
 the current row.  Building them as one ``select`` lets Catalyst put all of
-them in a single Window operator behind one Exchange and one Sort.
+them (but the exponential mean, which takes a few more windows of the same order)
+in a single Window operator behind one Exchange and one Sort.
 
 Lags are *row* lags (the previous row of the entity, not the previous
 calendar day), as in the reference.  Densify the series first
@@ -13,8 +14,8 @@ Scale: with a unique (entity, date) key a series holds at most one row per
 calendar day, so one window partition is bounded by the length of the
 calendar (a few thousand rows for decades of data) however large the panel
 grows; the panel's size comes from the number of entities, which spreads
-over the shuffle partitions.  The widest frame is the exponential mean's
-history (``EWM_HISTORY`` rows), also bounded.
+over the shuffle partitions.  The exponential mean is exact for any span
+and length: it folds its own block of rows and the finished blocks.
 """
 
 from __future__ import annotations
@@ -35,10 +36,8 @@ REVENUE_ROLLING_WINDOWS = [7, 14]
 BASIC_LAGS = [1, 7, 14]
 ROLLING_STATS = ["mean", "std", "min", "max"]
 
-# Rows of history kept for the exponential mean.  With span 7 the weight of
-# a value 160 rows back is 0.75**160 ~ 1e-20, far below double resolution,
-# so the bounded frame gives the same doubles as the infinite recursion.
-EWM_HISTORY = 160
+#: Rows of a block of the exponential mean; any number gives the same means.
+EWM_BLOCK = 32
 
 
 def series_window(entity: str = ENTITY, order: str = DATE) -> WindowSpec:
@@ -91,80 +90,51 @@ def diff_column(col: str, k: int, w: WindowSpec | None = None) -> Column:
     return x - F.lag(x, k).over(w)
 
 
-ROW_INDEX = "_t"
-# Block length of the rescaled exponential sums; must exceed EWM_HISTORY.
-EWM_BLOCK = 256
+def with_ewm(df: DataFrame, means: Sequence[tuple[str, int, str]], w: WindowSpec | None = None, leak_safe: bool = False,
+             block: int = EWM_BLOCK) -> DataFrame:
+    """``df`` with exponentially weighted means (pandas ``ewm(span, adjust=False)``): ``means`` holds (column, span, name).
 
+    ``y0 = x0``, ``yt = (1-a) y(t-1) + a xt`` with ``a = 2/(span+1)``, over the whole series whatever its length and span.
+    A NULL or NaN ages the mean, as pandas does: after g of them, with ``v = (1-a)**(g+1)``, ``yt = (v y + a xt) / (v + a)``; at a missing value
+    the mean so far stands, before the first value NULL.  ``leak_safe``: the mean up to the previous row.
 
-def with_row_index(df: DataFrame, w: WindowSpec | None = None) -> DataFrame:
-    """0-based position of each row in its entity's series (needed by ``ewm_mean``)."""
-    return df.select("*", (F.row_number().over(w or series_window()) - 1).alias(ROW_INDEX))
-
-
-def ewm_mean_sliding(col: str, span: int = 7, w: WindowSpec | None = None,
-                     history: int = EWM_HISTORY, block: int = EWM_BLOCK) -> Column:
-    """Exponentially weighted mean, array-free variant (needs ``with_row_index``).
-
-    ``y0 = x0``, ``yt = r*y(t-1) + a*xt`` with ``a = 2/(span+1)``, ``r = 1-a``,
-    i.e. ``yt = sum_i r**(t-i) * zi`` with ``z0 = x0`` and ``zi = a*xi``.
-    Spark has no recursive window function, and ``r**-i`` overflows for long
-    series, so each value is scaled relative to the start of its block of
-    ``block`` rows: ``ui = zi * r**-(i mod block)``.  A trailing frame of
-    ``history`` (< ``block``) rows spans at most the current and the previous
-    block, told apart by block parity, so
-
-        yt = r**(t mod block) * (S_same + r**block * S_prev)
-
-    where ``S_same`` / ``S_prev`` are two ordinary sliding ``sum``s of the
-    ``u`` of even- or odd-block rows.  Everything is codegen'd arithmetic in
-    the shared Window operator -- no arrays, no lambdas.  Terms older than
-    ``history`` rows weigh ``r**160 ~ 1e-20`` of the newest and are below
-    double resolution.  NULL inputs contribute nothing.
-
-    The rescaling factors are not exact binary fractions, so results can
-    differ from the recursion by about one ulp (enough to flip a rounding
-    tie); ``ewm_mean`` is the default for that reason.
+    Spark has no recursive window function.  A row is an affine map ``y -> b y + c``;
+    the maps of a block of rows compose to one map.  So a row folds the rows of its own block, starting from the fold of
+    the finished blocks: ``block + n / block`` steps for the n-th row.  All windows share one partitioning and order (one
+    Exchange, one Sort).
     """
-    if history >= block:
-        raise ValueError("history must be shorter than block")
     w = w or series_window()
-    a = 2.0 / (span + 1.0)
-    r = 1.0 - a
-    t = F.col(ROW_INDEX)
-    off = t % block
-    parity = F.floor(t / block) % 2
-    x = F.col(col).cast("double")
-    z = F.when(t == 0, x).otherwise(x * F.lit(a))
-    u = z * F.pow(F.lit(1.0 / r), off)
-    frame = w.rowsBetween(-history, Window.currentRow)
-    s_even = F.sum(F.when(parity == 0, u)).over(frame)
-    s_odd = F.sum(F.when(parity == 1, u)).over(frame)
-    same = F.when(parity == 0, s_even).otherwise(s_odd)
-    prev = F.when(parity == 0, s_odd).otherwise(s_even)
-    return F.pow(F.lit(r), off) * (F.coalesce(same, F.lit(0.0)) + F.lit(r ** block) * F.coalesce(prev, F.lit(0.0)))
-
-
-def ewm_mean(col: str, span: int = 7, w: WindowSpec | None = None,
-             history: int = EWM_HISTORY, leak_safe: bool = False) -> Column:
-    """Exponentially weighted mean with ``adjust=False`` (pandas ``ewm``).
-
-    ``y0 = x0``, ``yt = (1-a)*y(t-1) + a*xt`` with ``a = 2/(span+1)``.  There
-    is no recursive window function in Spark; the recursion is folded over
-    the bounded trailing frame with the higher-order ``aggregate`` (JVM side,
-    no Python), in the same order of operations as pandas, so results are
-    bit-compatible.  The frame is ``history`` rows (see ``EWM_HISTORY``).
-    NULL inputs are skipped, as ``collect_list`` drops them.  ``leak_safe``:
-    the mean up to the previous row (today's value not included).
-    """
-    w = (w or series_window())
-    w = w.rowsBetween(-history - 1, -1) if leak_safe else w.rowsBetween(-history, Window.currentRow)
-    a = 2.0 / (span + 1.0)
-    hist = F.collect_list(F.col(col).cast("double")).over(w)
-    return F.aggregate(
-        hist,
-        F.lit(None).cast("double"),
-        lambda acc, v: F.coalesce(acc * F.lit(1.0 - a) + v * F.lit(a), v),
-    )
+    before, head = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(-(block - 1), Window.currentRow)
+    out = df.withColumn("_t", F.row_number().over(w) - 1)
+    inputs = list(dict.fromkeys(c for c, _, _ in means))
+    value = {c: F.nullif(F.col(c).cast("double"), F.lit(float("nan"))) for c in inputs}
+    out = out.select("*", *[F.last(F.when(value[c].isNotNull(), F.col("_t")), ignorenulls=True).over(before).alias(f"_seen{i}") for i, c in enumerate(inputs)])
+    maps = []
+    for k, (c, span, _) in enumerate(means):
+        a = 2.0 / (span + 1.0)
+        x, seen = value[c], F.col(f"_seen{inputs.index(c)}")
+        gap = F.col("_t") - seen
+        old = F.when(gap == 1, F.lit(1.0 - a)).otherwise(F.pow(F.lit(1.0 - a), gap))
+        total = F.when(gap == 1, F.lit(1.0)).otherwise(old + F.lit(a))  # without a gap the weights are 1-a and a
+        maps.append(F.struct((F.floor(F.col("_t") / block)).alias("block"),
+                             F.when(x.isNull(), 1.0).when(seen.isNull(), 0.0).otherwise(old / total).alias("b"),
+                             F.when(x.isNull(), 0.0).when(seen.isNull(), x).otherwise(x * F.lit(a) / total).alias("c")).alias(f"_map{k}"))
+    out = out.select("*", *maps)
+    own = lambda k: F.filter(F.collect_list(f"_map{k}").over(head), lambda m: m["block"] == F.floor(F.col("_t") / block))
+    out = out.select("*", *[own(k).alias(f"_own{k}") for k in range(len(means))])
+    one = F.struct(F.lit(1.0).alias("b"), F.lit(0.0).alias("c"))
+    whole = lambda k: F.aggregate(f"_own{k}", one, lambda m, r: F.struct((m["b"] * r["b"]).alias("b"), (m["c"] * r["b"] + r["c"]).alias("c")))
+    ended = F.col("_t") % block == block - 1
+    out = out.select("*", *[F.collect_list(F.when(ended, whole(k))).over(before).alias(f"_done{k}") for k in range(len(means))])
+    fold = lambda maps, start: F.aggregate(maps, start, lambda y, m: y * m["b"] + m["c"])
+    found = []
+    for k, (c, _, name) in enumerate(means):
+        y = F.when(value[c].isNotNull() | F.col(f"_seen{inputs.index(c)}").isNotNull(), fold(f"_own{k}", fold(f"_done{k}", F.lit(0.0))))
+        found.append(y.alias(name))
+    out = out.select("*", *found)
+    if leak_safe:
+        out = out.withColumns({name: F.lag(name).over(w) for _, _, name in means})
+    return out.select(*df.columns, *[name for _, _, name in means])
 
 
 def momentum(col: str, n: int = 7, w: WindowSpec | None = None) -> Column:
@@ -193,21 +163,23 @@ def revenue_rolling_columns(w: WindowSpec | None = None, leak_safe: bool = False
     return rolling_columns("total_revenue", REVENUE_ROLLING_WINDOWS, ["mean"], "revenue_", w, leak_safe=leak_safe)
 
 
+#: The exponential mean of the temporal features: (column, span, name).
+TREND_EWM = [("total_orders", 7, "orders_ewm_7")]
+
+
 def trend_columns(w: WindowSpec | None = None, leak_safe: bool = False) -> list[Column]:
-    """Diffs, momentum and exponential mean.
+    """Diffs and momentum (the exponential mean: ``with_ewm``).
 
     ``leak_safe``: the diffs and the momentum contain today's target
-    (``diff_1 + lag_1 = target``), so they are dropped and the exponential
-    mean stops at the previous row.
+    (``diff_1 + lag_1 = target``), so they are dropped.
     """
     if leak_safe:
-        return [ewm_mean("total_orders", 7, w, leak_safe=True).alias("orders_ewm_7")]
+        return []
     return [
         diff_column("total_orders", 1, w).alias("orders_diff_1"),
         diff_column("total_orders", 7, w).alias("orders_diff_7"),
         diff_column("total_revenue", 1, w).alias("revenue_diff_1"),
         momentum("total_orders", 7, w).alias("orders_momentum_7"),
-        ewm_mean("total_orders", 7, w).alias("orders_ewm_7"),
     ]
 
 
@@ -217,27 +189,3 @@ def basic_window_columns(w: WindowSpec | None = None) -> list[Column]:
         rolling_stat("total_orders", 7, "mean", w, min_periods=7).alias("rolling_mean_7"),
         rolling_stat("total_orders", 7, "std", w, min_periods=7).alias("rolling_std_7"),
     ]
-
-
-def add(df: DataFrame, columns: list[Column]) -> DataFrame:
-    return df.select("*", *columns)
-
-
-def add_order_lags(df: DataFrame) -> DataFrame:
-    return add(df, order_lag_columns())
-
-
-def add_revenue_lags(df: DataFrame) -> DataFrame:
-    return add(df, revenue_lag_columns())
-
-
-def add_order_rolling(df: DataFrame) -> DataFrame:
-    return add(df, order_rolling_columns())
-
-
-def add_revenue_rolling(df: DataFrame) -> DataFrame:
-    return add(df, revenue_rolling_columns())
-
-
-def add_trend(df: DataFrame) -> DataFrame:
-    return add(df, trend_columns())

@@ -53,7 +53,30 @@ def q_revenue_rolling(spark, sf):
 
 
 def q_trend_features(spark, sf):
-    return _keyed(spark, sf, W.trend_columns())
+    d = load_inputs(spark, sf).daily_orders
+    return rounded(W.with_ewm(d.select(*KEY, "total_orders", *W.trend_columns()), W.TREND_EWM).drop("total_orders"))
+
+
+#: Spans of the exponential means that are compared.
+EWM_SPANS = [7, 60, 100]
+
+
+def q_ewm_spans(spark, sf):
+    """Means of several spans, of the orders and of the orders with every value divisible by three missing."""
+    d = load_inputs(spark, sf).daily_orders.select(*KEY, F.col("total_orders").alias("x"), F.when(F.col("total_orders") % 3 != 0, F.col("total_orders")).alias("gappy"))
+    means = [(c, n, f"{c}_ewm_{n}") for c in ("x", "gappy") for n in EWM_SPANS]
+    return rounded(W.with_ewm(d, means).drop("x", "gappy"))
+
+
+def o_ewm_spans() -> str:
+    def mean(c, n):
+        a = f"CAST({2.0 / (n + 1.0)!r} AS DOUBLE)"
+        step = (f"lambda p, v: CASE WHEN p.y IS NULL THEN v WHEN v.y IS NULL THEN {{'y': p.y, 'w': p.w * (1.0::DOUBLE - {a})}} ELSE "
+                f"{{'y': (p.w * (1.0::DOUBLE - {a}) * p.y + {a} * v.y) / (p.w * (1.0::DOUBLE - {a}) + {a}), 'w': 1.0::DOUBLE}} END")
+        return r(f"list_reduce(LIST({{'y': {c}, 'w': 1.0::DOUBLE}}) OVER wh, {step}).y", f"{c}_ewm_{n}")
+    cols = ", ".join(mean(c, n) for c in ("x", "gappy") for n in EWM_SPANS)
+    return duck_with(f"""WITH s AS (SELECT restaurant_id, date, CAST(total_orders AS DOUBLE) AS x, CAST(CASE WHEN total_orders % 3 <> 0 THEN total_orders END AS DOUBLE) AS gappy FROM daily_orders)
+SELECT restaurant_id, date, {cols} FROM s WINDOW wh AS (PARTITION BY restaurant_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", "daily_orders")
 
 
 def q_calendar_features(spark, sf):
@@ -182,7 +205,7 @@ QUERIES = {
     "revenue_lags": q_revenue_lags,
     "order_rolling": q_order_rolling,
     "revenue_rolling": q_revenue_rolling,
-    "trend_features": q_trend_features,
+    "trend_features": q_trend_features, "ewm_spans": q_ewm_spans,
     "calendar_features": q_calendar_features,
     "merge_context": q_merge_context,
     "join_city": q_join_city,
@@ -213,7 +236,7 @@ WINDOW w AS (PARTITION BY restaurant_id ORDER BY date),
        w7 AS (PARTITION BY restaurant_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
        w14 AS (PARTITION BY restaurant_id ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW),
        w30 AS (PARTITION BY restaurant_id ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW),
-       wh AS (PARTITION BY restaurant_id ORDER BY date ROWS BETWEEN 300 PRECEDING AND CURRENT ROW)
+       wh AS (PARTITION BY restaurant_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """
 
 _DOW = "(isodow(date) - 1)"
@@ -501,7 +524,7 @@ WINDOW w AS (PARTITION BY restaurant_id ORDER BY date),
        w7 AS (PARTITION BY restaurant_id ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
        w14 AS (PARTITION BY restaurant_id ORDER BY date ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING),
        w30 AS (PARTITION BY restaurant_id ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING),
-       wh AS (PARTITION BY restaurant_id ORDER BY date ROWS BETWEEN 301 PRECEDING AND 1 PRECEDING)
+       wh AS (PARTITION BY restaurant_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 """
 
 
@@ -559,7 +582,7 @@ def oracles() -> dict[str, str]:
         "revenue_lags": _keyed_sql(_lags_sql("total_revenue", W.REVENUE_LAGS, "revenue_lag_")),
         "order_rolling": _keyed_sql(_rolling_sql()),
         "revenue_rolling": _keyed_sql(_revenue_rolling_sql()),
-        "trend_features": _keyed_sql(_trend_sql()),
+        "trend_features": _keyed_sql(_trend_sql()), "ewm_spans": o_ewm_spans(),
         "calendar_features": _keyed_sql(_calendar_sql()),
         "merge_context": o_merge_context(),
         "join_city": o_join_city(),

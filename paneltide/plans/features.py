@@ -1,7 +1,7 @@
 """Composite feature plans X1-X5.
 
 Each is one lazy DataFrame: read -> one select holding every window
-expression (one Exchange + one Sort + one Window) -> lookup joins.
+expression (one Exchange + one Sort), the exponential mean over the same order -> lookup joins.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def temporal_window_features(daily: DataFrame, leak_safe: bool = False) -> DataF
     columns that contain the target.
     """
     w = W.series_window()
-    return daily.select(
+    out = daily.select(
         "*",
         *calendar_columns("date"),
         *W.order_lag_columns(w),
@@ -40,6 +40,7 @@ def temporal_window_features(daily: DataFrame, leak_safe: bool = False) -> DataF
         *W.revenue_rolling_columns(w, leak_safe),
         *W.trend_columns(w, leak_safe),
     )
+    return W.with_ewm(out, W.TREND_EWM, w, leak_safe)
 
 
 def temporal_features(daily: DataFrame, context: DataFrame, master: DataFrame,

@@ -4,6 +4,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from paneltide.functions import stats as ST
 from paneltide.operators import correlation as C
@@ -92,22 +94,22 @@ def test_exact_quantiles_match_pandas(spark):
     pdf.loc[::17, "v"] = np.nan
     df = spark.createDataFrame(pdf)
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    for buckets in (1, 3, 256):
-        one = RK.exact_quantiles(df, "v", probs, buckets=buckets).first()
+    for accuracy in (10, 60, 10_000):
+        one = RK.exact_quantiles(df, "v", probs, accuracy=accuracy).first()
         exp = pdf["v"].quantile(probs).to_numpy()
         assert np.allclose([one[f"q{i}"] for i in range(5)], exp)
-        grp = RK.exact_quantiles(df, "v", probs, by=["g"], buckets=buckets).toPandas().set_index("g")
+        grp = RK.exact_quantiles(df, "v", probs, by=["g"], accuracy=accuracy).toPandas().set_index("g")
         for g, sub in pdf.groupby("g"):
             assert np.allclose(grp.loc[g, [f"q{i}" for i in range(5)]].to_numpy(float),
                                sub["v"].quantile(probs).to_numpy())
 
 
 def test_missing_values_and_null_groups_of_quantiles(spark):
-    """NaN and NULL are missing, a NULL group is a group, and the number of buckets changes nothing."""
+    """NaN and NULL are missing, a NULL group is a group, and the sketch's accuracy changes nothing."""
     rows = [(None, 1.0), (None, 3.0), ("a", float("nan")), ("a", 5.0), ("a", None), ("b", None), ("c", float("inf")), ("c", float("inf"))]
     df = spark.createDataFrame(rows, "g string, v double")
-    for buckets in (1, 3, 256):
-        got = {r["g"]: r["q0"] for r in RK.exact_quantiles(df, "v", [0.5], by=["g"], buckets=buckets).collect()}
+    for accuracy in (10, 60, 10_000):
+        got = {r["g"]: r["q0"] for r in RK.exact_quantiles(df, "v", [0.5], by=["g"], accuracy=accuracy).collect()}
         assert got == {None: 2.0, "a": 5.0, "c": float("inf")}
     empty = RK.exact_quantiles(df.where("false"), "v", [0.25, 0.5]).collect()
     assert [tuple(r) for r in empty] == [(None, None)]
@@ -120,3 +122,37 @@ def test_histogram_has_empty_bins(spark):
     got = {r["bin"]: r["count"] for r in histogram(df, "v", 10).collect()}
     assert got == {0: 2, 9: 1, **{i: 0 for i in range(1, 9)}}
     assert histogram(df.where("false"), "v", 10).count() == 0
+
+
+def test_quantile_values_of_many_columns(spark):
+    """Columns that the sketch settles, columns that it doesn't, and columns without values; any size gives pandas' numbers."""
+    rng = np.random.default_rng(12)
+    n = 20_000
+    pdf = pd.DataFrame({"few": rng.integers(0, 5, n).astype(float), "many": rng.normal(0, 1, n), "tail": rng.lognormal(0, 2, n), "same": 7.0})
+    pdf.loc[rng.random(n) < 0.3, "many"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("none", F.lit(None).cast("double")).repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    for accuracy in (100, 2_000, 10_000):
+        got = RK.quantile_values(df, ["few", "many", "tail", "same", "none"], probs, accuracy=accuracy)
+        for c in pdf.columns:
+            assert np.allclose(got[c], pdf[c].quantile(probs).to_numpy(), rtol=1e-12), (c, accuracy)
+        assert got["none"] == [None] * len(probs)
+    small = RK.quantile_values(df.limit(7), ["many"], [0.5])
+    assert small["many"] == [pytest.approx(df.limit(7).toPandas()["many"].median())]
+
+
+def test_quality_report_plan_is_small(spark):
+    """The quartiles stand in the plan as numbers: a handful of Exchanges, no Window."""
+    import datetime as dt
+
+    from paneltide.operators.quality import quality_report
+
+    daily = spark.createDataFrame([(1, dt.date(2024, 1, 1 + i), float(i), 2.0 * i) for i in range(20)], "restaurant_id long, date date, total_orders double, total_revenue double")
+    master = spark.createDataFrame([(1, "a"), (1, None)], "restaurant_id long, city string")
+    context = spark.createDataFrame([(dt.date(2024, 1, 1), "a")], "date date, city string")
+    out = quality_report(master, daily, context)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 10 and "Window" not in plan
+    got = {(r["dataset"], r["check"], r["column"]): r["value"] for r in out.collect()}
+    assert got["restaurants", "duplicate_ids", "restaurant_id"] == 1 and got["restaurants", "missing_values", None] == 1
+    assert got["daily_orders", "iqr_outliers", "total_orders"] == 0 and len(got) == 9

@@ -108,7 +108,7 @@ def test_forest_grows_deeper_than_ten(spark):
     x = np.repeat(np.arange(24.0), 20)
     pdf = pd.DataFrame({"x": x, "total_orders": 3.0 ** x, "total_revenue": 3.0 ** x})
     train = _assembled(spark, pdf)
-    got = M.multi_output_forest(train, train.where("x < 4"), n_trees=3).collect()
+    got = M.multi_output_forest(train, train.where("x < 4"), n_trees=3).metrics.collect()
     assert all(r["mae"] < 100 for r in got)
 
 
@@ -124,14 +124,14 @@ def test_score_batch_answers_requests_without_features(spark):
     import datetime as dt
     from paneltide.plans.training import score_batch
 
-    class Constant:
-        def transform(self, df, output):
-            return df.withColumn(output, F.lit(5.0))
+    from paneltide.operators.preparation import FeaturePreparationModel
 
-    models = {a: Constant() for a in (0.1, 0.5, 0.9)}
+    models = {a: Q.QuantileBoostModel(a, 5.0, 0.1) for a in (0.1, 0.5, 0.9)}
+    names = ["avg_discount", "promotion_flag"]
+    fitted = FeaturePreparationModel(inputCols=names, outputCol="features", values=[0.0, 0.0])
     feats = spark.createDataFrame([(1, dt.date(2024, 1, 1), 0.1, False)], "restaurant_id long, date date, avg_discount double, promotion_flag boolean")
     for asked in ([("1", "2024-01-01"), ("2", "2024-01-01"), ("1", "2024-01-02")], [("7", "2024-01-01")]):
         requests = spark.createDataFrame([(*a, 0.2, True) for a in asked], "restaurant_id string, date string, discount double, promotion_flag boolean")
-        got = score_batch(requests, feats, models, models, ["avg_discount", "promotion_flag"]).collect()
+        got = score_batch(requests, feats, models, models, fitted).collect()
         assert {(r["restaurant_id"], r["date"]): (r["status"], r["predicted_orders"]) for r in got} == \
             {a: ("ok", 5.0) if a == ("1", "2024-01-01") else ("no_features", None) for a in asked}
