@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .trees import MAX_BINS, BinnedFrame, Tree, level_splits, to_blocks, walk
+from .trees import MAX_BINS, TIE, BinnedFrame, Tree, level_splits, to_blocks, walk
 
 LOCAL_ROWS = 32_768
 #: Trees (times targets) whose rows are dealt at once; bounds the shuffle to so many copies of the rows.
@@ -64,7 +64,6 @@ def finish(bins: np.ndarray, y: np.ndarray, w: np.ndarray, max_depth: int | None
         value_of.update(zip(level.tolist(), (total_s / total_w).tolist(), strict=True))
         mixed = np.maximum.reduceat(y[rows], starts) > np.minimum.reduceat(y[rows], starts)
         best = np.where(mixed, total_s**2 / total_w, np.inf)
-        best += np.abs(best) * 1e-12
         feature, cut = np.full(len(level), -1), np.zeros(len(level), np.int64)
         if max_depth is None or depth < max_depth:
             for f, o in enumerate(order):
@@ -80,10 +79,10 @@ def finish(bins: np.ndarray, y: np.ndarray, w: np.ndarray, max_depth: int | None
                 gain = ls**2 / lw + (total_s[ra] - ls) ** 2 / (total_w[ra] - lw)
                 own = np.flatnonzero(np.concatenate([[True], ra[1:] != ra[:-1]]))
                 top = np.maximum.reduceat(gain, own)
-                better = top > best[ra[own]]
+                better = top > best[ra[own]] * (1 + TIE) + 1e-300  # an earlier feature wins a tie
                 if better.any():
-                    full = np.repeat(np.where(better, top, np.inf), np.diff(np.append(own, len(ra))))
-                    hit = np.flatnonzero(gain == full)
+                    full = np.repeat(np.where(better, top * (1 - TIE), np.inf), np.diff(np.append(own, len(ra))))
+                    hit = np.flatnonzero(gain >= full)
                     names, first = np.unique(ra[hit], return_index=True)
                     best[names], feature[names], cut[names] = gain[hit[first]], f, b[at[hit[first]]]
         split = np.flatnonzero(feature >= 0)

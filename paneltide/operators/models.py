@@ -5,12 +5,12 @@ is a ``pyspark.ml`` estimator (distributed over the executors), features
 are one ``VectorAssembler`` column, and predictions stay attached to their
 rows (``transform``), so no positional concat is needed.
 
-M7 grows its own trees (forest.py), M6 too (quantile.py).
+M5 to M8 grow their own trees (quantile.py, forest.py).
 
 Mapping of the boosting parameters: LightGBM grows leaf-wise with
-``num_leaves``; Spark grows trees level-wise, so ``num_leaves = n`` becomes
-``maxDepth = ceil(log2 n)`` (31 -> 5, 50 -> 6); ``max_depth = -1`` has no
-Spark equivalent and is capped at that value too.
+``num_leaves``; here trees grow level-wise, so ``num_leaves = n`` also means
+at most ``ceil(log2 n)`` levels (31 -> 5, 50 -> 6); ``max_depth = -1`` is
+that limit too.  M9 fits ``pyspark.ml`` trees with the same mapping.
 """
 
 from __future__ import annotations
@@ -114,12 +114,20 @@ def gbt(label: str = "total_orders", n_estimators: int = 100, learning_rate: flo
     return GBTRegressor(featuresCol=FEATURES, labelCol=label, predictionCol="prediction",
                         maxIter=n_estimators, stepSize=learning_rate,
                         maxDepth=leaves_to_depth(num_leaves, max_depth), subsamplingRate=subsample,
-                        featureSubsetStrategy=feature_subset, seed=seed, lossType=loss, maxBins=64)
+                        featureSubsetStrategy=feature_subset, seed=seed, lossType=loss, maxBins=255)
+
+
+def _boost_params(n_estimators: int = 100, **params) -> dict:
+    return {"n_rounds": n_estimators, "num_leaves": 31, "min_rows_per_leaf": 20, **params}
 
 
 def gbt_forecast(train: DataFrame, test: DataFrame, label: str = "total_orders", **params) -> Fitted:
-    """M5: gradient-boosted point forecast (LightGBM defaults mapped)."""
-    return _fit_predict(gbt(label, **params), train, test, label, "GBT")
+    """M5: boosted point forecast (100 rounds, rate 0.1, 31 leaves of at least 20 rows, 255 bins; boosting of quantile.py)."""
+    from .quantile import fit_boosts
+
+    model = fit_boosts(train, [(label, None)], **_boost_params(**params))[0]
+    pred = model.transform(test)
+    return Fitted(model, pred, _evaluate(pred, label, "GBT"))
 
 
 def long_predictions(pred: DataFrame, columns: dict[str, str], keys: Sequence[str] = tuple(ID_COLUMNS)) -> DataFrame:
@@ -160,10 +168,11 @@ def multi_output_forest(train: DataFrame, test: DataFrame, n_trees: int = 100, s
 
 
 def multi_output_gbt(train: DataFrame, test: DataFrame, targets: Sequence[str] = TARGET_COLUMNS, **params) -> MultiOutput:
-    """M8: gradient boosting per target plus the mean-of-targets row; ``params`` may be ``best_params`` of a grid."""
-    pred = test
-    for t in targets:
-        pred = gbt(t, **params).setPredictionCol(f"prediction_{t}").fit(train).transform(pred)
+    """M8: boosting per target, grown side by side, plus the mean-of-targets row; ``params`` may be ``best_params`` of a grid."""
+    from .quantile import fit_boosts, predict_columns
+
+    models = fit_boosts(train, [(t, None) for t in targets], **_boost_params(**params))
+    pred = predict_columns(test, {f"prediction_{t}": m for t, m in zip(targets, models, strict=True)})
     pred = cut_lineage(long_predictions(pred, {t: f"prediction_{t}" for t in targets}))
     return MultiOutput(pred, target_metrics(pred, "MultiOutput GBT", with_mean_row=True))
 

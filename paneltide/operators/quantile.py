@@ -1,6 +1,6 @@
-"""Quantile gradient boosting on Spark (M6).
+"""Gradient boosting on Spark for quantiles (M6) and means (M5, M8).
 
-``pyspark.ml`` has no quantile (pinball) loss.  The boosting loop here:
+``pyspark.ml`` has no quantile (pinball) loss and no limit of leaves.  The boosting loop here, for a quantile:
 
 * F0 = the alpha-quantile of the target;
 * each round grows a regression tree on the negative pinball gradient
@@ -9,6 +9,8 @@
   sketches (exact up to ``trees.SKETCH`` different residuals a leaf);
 * F += learning_rate * leaf value.
 
+For a mean (``alpha=None``) F0 is the mean, trees grow on the residuals, and a leaf's output is their mean.
+
 The frame is binned once.  All levels of all models (several alphas, several
 targets) are grown together: one job a level and one for the leaves, whatever
 the number of models.  Rows carry F as of the last snapshot; tasks add the few trees
@@ -44,9 +46,9 @@ LOCAL_ROWS = 100_000
 
 @dataclass
 class QuantileBoostModel:
-    """One quantile of one target; leaf values hold the learning rate."""
+    """One quantile (``alpha=None``: the mean) of one target; leaf values hold the learning rate."""
 
-    alpha: float
+    alpha: float | None
     init: float
     learning_rate: float
     label: str = ""
@@ -77,7 +79,7 @@ def predict_columns(df: DataFrame, models: dict[str, QuantileBoostModel], featur
                 out[known, k] = init + sum(tree[5][walk(tree, x, binned=False)] for tree in trees)
         return pd.DataFrame({f"p{k}": out[:, k] for k in range(len(names))})
 
-    out = df.withColumn("_predicted", predict(vector_to_array(features)))
+    out = df.withColumn("_predicted", predict(F.when(F.col(features).isNotNull(), vector_to_array(features))))
     return out.select(*df.columns, *[F.when(~F.isnan(F.col(f"_predicted.p{k}")), F.col(f"_predicted.p{k}")).alias(n) for k, n in enumerate(names)])
 
 
@@ -135,31 +137,44 @@ class _Rounds:
         return [t.arrays() for t in grown]
 
 
-def _open_rows(b: _State, f: np.ndarray, target: Sequence[int], arrays: list, open_nodes: list):
-    """For ``trees.level_splits``.  The gradient is alpha less what is summed here: a constant doesn't move the best split."""
+def _open_rows(b: _State, f: np.ndarray, target: Sequence[int], alphas: Sequence[float | None], arrays: list, open_nodes: list):
+    """For ``trees.level_splits``.  A quantile's gradient is alpha less what is summed here: a constant doesn't move the best split."""
     for k, nodes in enumerate(open_nodes):
         if nodes:
             slot = np.full(len(arrays[k][0]), -1)
             slot[nodes] = np.arange(len(nodes))
-            yield [(k, node) for node in nodes], slot[walk(arrays[k], b.bins, binned=True)], None, b.y[:, target[k]] < f[:, k]
+            yield [(k, node) for node in nodes], slot[walk(arrays[k], b.bins, binned=True)], None, (b.y[:, target[k]] - f[:, k] if alphas[k] is None else b.y[:, target[k]] < f[:, k])
+
+
+def _summary(values: np.ndarray, alpha: float | None) -> tuple:
+    """What a mean (sum and rows) or a quantile (a sketch) is worked out from."""
+    return (None, values.sum(), len(values)) if alpha is None else compress(values, np.ones(len(values)))
+
+
+def _merge(a: tuple, b: tuple) -> tuple:
+    return (None, a[1] + b[1], a[2] + b[2]) if a[0] is None else merge_sketches(a, b)
+
+
+def _statistic(summary: tuple, alpha: float | None) -> float:
+    return float(summary[1] / summary[2]) if alpha is None else sketch_quantile(*summary, alpha)
 
 
-def _leaf_residuals(b: _State, f: np.ndarray, target: Sequence[int], arrays: list):
+def _leaf_residuals(b: _State, f: np.ndarray, target: Sequence[int], alphas: Sequence[float | None], arrays: list):
     for k, tree in enumerate(arrays):
         leaf = walk(tree, b.bins, binned=True)
         order = np.argsort(leaf, kind="stable")
         r = (b.y[:, target[k]] - f[:, k])[order]
         names, at = np.unique(leaf[order], return_index=True)
         for name, part in zip(names.tolist(), np.split(r, at[1:]), strict=True):
-            yield (k, name), compress(part, np.ones(len(part)))
+            yield (k, name), _summary(part, alphas[k])
 
 
-def fit_boosts(train: DataFrame, wanted: Sequence[tuple[str, float]], n_rounds: int = 200, learning_rate: float = 0.1,
+def fit_boosts(train: DataFrame, wanted: Sequence[tuple[str, float | None]], n_rounds: int = 200, learning_rate: float = 0.1,
                num_leaves: int = 50, max_depth: int = -1, min_rows_per_leaf: int = 20, max_bins: int = MAX_BINS,
                checkpoint_every: int = 20, local_rows: int = LOCAL_ROWS) -> list[QuantileBoostModel]:
-    """One model for each (label, alpha) of ``wanted``.
+    """One model for each (label, alpha) of ``wanted``; alpha None is the mean.
 
-    ``train`` needs the ``features`` vector column; rows with a null label take no part; no rows raise ValueError.
+    ``train`` needs the ``features`` vector column; rows with a null label or no features take no part; no rows raise ValueError.
     Trees have at most ``num_leaves`` leaves and ``leaves_to_depth`` levels; of a level, the splits of the highest gain come first.
     """
     ensure_checkpoint_dir(train.sparkSession)
@@ -170,11 +185,11 @@ def fit_boosts(train: DataFrame, wanted: Sequence[tuple[str, float]], n_rounds:
 
     def first(blocks):
         for b in blocks:
-            for j in range(len(labels)):
-                yield j, compress(b.y[:, j], np.ones(len(b.y)))
+            for k, a in enumerate(alphas):
+                yield k, _summary(b.y[:, target[k]], a)
 
-    start = dict(frame.rdd.mapPartitions(first).reduceByKey(merge_sketches, frame.meet).collect())
-    init = [sketch_quantile(*start[j], a) for j, a in zip(target, alphas, strict=True)]
+    start = dict(frame.rdd.mapPartitions(first).reduceByKey(_merge, frame.meet).collect())
+    init = [_statistic(start[k], a) for k, a in enumerate(alphas)]
     rounds = _Rounds(learning_rate, num_leaves, leaves_to_depth(num_leaves, max_depth), min_rows_per_leaf, frame.edges)
     fit = _fit_where_rows_meet if frame.rows <= local_rows else _fit_in_step
     trees = fit(frame, rounds, target, alphas, init, n_rounds, checkpoint_every)
@@ -195,12 +210,12 @@ def _fit_where_rows_meet(frame: BinnedFrame, rounds: _Rounds, target: list, alph
             b = _State(np.concatenate([x.bins for x in own]), np.concatenate([x.y for x in own])[:, [target[k]]], np.zeros((0, 0)))
             f = np.full((len(b.y), 1), init[k])
 
-            def splits_of(arrays, open_nodes, b=b, f=f):
+            def splits_of(arrays, open_nodes, b=b, f=f, alpha=alphas[k]):
                 return {keys[slot]: (best_split(n, s, offset, size, rounds.least), 0, 0)
-                        for keys, at, w, v in _open_rows(b, f, [0], arrays, open_nodes) for slot, n, s in histogram(b.bins, at, w, v, offset, total)}
+                        for keys, at, w, v in _open_rows(b, f, [0], [alpha], arrays, open_nodes) for slot, n, s in histogram(b.bins, at, w, v, offset, total)}
 
             def quantiles_of(arrays, b=b, f=f, alpha=alphas[k]):
-                return [(key, sketch_quantile(*sketch, alpha)) for key, sketch in _leaf_residuals(b, f, [0], arrays)]
+                return [(key, _statistic(x, alpha)) for key, x in _leaf_residuals(b, f, [0], [alpha], arrays)]
 
             trees = []
             for _ in range(n_rounds):
@@ -223,11 +238,11 @@ def _fit_in_step(frame: BinnedFrame, rounds: _Rounds, target: list, alphas: list
     since: list[list] = [[] for _ in alphas]
     for m in range(n_rounds):
         def splits_of(arrays, open_nodes, since=since):
-            return level_splits(frame, lambda b: _open_rows(b, _now(b, since), target, arrays, open_nodes), rounds.least)
+            return level_splits(frame, lambda b: _open_rows(b, _now(b, since), target, alphas, arrays, open_nodes), rounds.least)
 
         def quantiles_of(arrays, state=state, since=since):
-            sketches = state.mapPartitions(lambda blocks: (x for b in blocks for x in _leaf_residuals(b, _now(b, since), target, arrays)))
-            return sketches.reduceByKey(merge_sketches, frame.meet).map(lambda x: (x[0], sketch_quantile(*x[1], alphas[x[0][0]]))).collect()
+            sketches = state.mapPartitions(lambda blocks: (x for b in blocks for x in _leaf_residuals(b, _now(b, since), target, alphas, arrays)))
+            return sketches.reduceByKey(_merge, frame.meet).map(lambda x: (x[0], _statistic(x[1], alphas[x[0][0]]))).collect()
 
         for k, tree in enumerate(rounds.grow(models, splits_of, quantiles_of)):
             trees[k].append(tree)

@@ -29,6 +29,8 @@ from ..session import cut_lineage
 MAX_BINS = 255
 #: Points of a sketch; a quantile's rank is off by at most about one in this number for each merge.
 SKETCH = 4096
+#: Splits whose gains differ by less than this share of the sums are equal; the first feature and the lowest cut win.
+TIE = 1e-10
 #: Rows of a block; a task works on one block at a time.
 BLOCK_ROWS = 10_000
 
@@ -174,7 +176,7 @@ class BinnedFrame:
     def __init__(self, frame: DataFrame, features: str, labels: list[str], max_bins: int = MAX_BINS) -> None:
         if max_bins > 256:
             raise ValueError("at most 256 bins")
-        rows = frame.select(vector_to_array(features).alias("x"), F.array(*[F.col(c).cast("double") for c in labels]).alias("y")).where(F.forall("y", lambda v: v.isNotNull() & ~F.isnan(v)))
+        rows = frame.where(F.col(features).isNotNull()).select(vector_to_array(features).alias("x"), F.array(*[F.col(c).cast("double") for c in labels]).alias("y")).where(F.forall("y", lambda v: v.isNotNull() & ~F.isnan(v)))
         first = rows.select("x").first()
         if first is None:
             raise ValueError("no training rows with a label")
@@ -221,8 +223,9 @@ def best_split(count: np.ndarray, total: np.ndarray, offset: np.ndarray, size: n
         return None
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where(ok, left_s**2 / left_n + right_s**2 / right_n - s**2 / n, -np.inf)
-    k = int(gain.argmax())
-    if not gain[k] > 1e-12 * max(1.0, s**2 / n):
+    most = gain.max()
+    k = int(np.argmax(gain >= most - TIE * (abs(most) + s**2 / n)))
+    if not gain[k] > TIE * max(1e-9, s**2 / n):
         return None
     f = int(np.searchsorted(offset, k, "right") - 1)
     return float(gain[k]), f, int(k - offset[f]), float(left_n[k]), float(left_s[k]), float(n), float(s)

@@ -137,8 +137,8 @@ def test_quantile_values_of_many_columns(spark):
         for c in pdf.columns:
             assert np.allclose(got[c], pdf[c].quantile(probs).to_numpy(), rtol=1e-12), (c, accuracy)
         assert got["none"] == [None] * len(probs)
-    small = RK.quantile_values(df.limit(7), ["many"], [0.5])
-    assert small["many"] == [pytest.approx(df.limit(7).toPandas()["many"].median())]
+    small = df.limit(7).persist()
+    assert RK.quantile_values(small, ["many"], [0.5])["many"] == [pytest.approx(small.toPandas()["many"].median())]
 
 
 def test_quality_report_plan_is_small(spark):
