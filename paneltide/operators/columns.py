@@ -29,12 +29,6 @@ def drop_if_present(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.drop(*list(names))
 
 
-def feature_columns(df: DataFrame, exclude: Iterable[str]) -> list[str]:
-    """P5: every column except the exclusion list (schema only, no job)."""
-    ex = set(exclude)
-    return [c for c in df.columns if c not in ex]
-
-
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
     """Numeric columns by type; booleans excluded as in pandas."""
     ex = set(exclude)

@@ -46,29 +46,26 @@ def spearman_many(df: DataFrame, target: str, columns: Sequence[str]) -> DataFra
     """Spearman rho of each column with ``target`` in one ranking pass.
 
     For each column only the rows where it and the target are both
-    non-null count (scipy on ``dropna()`` pairs).  The pairs of all columns
-    are stacked into one long table (feature, x, y); x and y are ranked per
-    feature with one grouped value-count ranking, joined back by value, and
-    ``corr`` of the ranks per feature is rho.  A row id is not needed: the
-    ranks depend only on the value within its feature.
+    non-null count (scipy on ``dropna()`` pairs).  One scan counts the different pairs
+    (feature, x, y) of all columns; the counts are stored once.  x and y are ranked per feature from their own totals, and rho is the
+    correlation of the ranks weighted by the pair counts: rows are never joined or stored.
     """
     cols = [c for c in columns if c != target]
     y = F.col(target).cast("double")
-    parts = [df.select(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), y.alias("y"))
-             .where(F.col("x").isNotNull() & F.col("y").isNotNull()) for c in cols]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    # the stacked pairs feed three branches (two value counts, the join back):
-    # materialise them once in the shared checkpoint folder
-    long = cut_lineage(long)
-    cx = long.groupBy("feature", F.lit("x").alias("side"), F.col("x").alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
-    cy = long.groupBy("feature", F.lit("y").alias("side"), F.col("y").alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
-    ranks = ranked_values(cx.unionByName(cy), "v", by=["feature", "side"]).select("feature", "side", "v", "avg_rank")
-    rx = ranks.where(F.col("side") == "x").select("feature", F.col("v").alias("x"), F.col("avg_rank").alias("rx"))
-    ry = ranks.where(F.col("side") == "y").select("feature", F.col("v").alias("y"), F.col("avg_rank").alias("ry"))
-    joined = long.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
-    return joined.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), y.alias("y")) for c in cols])
+    long = df.select(F.inline(each)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    pairs = cut_lineage(long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("cnt")))
+    sides = [pairs.groupBy("feature", F.lit(s).alias("side"), F.col(s).alias("v")).agg(F.sum("cnt").alias("cnt")) for s in ("x", "y")]
+    ranks = ranked_values(sides[0].unionByName(sides[1]), "v", by=["feature", "side"]).select("feature", "side", "v", "avg_rank")
+    rx, ry = (ranks.where(F.col("side") == s).select("feature", F.col("v").alias(s), F.col("avg_rank").alias(f"r{s}")) for s in ("x", "y"))
+    ranked = pairs.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
+    c, a, b = F.col("cnt").cast("double"), F.col("rx"), F.col("ry")
+    sums = ranked.groupBy("feature").agg(F.sum("cnt").alias("n"), F.sum(c * a).alias("sa"), F.sum(c * b).alias("sb"), F.sum(c * a * a).alias("saa"), F.sum(c * b * b).alias("sbb"), F.sum(c * a * b).alias("sab"))
+    dev = lambda s, ss: F.col(ss) - F.col(s) * F.col(s) / F.col("n")
+    scale = F.sqrt(dev("sa", "saa") * dev("sb", "sbb"))
+    # ranks are multiples of a half: less than a quarter is a column of one value, which has no rho
+    rho = F.when((dev("sa", "saa") >= 0.25) & (dev("sb", "sbb") >= 0.25), (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / scale)
+    return sums.select("feature", "n", rho.alias("rho"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -90,11 +87,6 @@ def pearson_test(df: DataFrame, x: str, y: str) -> DataFrame:
     return one.select("r", "n", t.alias("t_stat"))
 
 
-def pearson_test_result(df: DataFrame, x: str, y: str) -> dict:
-    row = pearson_test(df, x, y).first()
-    return {"r": row["r"], "n": row["n"], "t": row["t_stat"], "p": ST.pearson_p_value(row["r"], row["n"])}
-
-
 def mann_whitney(df: DataFrame, value: str, group: str, first_label) -> DataFrame:
     """C5 (Spark part): U1, n1, n2, rank sum and tie term of two samples.
 
@@ -117,12 +109,6 @@ def mann_whitney(df: DataFrame, value: str, group: str, first_label) -> DataFram
     )
 
 
-def mann_whitney_result(df: DataFrame, value: str, group: str, first_label) -> dict:
-    row = mann_whitney(df, value, group, first_label).first()
-    z, p = ST.mann_whitney_p_value(row["u1"], row["n1"], row["n2"], row["tie_term"])
-    return {"u": row["u1"], "n1": row["n1"], "n2": row["n2"], "z": z, "p": p}
-
-
 def simple_regression(df: DataFrame, y: str, x: str) -> DataFrame:
     """Least-squares line y = slope*x + intercept, with r2 and n."""
     yy, xx = F.col(y).cast("double"), F.col(x).cast("double")

@@ -83,9 +83,3 @@ def leaderboard(results: DataFrame) -> DataFrame:
     w = Window.orderBy(F.col("rmse").asc_nulls_last(), F.col("mae").asc_nulls_last(), F.col("model"))
     return results.withColumn("rank", F.row_number().over(w)) \
                   .withColumn("is_best", (F.col("rank") == 1) & F.col("rmse").isNotNull())
-
-
-def leaderboard_from_predictions(pred_long: DataFrame, y: str = "actual", p: str = "prediction") -> DataFrame:
-    """E6 from a long (model, target, actual, prediction) table: metrics by model, ranked."""
-    m = pred_long.groupBy("model", "target").agg(*metric_columns(y, p))
-    return leaderboard(m)

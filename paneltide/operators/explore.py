@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.calendar import WEEKDAY_NAMES
 from ..functions.scalar import right_closed_bin
@@ -191,19 +192,38 @@ def describe_numeric(df: DataFrame, columns: Sequence[str], method: str = "exact
     return out.join(q, "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
+def _distinct_key(name: str, kind: T.DataType) -> Column:
+    """A value as text that is equal where the values are."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (c + F.lit(0).cast(kind)).cast("string")  # -0.0 equals 0.0
+    if isinstance(kind, T.BinaryType):
+        return F.hex(c)
+    if isinstance(kind, (T.StructType, T.ArrayType)):
+        return F.when(c.isNotNull(), F.to_json(F.struct(c)))
+    return c.cast("string")
+
+
 def profile_columns(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
-    """Distinct count, null count, null %, type per column."""
-    n = F.count(F.lit(1)).alias("_n")
-    dist = (lambda c: F.approx_count_distinct(c)) if approx_distinct else (lambda c: F.count_distinct(c))
-    aggs = [n]
-    for f in df.schema.fields:
+    """Distinct count, null count, null %, type per column.
+
+    Exact distinct counts come from one long (column, value) table that the map tasks fold first, so a value that
+    many rows share is shuffled once a task.  ``approx_distinct`` uses sketches in the one aggregate instead.
+    """
+    fields = df.schema.fields
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
-        aggs.append(F.struct(dist(c).alias("n_distinct"), F.count_if(c.isNull()).alias("n_null")).alias(f.name))
-    one = df.agg(*aggs)
-    stack = ", ".join(f"'{f.name}', '{f.dataType.simpleString()}', `{f.name}`" for f in df.schema.fields)
-    return one.selectExpr("_n", f"stack({len(df.columns)}, {stack}) AS (column, dtype, s)").select(
-        "column", "dtype", "s.n_distinct", "s.n_null",
-        (F.col("s.n_null") * 100.0 / F.col("_n")).alias("null_pct"))
+        aggs.append(F.struct(F.count_if(c.isNull()).alias("n_null"), (F.approx_count_distinct(c) if approx_distinct else F.lit(0).cast("long")).alias("n_sketch")).alias(f"c{i}"))
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f"c{i}").alias("s")) for i, f in enumerate(fields)])
+    out = df.agg(*aggs).select("_n", F.inline(each))
+    n_distinct = F.col("s.n_sketch")
+    if not approx_distinct:
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), _distinct_key(f.name, f.dataType).alias("v")) for i, f in enumerate(fields)])
+        values = df.select(F.inline(pairs)).where(F.col("v").isNotNull()).groupBy("i", "v").agg(F.lit(1).alias("one"))
+        out = out.join(values.groupBy("i").agg(F.count(F.lit(1)).alias("_d")), "i", "left")
+        n_distinct = F.coalesce("_d", F.lit(0))
+    return out.select("column", "dtype", n_distinct.alias("n_distinct"), F.col("s.n_null").alias("n_null"), (F.col("s.n_null") * 100.0 / F.col("_n")).alias("null_pct"))
 
 
 def _feature_groups() -> dict[str, str]:
@@ -287,13 +307,3 @@ def top_categories(df: DataFrame, col: str, n: int) -> DataFrame:
     """The n most frequent values (ties by value)."""
     return df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count")) \
              .orderBy(F.col("count").desc(), F.col(col)).limit(n)
-
-
-def sort_by_abs(df: DataFrame, col: str) -> DataFrame:
-    """O7."""
-    return df.orderBy(F.abs(F.col(col)).desc_nulls_last())
-
-
-def rank_within(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """W12 on a small table (a leaderboard): 1-based position in the given order."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))

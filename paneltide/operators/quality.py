@@ -189,6 +189,39 @@ def validate(df: DataFrame, rules: list[Column]) -> DataFrame:
     return _tag(df, rules)
 
 
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def _or(name: str, default) -> Column:
+    return F.coalesce(F.col(name), F.lit(default)).alias(name)
+
+
+def clean_master(df: DataFrame) -> DataFrame:
+    """city and locality stripped, cuisines stripped one by one (empty ones go), an absent locality "", absent flags "No"."""
+    cuisines = F.array_join(F.filter(F.transform(F.split("cuisines", ","), _stripped), lambda x: x != ""), ", ")
+    new = {"city": _stripped(F.col("city")), "locality": F.coalesce(_stripped(F.col("locality")), F.lit("")), "cuisines": cuisines}
+    new |= {c: _or(c, "No") for c in ("has_table_booking", "has_online_delivery", "is_delivering_now", "switch_to_order_menu")}
+    return df.withColumns({c: v for c, v in new.items() if c in df.columns})
+
+
+def clean_orders(df: DataFrame) -> DataFrame:
+    """an absent discount is 0, an absent promotion flag false."""
+    return df.withColumns({"avg_discount": _or("avg_discount", 0.0), "promotion_flag": _or("promotion_flag", False)})
+
+
+def clean_context(df: DataFrame) -> DataFrame:
+    """city stripped, an absent weather is Unknown, absent holiday and event flags are false."""
+    return df.withColumns({"city": _stripped(F.col("city")), "weather": _or("weather", "Unknown"), "is_holiday": _or("is_holiday", False), "event_flag": _or("event_flag", False)})
+
+
+def records(df: DataFrame, rules: list[Column], clean) -> DataFrame:
+    """Every row with ``status``: "valid" ones cleaned by ``clean``, "quarantined" ones as they came, with the broken rules in ``violations``."""
+    valid, bad = split_valid(validate(df, rules))
+    none = F.array().cast("array<string>")
+    return clean(valid).withColumns({"status": F.lit("valid"), "violations": none}).unionByName(bad.withColumn("status", F.lit("quarantined")))
+
+
 def split_valid(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows, quarantined rows) of a tagged frame."""
     return (tagged.where(F.size("violations") == 0).drop("violations"),
@@ -281,6 +314,3 @@ def geo_grid(master: DataFrame, cell: float = 1.0) -> DataFrame:
         F.floor(F.col("longitude") / cell).alias("lon_cell"),
     ).agg(F.count(F.lit(1)).alias("n_entities"))
 
-
-def dtype_name(t: T.DataType) -> str:
-    return t.simpleString()

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..operators import correlation as C
 from ..operators import evaluate as E
 from ..operators import explore as A
@@ -232,6 +233,28 @@ def q_validate_context(spark, sf):
     return D.rule_counts(D.validate(load_inputs(spark, sf).external_context, D.context_rules()))
 
 
+#: Fixed value: the day of the order records' check, before the end of the series, so that later rows are quarantined.
+RECORDS_AS_OF = "1997-06-30"
+
+
+def q_master_records(spark, sf):
+    """Master records, valid ones trimmed and defaulted."""
+    out = D.records(load_inputs(spark, sf).master, D.master_rules(), D.clean_master)
+    return rounded(out.withColumn("violations", F.array_join("violations", ",")))
+
+
+def q_order_records(spark, sf):
+    """Daily records as of a day inside the series; later ones are quarantined."""
+    out = D.records(load_inputs(spark, sf).daily_orders, D.orders_rules(RECORDS_AS_OF), D.clean_orders)
+    return rounded(out.withColumn("violations", F.array_join("violations", ",")))
+
+
+def q_context_records(spark, sf):
+    """Context records, valid ones trimmed and defaulted."""
+    out = D.records(load_inputs(spark, sf).external_context, D.context_rules(), D.clean_context)
+    return out.withColumn("violations", F.array_join("violations", ","))
+
+
 def q_dataset_checks(spark, sf):
     i = load_inputs(spark, sf)
     return D.dataset_checks(i.daily_orders, i.master)
@@ -399,6 +422,7 @@ QUERIES = {
     "quality_report": q_quality_report, "missing_values": q_missing_values, "duplicate_ids": q_duplicate_ids,
     "date_continuity": q_date_continuity, "missing_dates": q_missing_dates, "iqr_outliers": q_iqr_outliers,
     "negative_values": q_negative_values, "validate_master": q_validate_master,
+    "master_records": q_master_records, "order_records": q_order_records, "context_records": q_context_records,
     "validate_orders": q_validate_orders, "validate_context": q_validate_context,
     "dataset_checks": q_dataset_checks, "pattern_lift": q_pattern_lift, "geo_grid": q_geo_grid,
     "pearson_matrix": q_pearson_matrix, "target_correlation": q_target_correlation,
@@ -496,6 +520,14 @@ _CONTEXT_RULES = [
 ]
 
 
+def _records_sql(source: str, rules: list[tuple[str, str]], columns: dict[str, str | None], clean: dict[str, str]) -> str:
+    """``columns``: each column, and its expression where it isn't the column; ``clean``: expressions for valid rows."""
+    arr = ", ".join(f"CASE WHEN NOT COALESCE({ok}, false) THEN '{name}' END" for name, ok in rules)
+    cols = ", ".join(f"CASE WHEN len(v) = 0 THEN {clean[c]} ELSE {c} END AS {c}" if c in clean else (e or c) for c, e in columns.items())
+    return f"""SELECT {cols}, CASE WHEN len(v) = 0 THEN 'valid' ELSE 'quarantined' END AS status, array_to_string(v, ',') AS violations
+FROM (SELECT *, list_filter([{arr}], lambda x: x IS NOT NULL) AS v FROM {source}) t"""
+
+
 def _missing_cols_sql(table: str, cols: list[str]) -> str:
     return " UNION ALL ".join(
         f"SELECT '{table if table != 'master' else 'restaurants'}' AS dataset, '{c}' AS column, "
@@ -678,6 +710,17 @@ ANTI JOIN daily_orders d ON d.restaurant_id = s.restaurant_id AND d.date = s.dat
     o["negative_values"] = duck_with(" UNION ALL ".join(
         f"SELECT '{c}' AS column, COUNT(*) FILTER (WHERE {c} < 0) AS n_negative FROM daily_orders"
         for c in ("total_orders", "total_revenue", "avg_discount", "avg_delivery_time")), "daily_orders")
+    strip = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    doubles = lambda schema: {f.name: r(f.name, f.name) if f.dataType.simpleString() == "double" else None for f in schema.fields}
+    o["master_records"] = duck_with(_records_sql("master", _MASTER_RULES, doubles(schemas.MASTER), {
+        "city": strip("city"), "locality": f"COALESCE({strip('locality')}, '')",
+        "cuisines": f"array_to_string(list_filter(list_transform(string_split(cuisines, ','), lambda x: {strip('x')}), lambda x: x <> ''), ', ')",
+        **{c: f"COALESCE({c}, 'No')" for c in ("has_table_booking", "has_online_delivery", "is_delivering_now", "switch_to_order_menu")}}), "master")
+    as_of = [(n, e.replace(AS_OF_DATE, RECORDS_AS_OF)) for n, e in _ORDERS_RULES]
+    columns = doubles(schemas.DAILY_ORDERS) | {"avg_discount": r("CASE WHEN len(v) = 0 THEN COALESCE(avg_discount, 0.0) ELSE avg_discount END", "avg_discount")}
+    o["order_records"] = duck_with(_records_sql("daily_orders", as_of, columns, {"promotion_flag": "COALESCE(promotion_flag, FALSE)"}), "daily_orders")
+    o["context_records"] = duck_with(_records_sql("external_context", _CONTEXT_RULES, doubles(schemas.EXTERNAL_CONTEXT), {
+        "city": strip("city"), "weather": "COALESCE(weather, 'Unknown')", "is_holiday": "COALESCE(is_holiday, FALSE)", "event_flag": "COALESCE(event_flag, FALSE)"}), "master", "daily_orders", "external_context")
     o["validate_master"] = duck_with(_rule_counts_sql("master", _MASTER_RULES), "master")
     o["validate_orders"] = duck_with(_rule_counts_sql("daily_orders", _ORDERS_RULES), "daily_orders")
     o["validate_context"] = duck_with(_rule_counts_sql("external_context", _CONTEXT_RULES), "external_context")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import scalar as SC
 from ..operators import columns as P
 from ..operators import explore as A
 from ..operators import static as ST
@@ -78,6 +79,22 @@ def q_scan_roundtrip(spark, sf):
     return S.read_csv(spark, path, schemas.DAILY_ORDERS)
 
 
+def q_scan_by_name(spark, sf):
+    """A raw file with a BOM, raw header names, another order of columns and one more column, read by name."""
+    m = load_inputs(spark, sf).master
+    names = list(reversed(m.columns))
+    raw = m.select(*[F.col(c).alias(("\ufeff" if i == 0 else "") + _raw_header(c).strip()) for i, c in enumerate(names)], F.lit("x").alias("Extra Column"))
+    path = S.fresh_scratch(spark, "master_csv")
+    S.write_csv(raw, path)
+    return S.read_csv(spark, path, schemas.MASTER)
+
+
+def q_promotion_labels(spark, sf):
+    """orders and revenue with the promotion flag as a label."""
+    d = load_inputs(spark, sf).daily_orders
+    return rounded(d.select("restaurant_id", "date", "total_orders", "total_revenue", SC.label_flag("promotion_flag", "Promotion", "No Promotion").alias("promo")))
+
+
 def q_sink_roundtrip(spark, sf):
     """The month-partitioned Parquet sink read back (partition column included)."""
     d = load_inputs(spark, sf).daily_orders
@@ -140,7 +157,8 @@ QUERIES = {
     "static_select": q_static_select, "filter_date_range": q_filter_date_range,
     "filter_flags": q_filter_flags, "semi_top_entities": q_semi_top_entities,
     "drop_null_lags": q_drop_null_lags, "fill_constant": q_fill_constant, "median_fill": q_median_fill,
-    "seeded_sample": q_seeded_sample, "scan_roundtrip": q_scan_roundtrip, "sink_roundtrip": q_sink_roundtrip,
+    "seeded_sample": q_seeded_sample, "scan_roundtrip": q_scan_roundtrip,
+    "scan_by_name": q_scan_by_name, "promotion_labels": q_promotion_labels, "sink_roundtrip": q_sink_roundtrip,
 }
 
 
@@ -199,6 +217,11 @@ FROM daily_orders ORDER BY md5(concat_ws('|', CAST(restaurant_id AS VARCHAR), CA
         [r(f"COALESCE({c}, m_{c})", c) for c in med_cols]
     o["median_fill"] = duck_with(_basic_sql(f"SELECT {', '.join(cols)} FROM basic, (SELECT {meds} FROM basic)"),
                                  "daily_orders")
+    # an empty field of a CSV file is missing
+    text = lambda f: f"NULLIF({f.name}, '') AS {f.name}" if f.dataType.simpleString() == "string" else f.name
+    o["scan_by_name"] = duck_with("SELECT " + ", ".join(text(f) for f in schemas.MASTER.fields) + " FROM master", "master")
+    o["promotion_labels"] = duck_with(f"""SELECT restaurant_id, date, total_orders, {r('total_revenue', 'total_revenue')},
+  CASE WHEN promotion_flag THEN 'Promotion' WHEN NOT promotion_flag THEN 'No Promotion' END AS promo FROM daily_orders""", "daily_orders")
     o["scan_roundtrip"] = duck_with("SELECT * FROM daily_orders", "daily_orders")
     o["read_if_exists"] = duck_with("SELECT * FROM daily_orders", "daily_orders")
     from . import catalog_analysis

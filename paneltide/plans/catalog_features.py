@@ -364,12 +364,12 @@ FROM daily_orders WHERE restaurant_id IS NOT NULL GROUP BY restaurant_id"""
     return duck_with(body, "daily_orders")
 
 
-_FLAG_NAMES = [S.cuisine_flag_name(c) for c in S.TOP_CUISINES]
+_FLAG_NAMES = list(S.CUISINE_FLAGS.values())
 
 
 def _cuisine_sql() -> str:
     low = "lower(COALESCE(cuisines, ''))"
-    flags = [f"CAST(contains({low}, '{c.lower()}') AS INT) AS {S.cuisine_flag_name(c)}" for c in S.TOP_CUISINES]
+    flags = [f"CAST(contains({low}, '{c.lower()}') AS INT) AS {flag}" for c, flag in S.CUISINE_FLAGS.items()]
     count = ("CAST(len(list_filter(list_transform(string_split(COALESCE(cuisines, ''), ','), "
              "lambda x: trim(x)), lambda x: x <> '')) AS INT) AS cuisine_count")
     return ",\n ".join([count] + flags)

@@ -1,8 +1,7 @@
 """File sources and sinks.
 
-CSV is read with an explicit schema (no inference pass over the data),
-PERMISSIVE mode keeps malformed lines in ``_corrupt_record`` instead of
-failing the job.  Parquet is the default sink; series are partitioned by
+CSV columns are bound by header name to a schema (no inference pass over the data);
+malformed lines can be kept in ``_corrupt_record`` and never fail the job.  Parquet is the default sink; series are partitioned by
 month so date-range reads prune whole folders.
 """
 
@@ -12,27 +11,60 @@ import os
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.columns import normalise_columns
+from ..operators.columns import normalise_columns, normalise_name
 from ..session import scratch_path
 
 
+CORRUPT = "_corrupt_record"
+
+
+def _typed(raw: Column, kind: T.DataType, date_format: str) -> Column:
+    """A field of a CSV file as its type; NULL where it can't be read."""
+    if isinstance(kind, T.StringType):
+        return raw
+    text = F.trim(raw)
+    if isinstance(kind, T.DateType):
+        return F.try_to_timestamp(text, F.lit(date_format)).cast("date")
+    return text.try_cast(kind)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             date_format: str = "yyyy-MM-dd", keep_corrupt: bool = False) -> DataFrame:
-    """Header CSV; BOM and header names normalised."""
-    reader = spark.read.option("header", True).option("dateFormat", date_format) \
-                       .option("mode", "PERMISSIVE").option("encoding", "UTF-8")
-    if schema is not None:
-        if keep_corrupt:
-            schema = T.StructType(list(schema.fields) + [T.StructField("_corrupt_record", T.StringType())])
-            reader = reader.option("columnNameOfCorruptRecord", "_corrupt_record")
-        # the file's header is checked by position, names come from the schema
-        reader = reader.schema(schema).option("enforceSchema", True)
-        return reader.csv(path)
-    return normalise_columns(reader.csv(path))
+             date_format: str = "yyyy-MM-dd", keep_corrupt: bool = False, keep_extra: bool = False) -> DataFrame:
+    """Header CSV in UTF-8, columns bound by name.
+
+    Header names are normalised (P1: lower case, stripped, BOM dropped, blanks to ``_``), so a raw file with
+    "Restaurant ID" in any place fills ``restaurant_id``.  With a ``schema`` the result has its columns: those that the file
+    lacks are NULL, others are left out (``keep_extra``: kept behind, as strings).  A field that can't be read as its type is NULL, and so
+    are the missing fields of a short row; with ``keep_corrupt`` the column ``_corrupt_record`` holds the raw row then.
+    All files of ``path`` have one header; a file with another one raises an error when it is read.
+    """
+    reader = spark.read.option("header", True).option("encoding", "UTF-8")
+    names = reader.csv(path).columns  # of the first file
+    if schema is None:
+        return normalise_columns(reader.csv(path))
+    strings = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+    raw = reader.schema(strings).option("enforceSchema", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path) \
+        if keep_corrupt else reader.schema(T.StructType(strings.fields[:-1])).option("enforceSchema", False).csv(path)
+    place = {}
+    for n in names:
+        place.setdefault(normalise_name(n), n)
+    column = lambda n: F.col("`" + place[n].replace("`", "``") + "`")
+    out = [(_typed(column(f.name), f.dataType, date_format) if f.name in place else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields]
+    own = {f.name for f in schema.fields}
+    if keep_extra:
+        out += [column(n).alias(n) for n in place if n not in own]
+    if keep_corrupt:
+        lost = F.lit(False)
+        for f in schema.fields:
+            if f.name in place:
+                lost = lost | (column(f.name).isNotNull() & _typed(column(f.name), f.dataType, date_format).isNull())
+        row = F.concat_ws(",", *[F.coalesce(column(normalise_name(n)), F.lit("")) for n in names])
+        out.append(F.coalesce(F.col(CORRUPT), F.when(lost, row)).alias(CORRUPT))
+    return raw.select(*out)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 The reference has no streams.  What carries over is a property: the
 row-wise operators (calendar features, risk score / level, interval
-bounds, record-rule tagging) are pure projections, so the same Column
+bounds) are pure projections, so the same Column
 expressions run unchanged on a streaming DataFrame.  This module wires
 them to a file stream of prediction rows and a checkpointed sink.
 """
@@ -12,11 +12,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.calendar import day_of_week, is_weekend, weekday_name
-from ..operators import quality as D
 from ..operators import risk as R
 from ..session import ensure_checkpoint_dir
 
@@ -31,11 +29,6 @@ def score_stream(predictions: DataFrame) -> DataFrame:
         weekday_name("date").alias("day_name"))
 
 
-def tag_stream(daily: DataFrame, as_of_date: str) -> DataFrame:
-    """D6 rule tagging of incoming daily rows (valid rows have an empty array)."""
-    return D.validate(daily, D.orders_rules(as_of_date))
-
-
 def read_prediction_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 16) -> DataFrame:
     return (spark.readStream.schema(schemas.PREDICTIONS).option("maxFilesPerTrigger", max_files_per_trigger)
             .parquet(path))
@@ -54,8 +47,3 @@ def start_scoring(spark: SparkSession, source: str, sink: str, query_name: str =
     if trigger_once:
         w = w.trigger(availableNow=True)
     return w.start()
-
-
-def risk_level_counts(scored: DataFrame) -> DataFrame:
-    """A streaming-safe aggregate (complete mode): rows per risk level."""
-    return scored.groupBy("risk_level").agg(F.count(F.lit(1)).alias("n"))
