@@ -249,7 +249,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END_ID) ->
     rows = documents(docs)
     bounds = range_bounds(rows.where("doc_id is not null"), "doc_id", int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.withColumn("shard", range_bucket(F.col("doc_id"), bounds).cast("int"))
-    dealt = ranged.repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = ranged.repartitionById(max(1, len(bounds) + 1), F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
     dealt.mapInArrow(_writer(tokenizer, end), "shard int, seq long, doc_ids array<long>, lengths array<long>, n_ids long, block_words array<int>, payload binary").write.option("compression", "zstd").parquet(path)
 
 
