@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.calendar import WEEKDAY_NAMES
 from ..functions.scalar import right_closed_bin
-from .ranks import add_group_quantiles, column_quantiles, present, quantiles
+from .ranks import add_group_quantiles, present, quantiles, quantiles_and_more
 
 # Bins of the exploratory reports (right-closed, pandas.cut).
 DISCOUNT_BINS = [-0.01, 0, 5, 10, 20, 100]
@@ -176,20 +176,17 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 def describe_numeric(df: DataFrame, columns: Sequence[str], method: str = "exact") -> DataFrame:
     """Count, mean, std, min, 25/50/75 %, max per column (pandas ``describe``; NaN is missing).
 
-    Moments come from one aggregate over all columns; the quartiles are worked out
-    before (``ranks.quantile_values``), so no task ever holds all distinct values of a column.
+    Moments and the quartiles' sketches come from one scan over all columns; the quartiles are then
+    refined (``ranks.quantiles_and_more``), so no task ever holds all distinct values of a column.  Jobs start here.
     ``method="approx"`` uses ``percentile_approx`` instead.
     """
-    moments = []
+    moments = {}
     for c in columns:
         v = present(c)
-        moments.append(F.struct(F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"),
-                                F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")).alias(c))
-    stack = ", ".join(f"'{c}', `{c}`" for c in columns)
-    out = df.agg(*moments).selectExpr(f"stack({len(columns)}, {stack}) AS (column, s)").select("column", "s.*")
-    q = column_quantiles(df, columns, [0.25, 0.5, 0.75], method).select(
-        "column", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
-    return out.join(q, "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+        moments |= {(c, "count"): F.count(v).cast("double"), (c, "mean"): F.avg(v), (c, "std"): F.stddev_samp(v), (c, "min"): F.min(v), (c, "max"): F.max(v)}
+    quartiles, m = quantiles_and_more(df, columns, [0.25, 0.5, 0.75], moments, method)
+    rows = [(c, *[m[c, k] for k in ("count", "mean", "std", "min")], *quartiles[c], m[c, "max"]) for c in dict.fromkeys(columns)]
+    return df.sparkSession.createDataFrame(rows, "column string, " + ", ".join(f"{k} double" for k in ("count", "mean", "std", "min", "p25", "p50", "p75", "max")))
 
 
 def _distinct_key(name: str, kind: T.DataType) -> Column:

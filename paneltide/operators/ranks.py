@@ -199,21 +199,28 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
 
 def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float], method: str = "exact",
                     accuracy: int = BOUND_ACCURACY) -> dict[str, list[float | None]]:
-    """The quantiles of several numeric columns, as numbers (jobs start here).
+    """The quantiles of several numeric columns, as numbers (jobs start here)."""
+    return quantiles_and_more(df, columns, probs, {}, method, accuracy)[0]
+
+
+def quantiles_and_more(df: DataFrame, columns: Sequence[str], probs: Sequence[float], more: dict[str, Column], method: str = "exact",
+                       accuracy: int = BOUND_ACCURACY) -> tuple[dict[str, list[float | None]], dict]:
+    """The quantiles of several numeric columns, and the aggregates ``more`` from the same scan.
 
     One aggregate sketches all columns at once.  Where the sketch's two sides agree (values that
     many rows share) the quantile is known; the other columns go through ``exact_quantiles`` together.
     """
     columns = list(dict.fromkeys(columns))
-    if not columns:
-        return {}
+    if not columns and not more:
+        return {}, {}
     if method not in ("exact", "approx"):
         raise ValueError("method is exact or approx")
+    extra = [c.alias(f"m{i}") for i, c in enumerate(more.values())]
     if method == "approx":
-        row = df.agg(*[F.percentile_approx(present(c), list(probs), accuracy).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-        return {c: list(row[f"c{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
+        row = df.agg(*[F.percentile_approx(present(c), list(probs), accuracy).alias(f"c{i}") for i, c in enumerate(columns)], *extra).first()
+        return {c: list(row[f"c{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}, {name: row[f"m{i}"] for i, name in enumerate(more)}
     wide = [min(1.0, max(0.0, q + side * 4.0 / accuracy)) for q in probs for side in (-1, 1)]
-    row = df.agg(*[F.struct(F.count(present(c)).alias("n"), F.percentile_approx(present(c), wide, accuracy).alias("r")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    row = df.agg(*[F.struct(F.count(present(c)).alias("n"), F.percentile_approx(present(c), wide, accuracy).alias("r")).alias(f"c{i}") for i, c in enumerate(columns)], *extra).first()
     out: dict[str, list] = {}
     open_columns = []
     for i, c in enumerate(columns):
@@ -229,7 +236,7 @@ def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         long = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
         for r in exact_quantiles(long, "v", probs, ["i"], accuracy).collect():  # one row a column
             out[open_columns[r["i"]]] = [r[f"q{k}"] for k in range(len(probs))]
-    return out
+    return out, {name: row[f"m{i}"] for i, name in enumerate(more)}
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], method: str = "exact") -> DataFrame:
