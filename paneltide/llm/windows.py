@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import keyed, mix, per_document, rolling, signed, slices, sliding, stage, utf8, word_hashes, word_spans
 
 WINDOW, ANCHOR = 35, 16
+#: An anchor value with more than one in so many of all anchors is hot.
+SHARES = 1000
 _SECOND = 0xAF251AF3B0F025B5
 
 
@@ -113,8 +115,12 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -
     copies = same.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min(F.struct(*keys)).alias("first")).where("n > 1")
     copied = stage(same.join(copies, ["t1", "t2"]).select(*keys, (F.struct(*keys) == F.col("first")).alias("sends")).distinct(), "copied")
     anchors = stage(rows.select(*keys, "text").mapInArrow(_anchors(window, size), "value long, row_id long, text_key long, place int"), "anchors")
-    often = anchors.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
-    spots = anchors.join(often, "value", "left_semi").groupBy(*keys).agg(F.collect_list("place").alias("places"))
+    often = stage(anchors.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    total = anchors.count()
+    # fewer than SHARES values hold more than that share of all anchors: they are told where the anchors lie, not by a shuffle
+    hot = F.broadcast(often.where(F.col("n") * SHARES > F.lit(total)).select("value"))
+    rest = anchors.join(hot, "value", "left_anti").join(often.where(F.col("n") * SHARES <= F.lit(total)).select("value"), "value", "left_semi")
+    spots = anchors.join(hot, "value", "left_semi").unionByName(rest).groupBy(*keys).agg(F.collect_list("place").alias("places"))
     spots = stage(spots.join(copied, keys, "left").where("sends is null or sends").select(*keys, "places", F.col("sends").isNotNull().alias("copied")), "spots")
     found = stage(rows.select(*keys, "text").join(spots, keys).dropDuplicates(keys).select(*keys, "text", "places", "copied")
                   .mapInArrow(_windows(window, size), "one long, two long, row_id long, text_key long, first long, last long, weight long"), "windows")
