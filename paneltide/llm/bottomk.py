@@ -197,7 +197,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the smallest ``doc_id``; of rows that repeat id and text, one."""
-    own = docs.columns
     kept = near_duplicates(docs).where("kept").select("row_id", "text_key").distinct()
     rows = with_keys(docs).join(kept, ["row_id", "text_key"])
-    return rows.dropDuplicates(["row_id", "text_key"]).select(*own)
+    return rows.dropDuplicates(["row_id", "text_key"]).select("own.*")

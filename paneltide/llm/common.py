@@ -73,9 +73,15 @@ def keyed(docs: DataFrame, *extra: str) -> DataFrame:
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, and ``row_id`` and ``text_key`` as in ``keyed`` (other columns of these names are hidden)."""
+    """``own`` (a struct of all columns of ``docs``, whatever their names), ``row_id`` and ``text_key`` as in ``keyed``."""
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text_key": F.xxhash64(text, F.col("doc_id").isNull())})
+    return docs.select(F.struct(*columns).alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("row_id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("text_key"))
+
+
+def own_columns(docs: DataFrame, changed: dict[str, Column]) -> list[Column]:
+    """The columns of ``docs`` out of ``own``, those in ``changed`` replaced, in their order and of their types."""
+    return [changed[f.name].cast(f.dataType).alias(f.name) if f.name in changed else F.col("own").getField(f.name).alias(f.name) for f in docs.schema.fields]
 
 
 def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, slices, stage, with_keys
+from .common import keyed, own_columns, slices, stage, with_keys
 
 #: Fixed patterns of the base kinds, in the order that breaks ties between spans.
 BASE = {
@@ -84,7 +84,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> DataFrame:
     """One row per document with its spans and findings (values as sha256), kept in the shared folder; null text: no span."""
-    rows = keyed(docs.withColumns({"_repo": F.col(repo).cast("string"), "_owner": F.col(owner).cast("string")}), F.col("_repo").alias("repo"), F.col("_owner").alias("owner"))
+    rows = keyed(docs, F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"))
     schema = ("row_id long, text_key long, doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
               "findings array<struct<kind:string,start:int,end:int,value_start:int,value:string,random:boolean>>")
     return stage(rows.mapInArrow(_scan, schema), "scan")
@@ -145,10 +145,10 @@ def redact(docs: DataFrame, repo: str = "doc_id", owner: str = "source", copied_
     # first of overlapping ones: fold left to right, taking a span only where the last taken one has ended
     free = F.aggregate("_found", F.array().cast("array<struct<start:int,end:int,kind:string>>"), lambda kept, s: F.when(F.coalesce(F.try_element_at(kept, F.lit(-1))["end"] <= s["start"], F.lit(True)), F.concat(kept, F.array(s))).otherwise(kept))
     spans = spans.select("row_id", "text_key", free.alias("_spans"))
-    own = docs.columns
     out = with_keys(docs).join(spans, ["row_id", "text_key"], "left")
-    hit = F.col("_spans").isNotNull()
-    out = out.withColumn("text", F.when(hit, _blank(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
-    if "n_chars" in own:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*own)
+    hit, text = F.col("_spans").isNotNull(), F.col("own").getField("text")
+    out = out.withColumn("blanked", F.when(hit, _blank(text, F.col("_spans"))).otherwise(text))
+    changed = {"text": F.col("blanked")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(hit, F.length("blanked")).otherwise(F.col("own").getField("n_chars"))
+    return out.select(*own_columns(docs, changed))
