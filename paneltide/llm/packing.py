@@ -139,9 +139,8 @@ def pack(items: DataFrame, capacities: Sequence[int] = CAPACITIES, pool: int = P
 
     A null or negative length counts as 0; an empty document takes no room but
     has its row.  Null and repeated ids are items like others.  Items are dealt by
-    a hash of id, piece and length (null ids also by a running number); tasks
-    pack their rows pool by pool, so equal rows don't add to memory.  Empty
-    input: no rows.
+    a hash of id, piece, length and a running number, so equal rows are spread; tasks
+    pack their rows pool by pool.  Empty input: no rows.
     """
     largest = max(capacities)
     if min(capacities) < 1 or pool >= 1 << 20:
@@ -150,7 +149,7 @@ def pack(items: DataFrame, capacities: Sequence[int] = CAPACITIES, pool: int = P
     cut = items.select(F.col("doc_id").cast("long").alias("doc_id"), length.alias("_n")).select("doc_id", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("_n") - 1) / largest)))).alias("piece"))
     pieces = cut.select("doc_id", "piece", (F.col("piece") * largest).alias("start"), F.least(F.lit(largest), F.col("_n") - F.col("piece") * largest).alias("length"))
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(64))
-    dealt = pieces.withColumn("_s", F.xxhash64("doc_id", "piece", "length", F.when(F.col("doc_id").isNull(), salt)))
+    dealt = pieces.withColumn("_s", F.xxhash64("doc_id", "piece", "length", salt))
     shards = dealt.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_s").sortWithinPartitions("_s", "doc_id", "piece").drop("_s")
     return shards.mapInArrow(_pools(tuple(capacities), pool, cost), "doc_id long, piece long, start long, length long, bin_id long, bin_offset long, bin_fill long, bin_capacity long")
 
