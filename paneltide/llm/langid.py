@@ -23,8 +23,8 @@ from .common import mix, slices
 GRAM = 4
 #: Bits of the slot number; slots of the filter are 2^SLOT_BITS masks.
 SLOT_BITS, HASHES = 19, 2
-#: Bounds of what is learned: documents a language (chosen by hash of the id), n-grams a language, languages (the most frequent).
-SAMPLE, GRAMS, LANGUAGES = 4000, 20_000, 256
+#: Bounds of what is learned of a language: documents (chosen by hash of id and text) and n-grams.  All languages are learned.
+SAMPLE, GRAMS = 4000, 20_000
 #: An n-gram belongs to a language if it is at least this share as frequent there as where it is most frequent.
 SHARE = 0.1
 UNKNOWN = "und"
@@ -117,20 +117,19 @@ class Filter:
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, share.max(0), 0.0)
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, n_grams: int = GRAMS, languages: int = LANGUAGES) -> Filter:
+def fit(labelled: DataFrame, sample: int = SAMPLE, n_grams: int = GRAMS) -> Filter:
     """Learn from ``labelled`` (doc_id, text, lang; null texts and languages are left out).
 
-    What reaches the driver is bounded by the parameters: language counts and
-    ``n_grams`` n-grams of each language, counted in Spark over about
-    ``sample`` documents a language, chosen by hash of their id.
+    What reaches the driver is one count and at most ``n_grams`` n-grams of each language, counted in Spark over about
+    ``sample`` documents a language, chosen by hash of their id and text.
     """
     known = labelled.where("text is not null and lang is not null").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("lang").cast("string").alias("lang"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     names = [r["lang"] for r in counts]
     if not names:
         return Filter([], [])
     rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1_000_000, -(-sample * 1_000_000 // r["count"]))))])
-    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.try_element_at(rate, "lang"))
+    chosen = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < F.try_element_at(rate, "lang"))
     counted = chosen.select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     share = F.col("n") / F.sum("n").over(W.partitionBy("lang"))
     top = counted.withColumn("share", share).withColumn("most", F.max("share").over(W.partitionBy("gram"))).where(F.col("share") >= SHARE * F.col("most"))
