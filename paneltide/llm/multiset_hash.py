@@ -96,12 +96,16 @@ def likeness(a: Column, b: Column) -> Column:
     more often counts m^2).
     """
     total = (F.get(a, F.lit(EXACT)) + F.get(b, F.lit(EXACT))).cast("double")
-    apart = F.zip_with(F.slice(a, EXACT + 2, LANES), F.slice(b, EXACT + 2, LANES), lambda x, y: (x - y + F.lit(3 << 15)).bitwiseAND(F.lit(_M16)) - F.lit(1 << 15))
-    zero = F.struct(F.lit(0).cast("long").alias("z"), F.lit(0).cast("long").alias("l1"), F.lit(0).cast("long").alias("l2"))
-    sums = F.aggregate(apart, zero, lambda s, x: F.struct((s["z"] + F.when(x != 0, 1).otherwise(0)).alias("z"), (s["l1"] + F.abs(x)).alias("l1"), (s["l2"] + x * x).alias("l2")),
-                       lambda s: F.when(s["z"] == 0, F.lit(0.0)).when(s["z"] * 4 <= LANES, s["l1"] * F.log(F.lit(float(LANES)) / (F.lit(float(LANES)) - s["z"])) * F.lit(float(LANES)) / s["z"]).otherwise(s["l2"].cast("double")))
-    d = F.least(total, F.greatest(sums, F.abs(F.get(a, F.lit(EXACT)) - F.get(b, F.lit(EXACT))).cast("double")))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.when(total == 0, F.lit(0.0)).otherwise((total - d) / (total + d)))
+    least = F.abs(F.get(a, F.lit(EXACT)) - F.get(b, F.lit(EXACT))).cast("double")
+    each = F.zip_with(F.slice(a, EXACT + 2, LANES), F.slice(b, EXACT + 2, LANES), lambda x, y: (x - y + F.lit(3 << 15)).bitwiseAND(F.lit(_M16)) - F.lit(1 << 15))
+    add = lambda of: lambda apart: F.aggregate(apart, F.lit(0).cast("long"), lambda s, x: s + of(x))
+    full = F.lit(float(LANES))
+    few = lambda x: add(F.abs)(x) * F.log(full / (full - F.size(x))) * full / F.size(x)
+    differing = lambda x: F.when(F.size(x) == 0, F.lit(0.0)).when(F.size(x) * 4 <= LANES, few(x)).otherwise(add(lambda v: v * v)(x).cast("double"))
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  a lambda's variable is worked out once, however often it is used
+    d = F.least(total, F.greatest(once(F.filter(each, lambda x: x != 0), differing), least))
+    share = once(d, lambda d: (total - d) / (total + d))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.when(total == 0, F.lit(0.0)).otherwise(share))
 
 
 def next_links(rows: DataFrame, parts: int) -> DataFrame:
