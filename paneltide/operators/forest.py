@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .trees import MAX_BINS, TIE, BinnedFrame, Tree, level_splits, to_blocks, walk
+from .trees import MAX_BINS, TIE, BinnedFrame, Tree, level_splits, slot_counts, to_blocks, walk
 
 LOCAL_ROWS = 32_768
 #: Trees (times targets) whose rows are dealt at once; bounds the shuffle to so many copies of the rows.
@@ -208,7 +208,7 @@ def _tops(frame: BinnedFrame, trees: Sequence[tuple[int, int]], seed: int, local
                 at = np.where(w > 0, slot[walk(arrays[j, t], b.bins, binned=True)], -1)
                 yield [(j, t, n) for n in nodes], at, w, b.y[:, j]
 
-        found = level_splits(frame, rows_of, 0)
+        found = level_splits(frame, slot_counts(frame, rows_of), 0)
         nodes, open_nodes = open_nodes, {}
         depth += 1
         for k, own in nodes.items():

@@ -13,8 +13,8 @@ For a mean (``alpha=None``) F0 is the mean, trees grow on the residuals, and a l
 
 The frame is binned once.  All levels of all models (several alphas, several
 targets) are grown together: one job a level and one for the leaves, whatever
-the number of models.  Rows carry F as of the last snapshot; tasks add the few trees
-since.  Every ``checkpoint_every`` rounds a new snapshot is written to the
+the number of models.  Rows carry F: each round stores its rows anew, so no tree is
+walked again.  Every ``checkpoint_every`` rounds they are written to the
 reliable checkpoint folder, so lineage stays short and a lost executor
 replays at most that many rounds.  Thousands of jobs are worth it only where the
 rows are many: a frame of at most ``LOCAL_ROWS`` rows goes to one task a model, which
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,11 +37,13 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ensure_checkpoint_dir
 from .models import FEATURES, leaves_to_depth
-from .trees import MAX_BINS, BinnedFrame, Tree, best_split, compress, histogram, level_splits, merge_sketches, sketch_quantile, walk
+from .trees import MAX_BINS, BinnedFrame, Block, Tree, add_outputs, best_split, compress, counted, counted_flags, divide, level_splits, merge_sketches, node_rows, sketch_quantile
 
 ALPHAS = (0.1, 0.5, 0.9)
 #: Rows of a frame up to which a model's rounds run in one task: some 10 MB of bins.
 LOCAL_ROWS = 100_000
+#: Rows that a task of larger frames works on at once.
+STATE_ROWS = 131_072
 
 
 @dataclass
@@ -74,9 +76,12 @@ def predict_columns(df: DataFrame, models: dict[str, QuantileBoostModel], featur
         known = xs.notna().to_numpy()
         out = np.full((len(xs), len(names)), np.nan)
         if known.any():
-            x = np.stack(xs[known].to_list())
+            x = np.ascontiguousarray(np.stack(xs[known].to_list()).T)
             for k, (init, trees) in enumerate(held.value):
-                out[known, k] = init + sum(tree[5][walk(tree, x, binned=False)] for tree in trees)
+                own = np.zeros(x.shape[1])
+                for tree in trees:
+                    add_outputs(x, tree, own, binned=False)
+                out[known, k] = init + own
         return pd.DataFrame({f"p{k}": out[:, k] for k in range(len(names))})
 
     out = df.withColumn("_predicted", predict(F.when(F.col(features).isNotNull(), vector_to_array(features))))
@@ -87,63 +92,100 @@ def predict_columns(df: DataFrame, models: dict[str, QuantileBoostModel], featur
 
 @dataclass
 class _State:
-    """A block of rows with the predictions of all models as of the last snapshot."""
+    """Rows with the predictions of all models so far."""
 
-    bins: np.ndarray
-    y: np.ndarray
-    f: np.ndarray  # rows x models
+    columns: np.ndarray  # bins: features x rows
+    y: np.ndarray  # labels x rows
+    f: np.ndarray  # models x rows
 
 
-def _now(block: _State, since: list[list]) -> np.ndarray:
-    out = block.f.copy()
-    for k, grown in enumerate(since):
-        for tree in grown:
-            out[:, k] += tree[5][walk(tree, block.bins, binned=True)]
-    return out
+def _states(blocks: Iterator[Block], init: list) -> Iterator[_State]:
+    """Blocks joined up to ``STATE_ROWS`` rows."""
+    held: list[Block] = []
+
+    def joined() -> _State:
+        y = np.ascontiguousarray(np.concatenate([b.y for b in held]).T)
+        return _State(np.ascontiguousarray(np.concatenate([b.bins for b in held]).T), y, np.repeat(np.array(init, float)[:, None], y.shape[1], 1))
+
+    for b in blocks:
+        if held and sum(len(h.bins) for h in held) + len(b.bins) > STATE_ROWS:
+            yield joined()
+            held = []
+        held.append(b)
+    if held:
+        yield joined()
+
+
+def _moved(b: _State, trees: list) -> _State:
+    f = b.f.copy()
+    for k, tree in enumerate(trees):
+        add_outputs(b.columns, tree, f[k], binned=True)
+    return _State(b.columns, b.y, f)
 
 
 @dataclass
 class _Rounds:
-    """How a round's trees grow, whatever counts the rows."""
+    """How a round's trees grow, whatever counts the rows; one entry a model."""
 
-    learning_rate: float
-    num_leaves: int
-    depth: int
+    rates: list[float]
+    num_leaves: list[int]
+    depths: list[int]
     least: int
     edges: list
+    first: float | None = None  # the rate of the first round, if another
+
+    def only(self, k: int) -> _Rounds:
+        return _Rounds([self.rates[k]], [self.num_leaves[k]], [self.depths[k]], self.least, self.edges, self.first)
 
     def allowed(self, found: dict, model: int, leaves: int) -> list:
         """The splits of a level with the highest gains, as many as leaves are left."""
         own = sorted(((split[0], node, split) for (k, node), (split, _, _) in found.items() if k == model and split), key=lambda x: (-x[0], x[1]))
-        return own[:max(0, self.num_leaves - leaves)]
-
-    def grow(self, models: int, splits_of, quantiles_of) -> list[tuple]:
-        """One tree a model.  ``splits_of(trees, open nodes)`` gives the best split of every open node, ``quantiles_of(trees)`` every leaf's output."""
-        grown = [Tree() for _ in range(models)]
-        open_nodes: list[list[int]] = [[0] for _ in range(models)]
-        for _ in range(self.depth):
+        return own[:max(0, self.num_leaves[model] - leaves)]
+
+    def grow(self, m: int, splits_of, outputs_of) -> list[tuple]:
+        """Round ``m``: one tree a model.  ``splits_of(trees, open nodes)`` gives the best split of every open node, ``outputs_of(trees)`` every leaf's output."""
+        grown = [Tree() for _ in self.rates]
+        open_nodes: list[list[int]] = [[0] for _ in self.rates]
+        for level in range(max(self.depths)):
+            open_nodes = [own if level < depth else [] for own, depth in zip(open_nodes, self.depths, strict=True)]
             if not any(open_nodes):
                 break
             found = splits_of([t.arrays() for t in grown], open_nodes)
-            open_nodes = [[] for _ in range(models)]
+            open_nodes = [[] for _ in self.rates]
             for k, tree in enumerate(grown):
                 leaves = sum(x < 0 for x in tree.feature)
                 for _, node, (_, feature, cut, left_n, _, n, _) in self.allowed(found, k, leaves):
                     for child, rows in zip(tree.split(node, feature, cut, float(self.edges[feature][cut])), (left_n, n - left_n), strict=True):
                         if rows >= 2 * self.least:
                             open_nodes[k].append(child)
-        for (k, leaf), v in quantiles_of([t.arrays() for t in grown]):
-            grown[k].value[leaf] = self.learning_rate * v
+        for (k, leaf), v in outputs_of([t.arrays() for t in grown]):
+            grown[k].value[leaf] = (self.rates[k] if m or self.first is None else self.first) * v
         return [t.arrays() for t in grown]
 
 
-def _open_rows(b: _State, f: np.ndarray, target: Sequence[int], alphas: Sequence[float | None], arrays: list, open_nodes: list):
-    """For ``trees.level_splits``.  A quantile's gradient is alpha less what is summed here: a constant doesn't move the best split."""
-    for k, nodes in enumerate(open_nodes):
-        if nodes:
-            slot = np.full(len(arrays[k][0]), -1)
-            slot[nodes] = np.arange(len(nodes))
-            yield [(k, node) for node in nodes], slot[walk(arrays[k], b.bins, binned=True)], None, (b.y[:, target[k]] - f[:, k] if alphas[k] is None else b.y[:, target[k]] < f[:, k])
+def _gradient(y: np.ndarray, f: np.ndarray, alpha: float | None) -> np.ndarray:
+    """What a split sums up.  A quantile's gradient is alpha less what is summed here: a constant doesn't move the best split."""
+    return y - f if alpha is None else y < f
+
+
+def _open_counts(layout: tuple, target: Sequence[int], alphas: Sequence[float | None], arrays: list, open_nodes: list):
+    """For ``trees.level_splits``: the counts of the open nodes' rows; at the roots, three quantiles in one pass."""
+    offset, size, total = layout
+
+    def run(b: _State):
+        values = {k: _gradient(b.y[target[k]], b.f[k], alphas[k]) for k, nodes in enumerate(open_nodes) if nodes}
+        roots = [k for k in values if len(arrays[k][0]) == 1 and alphas[k] is not None]
+        for a in range(0, len(roots), 3):
+            count, sums = counted_flags(b.columns, [values.pop(k) for k in roots[a:a + 3]], offset, size, total)
+            for k, own in zip(roots[a:a + 3], sums, strict=True):
+                yield (k, 0), count.copy(), own
+        for k, value in values.items():
+            rows = node_rows(b.columns, arrays[k], binned=True)
+            nodes = [n for n in open_nodes[k] if len(rows[n])]
+            if nodes:
+                yield from zip([(k, n) for n in nodes], *counted(b.columns, [rows[n] for n in nodes], value, offset, size, total), strict=True)
+
+    return run
 
 
 def _summary(values: np.ndarray, alpha: float | None) -> tuple:
@@ -159,14 +201,12 @@ def _statistic(summary: tuple, alpha: float | None) -> float:
     return float(summary[1] / summary[2]) if alpha is None else sketch_quantile(*summary, alpha)
 
 
-def _leaf_residuals(b: _State, f: np.ndarray, target: Sequence[int], alphas: Sequence[float | None], arrays: list):
+def _leaf_residuals(b: _State, target: Sequence[int], alphas: Sequence[float | None], arrays: list):
     for k, tree in enumerate(arrays):
-        leaf = walk(tree, b.bins, binned=True)
-        order = np.argsort(leaf, kind="stable")
-        r = (b.y[:, target[k]] - f[:, k])[order]
-        names, at = np.unique(leaf[order], return_index=True)
-        for name, part in zip(names.tolist(), np.split(r, at[1:]), strict=True):
-            yield (k, name), _summary(part, alphas[k])
+        r = b.y[target[k]] - b.f[k]
+        for leaf, rows in node_rows(b.columns, tree, binned=True).items():
+            if len(rows):
+                yield (k, leaf), _summary(r[rows], alphas[k])
 
 
 def fit_boosts(train: DataFrame, wanted: Sequence[tuple[str, float | None]], n_rounds: int = 200, learning_rate: float = 0.1,
@@ -190,16 +230,54 @@ def fit_boosts(train: DataFrame, wanted: Sequence[tuple[str, float | None]], n_r
 
     start = dict(frame.rdd.mapPartitions(first).reduceByKey(_merge, frame.meet).collect())
     init = [_statistic(start[k], a) for k, a in enumerate(alphas)]
-    rounds = _Rounds(learning_rate, num_leaves, leaves_to_depth(num_leaves, max_depth), min_rows_per_leaf, frame.edges)
-    fit = _fit_where_rows_meet if frame.rows <= local_rows else _fit_in_step
-    trees = fit(frame, rounds, target, alphas, init, n_rounds, checkpoint_every)
+    n = len(wanted)
+    rounds = _Rounds([learning_rate] * n, [num_leaves] * n, [leaves_to_depth(num_leaves, max_depth)] * n, min_rows_per_leaf, frame.edges)
+    trees = _fit(frame, rounds, target, alphas, init, n_rounds, checkpoint_every, local_rows)
     frame.free()
     return [QuantileBoostModel(a, f0, learning_rate, label, own) for (label, a), f0, own in zip(wanted, init, trees, strict=True)]
 
 
-def _fit_where_rows_meet(frame: BinnedFrame, rounds: _Rounds, target: list, alphas: list, init: list, n_rounds: int, _: int) -> list[list]:
-    """At most ``local_rows`` rows: each model's rounds run in one task, the models side by side."""
-    offset, size, total = frame.offset, frame.size, frame.total
+def _fit(frame: BinnedFrame, rounds: _Rounds, target: list, alphas: list, init: list, n_rounds: int, checkpoint_every: int = 20, local_rows: int = LOCAL_ROWS) -> list[list]:
+    if frame.rows <= local_rows:
+        return _fit_where_rows_meet(frame, rounds, target, alphas, init, n_rounds)
+    return _fit_in_step(frame, rounds, target, alphas, init, n_rounds, checkpoint_every)
+
+
+class _Here:
+    """One tree on rows at hand: each node's rows and counts.  Of two children, the one of fewer rows is counted; the other's counts are its parent's less these."""
+
+    def __init__(self, b: _State, value: np.ndarray, layout: tuple, least: int) -> None:
+        self.b, self.value, self.layout, self.least = b, value, layout, least
+        self.rows = {0: np.arange(b.columns.shape[1])}
+        self.counts: dict = {}
+
+    def splits_of(self, arrays: list, open_nodes: list) -> dict:
+        pairs = self.divide(arrays[0])
+        wanted = set(open_nodes[0])
+        fewer = [min((left, right), key=lambda n: len(self.rows[n])) for _, left, right in pairs if left in wanted or right in wanted]
+        if not self.counts:
+            fewer = [0]
+        old, self.counts = self.counts, {}
+        if fewer:
+            self.counts = dict(zip(fewer, zip(*counted(self.b.columns, [self.rows[n] for n in fewer], self.value, *self.layout), strict=True), strict=True))
+        for parent, left, right in pairs:
+            for one, other in ((left, right), (right, left)):
+                if one in wanted and one not in self.counts:
+                    self.counts[one] = (old[parent][0] - self.counts[other][0], old[parent][1] - self.counts[other][1])
+        return {(0, n): (best_split(*self.counts[n], *self.layout[:2], self.least), 0, 0) for n in open_nodes[0]}
+
+    def divide(self, tree: tuple) -> list[tuple[int, int, int]]:
+        """Rows of new splits go to the children; (parent, left, right) of these."""
+        feature, cut, _, left, right, _ = tree
+        new = [n for n in self.rows if feature[n] >= 0]
+        for n in new:
+            self.rows[int(left[n])], self.rows[int(right[n])] = divide(self.b.columns, self.rows.pop(n), feature[n], cut[n])
+        return [(n, int(left[n]), int(right[n])) for n in new]
+
+
+def _fit_where_rows_meet(frame: BinnedFrame, rounds: _Rounds, target: list, alphas: list, init: list, n_rounds: int) -> list[list]:
+    """Few rows: each model's rounds run in one task, the models side by side."""
+    layout = frame.layout
 
     def run(blocks):
         by_model: dict = {}
@@ -207,20 +285,20 @@ def _fit_where_rows_meet(frame: BinnedFrame, rounds: _Rounds, target: list, alph
             by_model.setdefault(k, []).append(b)
         for k, own in by_model.items():
             own.sort(key=lambda b: int(b.ids[0]))
-            b = _State(np.concatenate([x.bins for x in own]), np.concatenate([x.y for x in own])[:, [target[k]]], np.zeros((0, 0)))
-            f = np.full((len(b.y), 1), init[k])
-
-            def splits_of(arrays, open_nodes, b=b, f=f, alpha=alphas[k]):
-                return {keys[slot]: (best_split(n, s, offset, size, rounds.least), 0, 0)
-                        for keys, at, w, v in _open_rows(b, f, [0], [alpha], arrays, open_nodes) for slot, n, s in histogram(b.bins, at, w, v, offset, total)}
-
-            def quantiles_of(arrays, b=b, f=f, alpha=alphas[k]):
-                return [(key, _statistic(x, alpha)) for key, x in _leaf_residuals(b, f, [0], [alpha], arrays)]
-
-            trees = []
-            for _ in range(n_rounds):
-                trees += rounds.grow(1, splits_of, quantiles_of)
-                f[:, 0] += trees[-1][5][walk(trees[-1], b.bins, binned=True)]
+            y = np.concatenate([b.y[:, target[k]] for b in own])
+            b = _State(np.ascontiguousarray(np.concatenate([x.bins for x in own]).T), y[None], np.full((1, len(y)), init[k]))
+            alone, trees = rounds.only(k), []
+            for m in range(n_rounds):
+                here = _Here(b, _gradient(y, b.f[0], alphas[k]), layout, rounds.least)
+
+                def outputs_of(arrays, b=b, y=y, here=here, alpha=alphas[k]):
+                    here.divide(arrays[0])
+                    r = y - b.f[0]
+                    return [((0, leaf), _statistic(_summary(r[rows], alpha), alpha)) for leaf, rows in here.rows.items()]
+
+                trees += alone.grow(m, here.splits_of, outputs_of)
+                for leaf, rows in here.rows.items():
+                    b.f[0][rows] += trees[-1][5][leaf]
             yield k, trees
 
     sent = frame.rdd.flatMap(lambda b: [(k, b) for k in range(len(alphas))]).partitionBy(len(alphas), lambda k: k)
@@ -230,37 +308,60 @@ def _fit_where_rows_meet(frame: BinnedFrame, rounds: _Rounds, target: list, alph
 
 def _fit_in_step(frame: BinnedFrame, rounds: _Rounds, target: list, alphas: list, init: list, n_rounds: int, checkpoint_every: int) -> list[list]:
     """All models grow together: one job a level and one for the leaves, whatever the number of models."""
-    models = len(alphas)
-    state = _snapshot(frame.rdd.map(lambda b: _State(b.bins, b.y, np.tile(init, (len(b.y), 1)))), None)
-    frame.free()
-    frame.rdd = state
+    whole = frame.rdd
+    frame.rdd = whole.mapPartitions(lambda blocks: _states(blocks, init)).persist(StorageLevel.MEMORY_AND_DISK)
+    frame.rdd.checkpoint()  # to the shared folder: short lineage, nothing is lost with an executor
+    frame.rdd.count()
+    whole.unpersist()
     trees: list[list] = [[] for _ in alphas]
-    since: list[list] = [[] for _ in alphas]
+    before: RDD | None = None
     for m in range(n_rounds):
-        def splits_of(arrays, open_nodes, since=since):
-            return level_splits(frame, lambda b: _open_rows(b, _now(b, since), target, alphas, arrays, open_nodes), rounds.least)
+        def splits_of(arrays, open_nodes):
+            return level_splits(frame, _open_counts(frame.layout, target, alphas, arrays, open_nodes), rounds.least)
 
-        def quantiles_of(arrays, state=state, since=since):
-            sketches = state.mapPartitions(lambda blocks: (x for b in blocks for x in _leaf_residuals(b, _now(b, since), target, alphas, arrays)))
-            return sketches.reduceByKey(_merge, frame.meet).map(lambda x: (x[0], _statistic(x[1], alphas[x[0][0]]))).collect()
+        def outputs_of(arrays, state=frame.rdd):
+            found = state.mapPartitions(lambda blocks: (x for b in blocks for x in _leaf_residuals(b, target, alphas, arrays)))
+            return found.reduceByKey(_merge, frame.meet).map(lambda x: (x[0], _statistic(x[1], alphas[x[0][0]]))).collect()
 
-        for k, tree in enumerate(rounds.grow(models, splits_of, quantiles_of)):
+        new = rounds.grow(m, splits_of, outputs_of)
+        if before is not None:
+            before.unpersist()  # this round's jobs have stored its successor
+        for k, tree in enumerate(new):
             trees[k].append(tree)
-            since[k] = [*since[k], tree]
-        if (m + 1) % checkpoint_every == 0 and m + 1 < n_rounds:
-            state = _snapshot(state.map(lambda b, since=since: _State(b.bins, b.y, _now(b, since))), state)
-            frame.rdd = state
-            since = [[] for _ in alphas]
+        if m + 1 < n_rounds:
+            before = frame.rdd
+            frame.rdd = before.map(lambda b, new=new: _moved(b, new)).persist(StorageLevel.MEMORY_AND_DISK)
+            if (m + 1) % checkpoint_every == 0:
+                frame.rdd.checkpoint()
     return trees
 
 
-def _snapshot(new: RDD, old: RDD | None) -> RDD:
-    new.persist(StorageLevel.MEMORY_AND_DISK)
-    new.checkpoint()  # to the shared folder: short lineage, nothing is lost with an executor
-    new.count()
-    if old is not None:
-        old.unpersist()
-    return new
+def staged_errors(train: DataFrame, held_out: DataFrame, label: str, fits: Sequence[tuple[float, int]], n_rounds: int,
+                  max_bins: int = MAX_BINS, checkpoint_every: int = 20, local_rows: int = LOCAL_ROWS) -> list[list[float]]:
+    """For each (rate, depth) of ``fits``: the mean squared error on ``held_out`` after each of ``n_rounds`` trees.
+
+    The trees are those of ``pyspark.ml``'s ``GBTRegressor``: from 0, the first tree counts whole, a later one twice the rate (its
+    gradient of the squared error), leaves of one row and more.  All fits grow side by side over one binned frame.
+    """
+    ensure_checkpoint_dir(train.sparkSession)
+    frame = BinnedFrame(train, FEATURES, [label], max_bins)
+    n = len(fits)
+    rounds = _Rounds([2 * rate for rate, _ in fits], [1 << depth for _, depth in fits], [depth for _, depth in fits], 1, frame.edges, first=1.0)
+    trees = _fit(frame, rounds, [0] * n, [None] * n, [0.0] * n, n_rounds, checkpoint_every, local_rows)
+    frame.free()
+
+    def squared(blocks):
+        total, rows = np.zeros((n, n_rounds)), 0
+        for b in _states(blocks, [0.0] * n):
+            rows += b.y.shape[1]
+            for k, grown in enumerate(trees):
+                for m, tree in enumerate(grown):
+                    add_outputs(b.columns, tree, b.f[k], binned=True)
+                    total[k, m] += ((b.y[0] - b.f[k]) ** 2).sum()
+        yield total, rows
+
+    total, rows = frame.blocks_of(held_out, FEATURES).mapPartitions(squared).fold((np.zeros((n, n_rounds)), 0), lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    return (total / rows if rows else np.full((n, n_rounds), np.nan)).tolist()
 
 
 def fit_quantile_boost(train: DataFrame, label: str, alpha: float, **params) -> QuantileBoostModel:

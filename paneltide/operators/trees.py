@@ -102,6 +102,27 @@ def walk(tree: tuple[np.ndarray, ...], x: np.ndarray, binned: bool) -> np.ndarra
     return node
 
 
+def node_rows(columns: np.ndarray, tree: tuple[np.ndarray, ...], binned: bool) -> dict[int, np.ndarray]:
+    """The rows of every leaf, in their order; ``columns`` is features x rows (bins, or values)."""
+    feature, cut, threshold, left, right, _ = tree
+    limit = cut if binned else threshold
+    own = {0: np.arange(columns.shape[1])}
+    for node in np.flatnonzero(feature >= 0).tolist():  # a node's number is lower than its children's
+        own[int(left[node])], own[int(right[node])] = divide(columns, own.pop(node), feature[node], limit[node])
+    return own
+
+
+def divide(columns: np.ndarray, rows: np.ndarray, feature: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    goes_left = columns[feature].take(rows) <= limit
+    return rows[goes_left], rows[~goes_left]
+
+
+def add_outputs(columns: np.ndarray, tree: tuple[np.ndarray, ...], out: np.ndarray, binned: bool) -> None:
+    """Adds to ``out`` the value of every row's leaf."""
+    for leaf, rows in node_rows(columns, tree, binned).items():
+        out[rows] += tree[5][leaf]
+
+
 # ---- the binned frame
 
 def _edge_sketches(width: int):
@@ -170,13 +191,18 @@ def to_blocks(edges: list[np.ndarray], labels: int):
     return run
 
 
+def _with_labels(frame: DataFrame, features: str, labels: list[str]) -> DataFrame:
+    rows = frame.where(F.col(features).isNotNull()).select(vector_to_array(features).alias("x"), F.array(*[F.col(c).cast("double") for c in labels]).alias("y"))
+    return rows.where(F.forall("y", lambda v: v.isNotNull() & ~F.isnan(v)))
+
+
 class BinnedFrame:
     """The training rows as blocks of bins; ``rdd`` is persisted until ``free``."""
 
     def __init__(self, frame: DataFrame, features: str, labels: list[str], max_bins: int = MAX_BINS) -> None:
         if max_bins > 256:
             raise ValueError("at most 256 bins")
-        rows = frame.where(F.col(features).isNotNull()).select(vector_to_array(features).alias("x"), F.array(*[F.col(c).cast("double") for c in labels]).alias("y")).where(F.forall("y", lambda v: v.isNotNull() & ~F.isnan(v)))
+        rows = _with_labels(frame, features, labels)
         first = rows.select("x").first()
         if first is None:
             raise ValueError("no training rows with a label")
@@ -185,6 +211,7 @@ class BinnedFrame:
         self.size = np.array([len(e) + 1 for e in self.edges])
         self.offset = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         self.total = int(self.size.sum())
+        self.layout = (self.offset, self.size, self.total)
         table = rows.withColumn("id", F.monotonically_increasing_id()).mapInArrow(to_blocks(self.edges, len(labels)), "bins binary, y binary, ids binary")
         self.table = table = cut_lineage(table)  # binned once, row numbers settled
         width, n_labels = len(self.edges), len(labels)
@@ -193,6 +220,7 @@ class BinnedFrame:
             bins = np.frombuffer(r["bins"], np.uint8).reshape(-1, width)
             return Block(bins, np.frombuffer(r["y"]).reshape(-1, n_labels), np.frombuffer(r["ids"], np.int64))
 
+        self._block = block
         self.rdd: RDD = table.rdd.map(block).persist(StorageLevel.MEMORY_AND_DISK)
         self.rows = self.rdd.map(lambda b: len(b.bins)).sum()
         # small frames in few tasks: a task costs more than a few thousand rows
@@ -204,6 +232,11 @@ class BinnedFrame:
             whole.unpersist()
         self.meet = min(parts, 64)
 
+    def blocks_of(self, frame: DataFrame, features: str) -> RDD:
+        """Other rows in this frame's bins; rows without a label or features are left out, as in the frame."""
+        rows = _with_labels(frame, features, self.labels).withColumn("id", F.monotonically_increasing_id())
+        return rows.mapInArrow(to_blocks(self.edges, len(self.labels)), "bins binary, y binary, ids binary").rdd.map(self._block)
+
     def threshold(self, feature: int, cut: int) -> float:
         return float(self.edges[feature][cut])
 
@@ -253,8 +286,59 @@ def histogram(bins: np.ndarray, slot: np.ndarray, weight: np.ndarray | None, val
             yield int(names[a + k]), count[k * total:(k + 1) * total].astype(np.float64), sums[k * total:(k + 1) * total].astype(np.float64)
 
 
-def level_splits(frame: BinnedFrame, rows_of: Callable, least: float) -> dict:
-    """(best split or None, rows, sum) of every key: ``rows_of(block)`` yields (key of each slot, slot of each row or -1, weights, values).
+def counted(columns: np.ndarray, groups: list[np.ndarray], value: np.ndarray, offset: np.ndarray, size: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by bin and sums by bin of each group of rows, one feature at a time; values are numbers, or true and false."""
+    n, flags = len(groups), value.dtype == bool
+    rows = groups[0] if n == 1 else np.concatenate(groups)
+    every = n == 1 and len(rows) == columns.shape[1]
+    value = value if every else value.take(rows)
+    held = np.array([len(g) for g in groups])
+    base = np.repeat(np.arange(n) * (512 if flags else 256), held)
+    if flags:
+        base += value.astype(np.int64) << 8
+    count, sums = np.empty((n, total)), np.empty((n, total))
+    for f, column in enumerate(columns):
+        a, b = offset[f], offset[f] + size[f]
+        at = base + (column if every else column.take(rows))
+        if flags:
+            both = np.bincount(at, None, n * 512).reshape(n, 2, 256)[:, :, :size[f]]
+            count[:, a:b], sums[:, a:b] = both.sum(1), both[:, 1]
+        else:
+            count[:, a:b] = np.bincount(at, None, n * 256).reshape(n, 256)[:, :size[f]]
+            sums[:, a:b] = np.bincount(at, value, n * 256).reshape(n, 256)[:, :size[f]]
+    return count, sums
+
+
+def counted_flags(columns: np.ndarray, flags: list[np.ndarray], offset: np.ndarray, size: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all rows, the rows by bin and each flag's true rows by bin, in one pass."""
+    base, n = np.zeros(columns.shape[1], np.int64), 1 << len(flags)
+    for i, flag in enumerate(flags):
+        base += flag.astype(np.int64) << (8 + i)
+    own = [[c for c in range(n) if c >> i & 1] for i in range(len(flags))]
+    count, sums = np.empty(total), np.empty((len(flags), total))
+    for f, column in enumerate(columns):
+        a, b = offset[f], offset[f] + size[f]
+        all_of = np.bincount(base + column, None, n * 256).reshape(n, 256)[:, :size[f]]
+        count[a:b] = all_of.sum(0)
+        for i, c in enumerate(own):
+            sums[i, a:b] = all_of[c].sum(0)
+    return count, sums
+
+
+def slot_counts(frame: BinnedFrame, rows_of: Callable) -> Callable:
+    """For ``level_splits``: ``rows_of(block)`` yields (key of each slot, slot of each row or -1, weights, values)."""
+    offset, total = frame.offset, frame.total
+
+    def run(b):
+        for keys, slot, weight, value in rows_of(b):
+            for k, n, s in histogram(b.bins, slot, weight, value, offset, total):
+                yield keys[k], n, s
+
+    return run
+
+
+def level_splits(frame: BinnedFrame, counts_of: Callable, least: float) -> dict:
+    """(best split or None, rows, sum) of every key: ``counts_of(block)`` yields (key, rows by bin, sums by bin).
 
     One job: counts are added in the map tasks first, then by key.
     """
@@ -263,13 +347,12 @@ def level_splits(frame: BinnedFrame, rows_of: Callable, least: float) -> dict:
     def count(blocks):
         held: dict = {}
         for b in blocks:
-            for keys, slot, weight, value in rows_of(b):
-                for k, n, s in histogram(b.bins, slot, weight, value, offset, total):
-                    if keys[k] in held:
-                        held[keys[k]][0] += n
-                        held[keys[k]][1] += s
-                    else:
-                        held[keys[k]] = [n, s]
+            for key, n, s in counts_of(b):
+                if key in held:
+                    held[key][0] += n
+                    held[key][1] += s
+                else:
+                    held[key] = [n, s]
         for key, (n, s) in held.items():
             full = np.flatnonzero(n)
             if len(full) * 2 < total:  # few bins are taken: only those are sent
