@@ -40,8 +40,8 @@ from .models import FEATURES, leaves_to_depth
 from .trees import MAX_BINS, BinnedFrame, Block, Tree, add_outputs, best_split, compress, counted, counted_flags, divide, level_splits, merge_sketches, node_rows, sketch_quantile
 
 ALPHAS = (0.1, 0.5, 0.9)
-#: Rows of a frame up to which a model's rounds run in one task: some 10 MB of bins.
-LOCAL_ROWS = 100_000
+#: Rows of a frame up to which a model's rounds run in one task: some 25 MB of bins.
+LOCAL_ROWS = 400_000
 #: Rows that a task of larger frames works on at once.
 STATE_ROWS = 131_072
 
@@ -309,7 +309,10 @@ def _fit_where_rows_meet(frame: BinnedFrame, rounds: _Rounds, target: list, alph
 def _fit_in_step(frame: BinnedFrame, rounds: _Rounds, target: list, alphas: list, init: list, n_rounds: int, checkpoint_every: int) -> list[list]:
     """All models grow together: one job a level and one for the leaves, whatever the number of models."""
     whole = frame.rdd
-    frame.rdd = whole.mapPartitions(lambda blocks: _states(blocks, init)).persist(StorageLevel.MEMORY_AND_DISK)
+    # every task sends counts of all open nodes and bins, so no more tasks than the rows need and the cores take
+    parts = min(whole.getNumPartitions(), max(1, frame.rows * 2 // STATE_ROWS), 2 * whole.context.defaultParallelism)
+    frame.meet = min(frame.meet, parts)
+    frame.rdd = whole.coalesce(parts).mapPartitions(lambda blocks: _states(blocks, init)).persist(StorageLevel.MEMORY_AND_DISK)
     frame.rdd.checkpoint()  # to the shared folder: short lineage, nothing is lost with an executor
     frame.rdd.count()
     whole.unpersist()

@@ -337,6 +337,12 @@ def slot_counts(frame: BinnedFrame, rows_of: Callable) -> Callable:
     return run
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in four bytes, others as they are."""
+    whole = x.astype(np.int32) if len(x) and np.abs(x).max() < 2**31 else x
+    return whole if np.array_equal(whole, x) else x
+
+
 def level_splits(frame: BinnedFrame, counts_of: Callable, least: float) -> dict:
     """(best split or None, rows, sum) of every key: ``counts_of(block)`` yields (key, rows by bin, sums by bin).
 
@@ -356,13 +362,13 @@ def level_splits(frame: BinnedFrame, counts_of: Callable, least: float) -> dict:
         for key, (n, s) in held.items():
             full = np.flatnonzero(n)
             if len(full) * 2 < total:  # few bins are taken: only those are sent
-                yield key, (full.astype(np.int32), n[full], s[full])
+                yield key, (full.astype(np.int32), _short(n[full]), _short(s[full]))
             else:
-                yield key, (None, n, s)
+                yield key, (None, _short(n), _short(s))
 
     def wide(x):
         if x[0] is None:
-            return x[1], x[2]
+            return x[1].astype(np.float64), x[2].astype(np.float64)
         n, s = np.zeros(total), np.zeros(total)
         n[x[0]], s[x[0]] = x[1], x[2]
         return n, s
