@@ -34,6 +34,10 @@ from .trees import MAX_BINS, TIE, BinnedFrame, Tree, level_splits, slot_counts,
 LOCAL_ROWS = 32_768
 #: Trees (times targets) whose rows are dealt at once; bounds the shuffle to so many copies of the rows.
 WAVE = 50
+#: Row copies that may always be dealt at once, so that small frames need few waves.
+COPIES = 20_000_000
+#: A feature is counted by (node, bin) as long as these are at most so many times the rows, else sorted.
+GRID = 1
 _CDF = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
 
@@ -47,58 +51,91 @@ def bag(ids: np.ndarray, seed: int, tree: int) -> np.ndarray:
     return np.searchsorted(_CDF, (x >> np.uint64(11)).astype(np.float64) / 2**53).astype(np.float64)
 
 
+def _counted_splits(at: np.ndarray, w: np.ndarray, wy: np.ndarray, total_w: np.ndarray, total_s: np.ndarray, width: int, best: np.ndarray) -> tuple:
+    """(node, cut, gain) where a feature beats ``best``; ``at`` is node * width + bin of each row."""
+    shape = (len(best), width)
+    held = np.bincount(at, w, len(best) * width).reshape(shape)
+    lw, ls = np.cumsum(held, 1), np.cumsum(np.bincount(at, wy, len(best) * width).reshape(shape), 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where((held > 0) & (lw < total_w[:, None]), ls**2 / lw + (total_s[:, None] - ls) ** 2 / (total_w[:, None] - lw), -1.0)
+    top = gain.max(1)
+    names = np.flatnonzero(top > best * (1 + TIE) + 1e-300)  # an earlier feature wins a tie
+    cuts = np.argmax(gain[names] >= (top[names] * (1 - TIE))[:, None], 1)
+    return names, cuts, gain[names, cuts]
+
+
+def _sorted_splits(o: np.ndarray, node: np.ndarray, column: np.ndarray, w: np.ndarray, wy: np.ndarray, total_w: np.ndarray, total_s: np.ndarray, starts: np.ndarray, best: np.ndarray) -> tuple:
+    """The same from the rows by node and bin."""
+    nothing = np.zeros(0, np.int64)
+    r, b = node[o], column[o]
+    at = np.flatnonzero((r[:-1] == r[1:]) & (b[:-1] != b[1:]))
+    if not len(at):
+        return nothing, nothing, np.zeros(0)
+    cw, cs = np.cumsum(w[o]), np.cumsum(wy[o])
+    before = starts - 1
+    base_w, base_s = np.where(before >= 0, cw[before], 0.0), np.where(before >= 0, cs[before], 0.0)
+    ra = r[at]
+    lw, ls = cw[at] - base_w[ra], cs[at] - base_s[ra]
+    gain = ls**2 / lw + (total_s[ra] - ls) ** 2 / (total_w[ra] - lw)
+    own = np.flatnonzero(np.concatenate([[True], ra[1:] != ra[:-1]]))
+    top = np.maximum.reduceat(gain, own)
+    better = top > best[ra[own]] * (1 + TIE) + 1e-300
+    if not better.any():
+        return nothing, nothing, np.zeros(0)
+    full = np.repeat(np.where(better, top * (1 - TIE), np.inf), np.diff(np.append(own, len(ra))))
+    hit = np.flatnonzero(gain >= full)
+    names, first = np.unique(ra[hit], return_index=True)
+    return names, b[at[hit[first]]], gain[hit[first]]
+
+
 def finish(bins: np.ndarray, y: np.ndarray, w: np.ndarray, max_depth: int | None = None) -> tuple[np.ndarray, ...]:
     """A regression tree over these rows, grown level by level until targets are equal: feature, cut, left, right, value."""
     columns = np.ascontiguousarray(bins.T)
+    width = columns.max(1).astype(int) + 1
     wy = w * y
-    node = np.zeros(len(y), np.int64)  # of the rows still open: their node's rank in the level
-    order = [np.argsort(c, kind="stable") for c in columns]
+    rows, rank = np.arange(len(y)), np.zeros(len(y), np.int64)  # the open rows by node, and their node's rank in the level
+    node = np.zeros(len(y), np.int64)  # of all rows: that rank, or -1
+    order: list = [None] * len(columns)  # the open rows by node and bin, for features that are sorted
     level = np.zeros(1, np.int64)  # numbers of the level's nodes
     made, depth = 1, 0
     feature_of, cut_of, left_of, value_of = {}, {}, {}, {}
     while len(level):
-        rows = order[0]
-        rank = node[rows]
         starts = np.searchsorted(rank, np.arange(len(level)))
-        total_w, total_s = np.add.reduceat(w[rows], starts), np.add.reduceat(wy[rows], starts)
+        w_of, wy_of, y_of = w[rows], wy[rows], y[rows]
+        total_w, total_s = np.add.reduceat(w_of, starts), np.add.reduceat(wy_of, starts)
         value_of.update(zip(level.tolist(), (total_s / total_w).tolist(), strict=True))
-        mixed = np.maximum.reduceat(y[rows], starts) > np.minimum.reduceat(y[rows], starts)
+        mixed = np.maximum.reduceat(y_of, starts) > np.minimum.reduceat(y_of, starts)
         best = np.where(mixed, total_s**2 / total_w, np.inf)
         feature, cut = np.full(len(level), -1), np.zeros(len(level), np.int64)
         if max_depth is None or depth < max_depth:
-            for f, o in enumerate(order):
-                r, b = node[o], columns[f][o]
-                cw, cs = np.cumsum(w[o]), np.cumsum(wy[o])
-                before = starts - 1
-                base_w, base_s = np.where(before >= 0, cw[before], 0.0), np.where(before >= 0, cs[before], 0.0)
-                at = np.flatnonzero((r[:-1] == r[1:]) & (b[:-1] != b[1:]))
-                if not len(at):
+            for f, column in enumerate(columns):
+                if width[f] == 1:
                     continue
-                ra = r[at]
-                lw, ls = cw[at] - base_w[ra], cs[at] - base_s[ra]
-                gain = ls**2 / lw + (total_s[ra] - ls) ** 2 / (total_w[ra] - lw)
-                own = np.flatnonzero(np.concatenate([[True], ra[1:] != ra[:-1]]))
-                top = np.maximum.reduceat(gain, own)
-                better = top > best[ra[own]] * (1 + TIE) + 1e-300  # an earlier feature wins a tie
-                if better.any():
-                    full = np.repeat(np.where(better, top * (1 - TIE), np.inf), np.diff(np.append(own, len(ra))))
-                    hit = np.flatnonzero(gain >= full)
-                    names, first = np.unique(ra[hit], return_index=True)
-                    best[names], feature[names], cut[names] = gain[hit[first]], f, b[at[hit[first]]]
+                if len(level) * width[f] <= GRID * len(rows):  # few bins for the rows: count instead of sorting
+                    order[f] = None
+                    names, cuts, gains = _counted_splits(rank * width[f] + column[rows], w_of, wy_of, total_w, total_s, int(width[f]), best)
+                else:
+                    if order[f] is None:
+                        order[f] = rows[np.argsort(rank * 256 + column[rows], kind="stable")]
+                    names, cuts, gains = _sorted_splits(order[f], node, column, w, wy, total_w, total_s, starts, best)
+                best[names], feature[names], cut[names] = gains, f, cuts
         split = np.flatnonzero(feature >= 0)
         left = made + 2 * np.arange(len(split))
         for k, n in zip(split.tolist(), left.tolist(), strict=True):
             feature_of[int(level[k])], cut_of[int(level[k])], left_of[int(level[k])] = int(feature[k]), int(cut[k]), n
         new = np.full(len(level), -1)
         new[split] = 2 * np.arange(len(split))
-        goes_right = columns[feature[node[rows]], rows] > cut[node[rows]]
-        moved = np.full(len(y), -1)
-        moved[rows] = np.where(new[rank] >= 0, new[rank] + goes_right, -1)
-        node = moved
+        goes_right = columns[feature[rank], rows] > cut[rank]
+        moved = np.where(new[rank] >= 0, new[rank] + goes_right, -1)
+        node[rows] = moved
         kind = np.int16 if 2 * len(split) < 2**15 else np.int64  # few ranks sort faster
+        rows, rank = rows[moved >= 0], moved[moved >= 0]
+        by_rank = np.argsort(rank.astype(kind), kind="stable")
+        rows, rank = rows[by_rank], rank[by_rank]
         for f, o in enumerate(order):
-            o = o[node[o] >= 0]
-            order[f] = o[np.argsort(node[o].astype(kind), kind="stable")]
+            if o is not None:
+                o = o[node[o] >= 0]
+                order[f] = o[np.argsort(node[o].astype(kind), kind="stable")]
         level = np.stack([left, left + 1], 1).ravel()
         made += 2 * len(split)
         depth += 1
@@ -227,7 +264,7 @@ def _tops(frame: BinnedFrame, trees: Sequence[tuple[int, int]], seed: int, local
 
 
 def fit_forest(train: DataFrame, features: str, labels: Sequence[str], n_trees: int = 100, seed: int = 42, max_depth: int | None = None,
-               local_rows: int = LOCAL_ROWS, wave: int = WAVE, max_bins: int = MAX_BINS) -> ForestModel:
+               local_rows: int = LOCAL_ROWS, wave: int | None = None, max_bins: int = MAX_BINS) -> ForestModel:
     """A forest of ``n_trees`` for each label over one binned frame; the trees of all labels share their bags.
 
     Rows with a null label take no part; no rows raise ValueError.
@@ -235,6 +272,7 @@ def fit_forest(train: DataFrame, features: str, labels: Sequence[str], n_trees:
     spark = train.sparkSession
     labels = list(labels)
     frame = BinnedFrame(train, features, labels, max_bins)
+    wave = wave or max(WAVE, COPIES // frame.rows)
     wanted = [(j, t) for t in range(n_trees) for j in range(len(labels))]
     tops: dict = {}
     tables: list[DataFrame] = []
