@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ensure_checkpoint_dir
 from .models import FEATURES, leaves_to_depth
-from .trees import MAX_BINS, BinnedFrame, Block, Tree, add_outputs, best_split, compress, counted, counted_flags, divide, level_splits, merge_sketches, node_rows, sketch_quantile
+from .trees import MAX_BINS, BinnedFrame, Block, Tree, add_outputs, best_split, counted, counted_flags, counted_slots, divide, merge_sketches, packed, places, sketch, sketch_quantile, unpacked
 
 ALPHAS = (0.1, 0.5, 0.9)
 #: Rows of a frame up to which a model's rounds run in one task: some 25 MB of bins.
@@ -169,7 +169,7 @@ def _gradient(y: np.ndarray, f: np.ndarray, alpha: float | None) -> np.ndarray:
 
 
 def _open_counts(layout: tuple, target: Sequence[int], alphas: Sequence[float | None], arrays: list, open_nodes: list):
-    """For ``trees.level_splits``: the counts of the open nodes' rows; at the roots, three quantiles in one pass."""
+    """For ``trees.packed``: the counts of the open nodes' rows; at the roots, three quantiles in one pass."""
     offset, size, total = layout
 
     def run(b: _State):
@@ -180,17 +180,24 @@ def _open_counts(layout: tuple, target: Sequence[int], alphas: Sequence[float |
             for k, own in zip(roots[a:a + 3], sums, strict=True):
                 yield (k, 0), count.copy(), own
         for k, value in values.items():
-            rows = node_rows(b.columns, arrays[k], binned=True)
-            nodes = [n for n in open_nodes[k] if len(rows[n])]
-            if nodes:
-                yield from zip([(k, n) for n in nodes], *counted(b.columns, [rows[n] for n in nodes], value, offset, size, total), strict=True)
+            slots = np.full(len(arrays[k][0]), -1)
+            slots[open_nodes[k]] = np.arange(len(open_nodes[k]))
+            slot = slots.take(places(b.columns, arrays[k], binned=True))
+            rows = np.flatnonzero(slot >= 0)
+            slot = slot.take(rows)
+            order = np.argsort(slot.astype(np.uint16) if len(slots) <= 1 << 16 else slot, kind="stable")  # a slot's counts stay near
+            rows, slot = rows.take(order), slot.take(order)
+            held = np.bincount(slot, minlength=len(open_nodes[k]))
+            for node, n, *sums in zip(open_nodes[k], held, *counted_slots(b.columns, rows, slot, len(open_nodes[k]), value, offset, size, total), strict=True):
+                if n:
+                    yield (k, node), *sums
 
     return run
 
 
 def _summary(values: np.ndarray, alpha: float | None) -> tuple:
     """What a mean (sum and rows) or a quantile (a sketch) is worked out from."""
-    return (None, values.sum(), len(values)) if alpha is None else compress(values, np.ones(len(values)))
+    return (None, values.sum(), len(values)) if alpha is None else sketch(values)
 
 
 def _merge(a: tuple, b: tuple) -> tuple:
@@ -201,12 +208,20 @@ def _statistic(summary: tuple, alpha: float | None) -> float:
     return float(summary[1] / summary[2]) if alpha is None else sketch_quantile(*summary, alpha)
 
 
-def _leaf_residuals(b: _State, target: Sequence[int], alphas: Sequence[float | None], arrays: list):
-    for k, tree in enumerate(arrays):
-        r = b.y[target[k]] - b.f[k]
-        for leaf, rows in node_rows(b.columns, tree, binned=True).items():
-            if len(rows):
-                yield (k, leaf), _summary(r[rows], alphas[k])
+def _leaf_residuals(blocks: Iterator[_State], target: Sequence[int], alphas: Sequence[float | None], arrays: list):
+    """((model, leaf), summary) of a task's rows; a leaf's residuals are gathered from all blocks and sorted once."""
+    held: dict = {}
+    for b in blocks:
+        for k, tree in enumerate(arrays):
+            at = places(b.columns, tree, binned=True)
+            order = np.argsort(at.astype(np.uint16) if len(tree[0]) <= 1 << 16 else at, kind="stable")
+            r = (b.y[target[k]] - b.f[k]).take(order)
+            stop = np.cumsum(np.bincount(at, minlength=len(tree[0])))
+            for leaf, rows in enumerate(np.split(r, stop[:-1])):
+                if len(rows):
+                    held.setdefault((k, leaf), []).append(rows)
+    for (k, leaf), parts in held.items():
+        yield (k, leaf), _summary(np.concatenate(parts), alphas[k])
 
 
 def fit_boosts(train: DataFrame, wanted: Sequence[tuple[str, float | None]], n_rounds: int = 200, learning_rate: float = 0.1,
@@ -306,6 +321,70 @@ def _fit_where_rows_meet(frame: BinnedFrame, rounds: _Rounds, target: list, alph
     return [found[k] for k in range(len(alphas))]
 
 
+class _Levels:
+    """One round's trees on the rows of all tasks, a job a level.  As in ``_Here``, of two children the one of fewer rows is
+    counted; the other's counts follow where the parent's are held: one partition a model, persisted until the next level."""
+
+    def __init__(self, frame: BinnedFrame, target: list, alphas: list, least: int) -> None:
+        self.frame, self.target, self.alphas, self.least = frame, target, alphas, least
+        self.held: RDD | None = None
+        self.found: dict = {}
+
+    def splits_of(self, arrays: list, open_nodes: list) -> dict:
+        layout, least, (offset, size, total) = self.frame.layout, self.least, self.frame.layout
+        fewer, pairs = open_nodes, [[] for _ in arrays]
+        if self.held is not None:
+            fewer = [[] for _ in arrays]
+            for (k, parent), (split, _, _) in self.found.items():
+                left, right = int(arrays[k][3][parent]), int(arrays[k][4][parent])
+                if left in open_nodes[k] or right in open_nodes[k]:
+                    one, other = (left, right) if split[3] * 2 <= split[5] else (right, left)
+                    fewer[k].append(one)
+                    pairs[k].append((parent, one, other))
+        counts_of = _open_counts(layout, self.target, self.alphas, arrays, fewer)
+
+        def count(blocks):
+            for (k, node), x in packed((x for b in blocks for x in counts_of(b)), total):
+                yield k, (node, x)
+
+        def meet(k, sent):
+            counts: dict = {}
+            for _, (node, x) in sent:
+                n, s = unpacked(x, total)
+                if node in counts:
+                    counts[node][0] += n
+                    counts[node][1] += s
+                else:
+                    counts[node] = [n, s]
+            yield k, counts
+
+        def derive(x):
+            (k, counts), (_, old) = x
+            out = {}
+            for parent, one, other in pairs[k]:
+                for node, c in ((one, counts[one]), (other, [old[parent][0] - counts[one][0], old[parent][1] - counts[one][1]])):
+                    if node in open_nodes[k]:
+                        out[node] = c
+            return k, out
+
+        def best(x):
+            k, counts = x
+            return [((k, node), (best_split(n, s, offset, size, least), 0, 0)) for node, (n, s) in counts.items()]
+
+        before = self.held
+        level = self.frame.rdd.mapPartitions(count).partitionBy(len(arrays), lambda k: k).mapPartitionsWithIndex(meet)
+        self.held = (level if before is None else level.zip(before).map(derive)).persist(StorageLevel.MEMORY_AND_DISK)
+        self.found = dict(self.held.flatMap(best).collect())
+        if before is not None:
+            before.unpersist()
+        found, self.found = self.found, {key: x for key, x in self.found.items() if x[0]}
+        return found
+
+    def free(self) -> None:
+        if self.held is not None:
+            self.held.unpersist()
+
+
 def _fit_in_step(frame: BinnedFrame, rounds: _Rounds, target: list, alphas: list, init: list, n_rounds: int, checkpoint_every: int) -> list[list]:
     """All models grow together: one job a level and one for the leaves, whatever the number of models."""
     whole = frame.rdd
@@ -319,14 +398,14 @@ def _fit_in_step(frame: BinnedFrame, rounds: _Rounds, target: list, alphas: list
     trees: list[list] = [[] for _ in alphas]
     before: RDD | None = None
     for m in range(n_rounds):
-        def splits_of(arrays, open_nodes):
-            return level_splits(frame, _open_counts(frame.layout, target, alphas, arrays, open_nodes), rounds.least)
+        levels = _Levels(frame, target, alphas, rounds.least)
 
         def outputs_of(arrays, state=frame.rdd):
-            found = state.mapPartitions(lambda blocks: (x for b in blocks for x in _leaf_residuals(b, target, alphas, arrays)))
+            found = state.mapPartitions(lambda blocks: _leaf_residuals(blocks, target, alphas, arrays))
             return found.reduceByKey(_merge, frame.meet).map(lambda x: (x[0], _statistic(x[1], alphas[x[0][0]]))).collect()
 
-        new = rounds.grow(m, splits_of, outputs_of)
+        new = rounds.grow(m, levels.splits_of, outputs_of)
+        levels.free()
         if before is not None:
             before.unpersist()  # this round's jobs have stored its successor
         for k, tree in enumerate(new):

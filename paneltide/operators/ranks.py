@@ -22,6 +22,7 @@ small share of the rows, are counted one by one.  The result is exact.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -208,7 +209,8 @@ def quantiles_and_more(df: DataFrame, columns: Sequence[str], probs: Sequence[fl
     """The quantiles of several numeric columns, and the aggregates ``more`` from the same scan.
 
     One aggregate sketches all columns at once.  Where the sketch's two sides agree (values that
-    many rows share) the quantile is known; the other columns go through ``exact_quantiles`` together.
+    many rows share) the quantile is known.  Of the other columns a second scan counts the values below the two sides and
+    keeps those between them; columns of few values go through ``exact_quantiles`` together.
     """
     columns = list(dict.fromkeys(columns))
     if not columns and not more:
@@ -222,13 +224,16 @@ def quantiles_and_more(df: DataFrame, columns: Sequence[str], probs: Sequence[fl
     wide = [min(1.0, max(0.0, q + side * 4.0 / accuracy)) for q in probs for side in (-1, 1)]
     row = df.agg(*[F.struct(F.count(present(c)).alias("n"), F.percentile_approx(present(c), wide, accuracy).alias("r")).alias(f"c{i}") for i, c in enumerate(columns)], *extra).first()
     out: dict[str, list] = {}
-    open_columns = []
+    open_columns, between = [], []
     for i, c in enumerate(columns):
         n, r = row[f"c{i}"]["n"], row[f"c{i}"]["r"]
         if n == 0:
             out[c] = [None] * len(probs)
         elif r[0::2] == r[1::2] and n >= accuracy:  # with fewer rows the sides may miss the next row
             out[c] = list(r[0::2])
+        elif n >= accuracy:
+            out[c] = [None] * len(probs)
+            between += [(c, k, n, r[2 * k], r[2 * k + 1]) for k in range(len(probs))]
         else:
             open_columns.append(c)
     if open_columns:
@@ -236,9 +241,37 @@ def quantiles_and_more(df: DataFrame, columns: Sequence[str], probs: Sequence[fl
         long = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
         for r in exact_quantiles(long, "v", probs, ["i"], accuracy).collect():  # one row a column
             out[open_columns[r["i"]]] = [r[f"q{k}"] for k in range(len(probs))]
+    for (c, k, *_), value in zip(between, _between(df, between, probs), strict=True):
+        out[c][k] = value
     return out, {name: row[f"m{i}"] for i, name in enumerate(more)}
 
 
+def _between(df: DataFrame, wanted: Sequence[tuple], probs: Sequence[float]) -> list[float]:
+    """The quantile of each (column, number of the quantile, values, low, high) whose place lies between low and high.
+
+    Only the values between the sides are rows of their own, about ``8 n / accuracy`` of a column and quantile.
+    """
+    if not wanted:
+        return []
+    inside = F.array(*[F.struct(F.lit(i).alias("i"), F.when(present(c).between(low, high), present(c)).alias("v")) for i, (c, _, _, low, high) in enumerate(wanted)])
+    below = df.agg(*[F.count_if(present(c) < low).alias(f"b{i}") for i, (c, _, _, low, _) in enumerate(wanted)]).first()
+    kept = df.select(F.explode(F.filter(inside, lambda x: x["v"].isNotNull())).alias("x")).select("x.*")
+    counts = kept.groupBy("i", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    order = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    place = [(n - 1) * float(probs[k]) for _, k, n, _, _ in wanted]
+    of = lambda numbers: F.get(F.array(*[F.lit(int(x)).cast("long") for x in numbers]), F.col("i"))
+    counts = counts.withColumn("_before", of(below[f"b{i}"] for i in range(len(wanted))) + F.coalesce(F.sum("cnt").over(order), F.lit(0)))
+    holds = lambda at: F.max(F.when((at >= F.col("_before")) & (at < F.col("_before") + F.col("cnt")), F.col("v")))
+    found = {r["i"]: r for r in counts.groupBy("i").agg(holds(of(floor(h) for h in place)).alias("lo"), holds(of(ceil(h) for h in place)).alias("hi")).collect()}
+    out = []
+    for i, h in enumerate(place):
+        r = found.get(i)
+        if r is None or r["lo"] is None or r["hi"] is None:
+            raise ValueError("a quantile lies outside of its range")
+        out.append(r["lo"] if r["lo"] == r["hi"] else r["lo"] + (h - floor(h)) * (r["hi"] - r["lo"]))
+    return out
+
+
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], method: str = "exact") -> DataFrame:
     """(column, q0, q1, ...) of several numeric columns; ``approx`` uses bounded sketches."""
     found = quantile_values(df, columns, probs, method)

@@ -40,20 +40,31 @@ def _cached(spark: SparkSession, sf: str, key: str, build):
     return _memo[k]
 
 
+def _features(spark, sf):
+    i = load_inputs(spark, sf)
+    return _cached(spark, sf, "features", lambda: cut_lineage(X.temporal_features(i.daily_orders, i.external_context, i.master)))
+
+
 def _frames(spark, sf):
-    return _cached(spark, sf, "frames", lambda: TR.model_frames(load_inputs(spark, sf)))
+    return _cached(spark, sf, "frames", lambda: TR.model_frames(load_inputs(spark, sf), feats=_features(spark, sf)))
 
 
-def _quantile_models(spark, sf, label):
-    def build():
+def _quantile_models(spark, sf, *labels):
+    """The models of each label; those that aren't there yet are grown together."""
+    key = lambda label: (spark.sparkContext.applicationId, sf, f"quantile:{label}")
+    missing = [label for label in labels if key(label) not in _memo]
+    if missing:
         ptrain, _, _ = _frames(spark, sf)
-        return Q.fit_quantile_models(ptrain, label, n_rounds=ROUNDS)
-    return _cached(spark, sf, f"quantile:{label}", build)
+        wanted = [(label, a) for label in missing for a in Q.ALPHAS]
+        models = Q.fit_boosts(ptrain, wanted, n_rounds=ROUNDS)
+        for label in missing:
+            _memo[key(label)] = {a: m for (own, a), m in zip(wanted, models, strict=True) if own == label}
+    return [_memo[key(label)] for label in labels]
 
 
 def _quantile_predictions(spark, sf):
     _, ptest, _ = _frames(spark, sf)
-    return _cached(spark, sf, "quantile_predictions", lambda: cut_lineage(Q.quantile_predictions(_quantile_models(spark, sf, "total_orders"), ptest)))
+    return _cached(spark, sf, "quantile_predictions", lambda: cut_lineage(Q.quantile_predictions(_quantile_models(spark, sf, "total_orders")[0], ptest)))
 
 
 def q_prepare_features(spark, sf):
@@ -193,7 +204,7 @@ def q_model_roundtrip(spark, sf):
 def q_quantile_model_roundtrip(spark, sf):
     """S8 for quantile models: saved, loaded back, and compared: every test row's three predictions are the same."""
     _, ptest, _ = _frames(spark, sf)
-    models = _quantile_models(spark, sf, "total_orders")
+    [models] = _quantile_models(spark, sf, "total_orders")
     path = S.versioned_path(S.fresh_scratch(spark, "models"), "quantile")
     Q.save_models(spark, {str(a): m for a, m in models.items()}, path)
     loaded = Q.load_models(spark, path)
@@ -252,15 +263,12 @@ def q_risk_analysis_contract(spark, sf):
 def q_score_batch(spark, sf):
     """API-shaped responses for requests built from the test period's rows."""
     _, ptest, fitted = _frames(spark, sf)
-    i = load_inputs(spark, sf)
-    feats = _cached(spark, sf, "features", lambda: cut_lineage(
-        X.temporal_features(i.daily_orders, i.external_context, i.master)))
+    feats = _features(spark, sf)
     requests = ptest.select(F.col("restaurant_id").cast("string").alias("restaurant_id"),
                             F.date_format("date", "yyyy-MM-dd").alias("date"),
                             F.col("avg_discount").alias("discount"), F.col("promotion_flag").cast("boolean")
                             .alias("promotion_flag"))
-    return TR.score_batch(requests, feats, _quantile_models(spark, sf, "total_orders"),
-                          _quantile_models(spark, sf, "total_revenue"), fitted)
+    return TR.score_batch(requests, feats, *_quantile_models(spark, sf, "total_orders", "total_revenue"), fitted)
 
 
 def q_score_batch_contract(spark, sf):

@@ -32,12 +32,14 @@ def split_features(features: DataFrame, test_size: float = 0.2, mode: str = "tim
     return s.where(F.col("split") == "train").drop("split"), s.where(F.col("split") == "test").drop("split")
 
 
-def model_frames(inputs: Inputs, test_size: float = 0.2, mode: str = "time", medians: str = "own"):
+def model_frames(inputs: Inputs, test_size: float = 0.2, mode: str = "time", medians: str = "own", feats: DataFrame | None = None):
     """Temporal features -> split -> prepared (median-filled, assembled) train and test frames, and the fitted preparation.
 
     ``medians="own"`` fills the test frame with its own medians, as the reference does; ``"train"`` with the training frame's.
+    ``feats``: the stored feature table, where there is one.
     """
-    feats = cut_lineage(X.temporal_features(inputs.daily_orders, inputs.external_context, inputs.master))
+    if feats is None:
+        feats = cut_lineage(X.temporal_features(inputs.daily_orders, inputs.external_context, inputs.master))
     train, test = split_features(feats, test_size, mode)
     stage = FeaturePreparation(inputCols=M.feature_names(train), outputCol=M.FEATURES)
     fitted = stage.fit(train)
