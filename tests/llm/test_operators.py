@@ -405,6 +405,51 @@ def test_fuzzy_lines_short_and_without_blanks(spark):
     assert got == want
 
 
+def test_fuzzy_lines_leave_no_large_tables(spark):
+    """Tables that hold texts, keys or marks go as soon as the next are there; what the result reads stays."""
+    import os
+
+    from paneltide.llm import common
+
+    folder = common.shared_dir(spark).removeprefix("file:") + "/llm"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rnd = random.Random(8)
+    lines = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(rnd.randint(3, 30))) for _ in range(60)]
+    table = spark.createDataFrame([(i, t + "\n" + t + " x") for i, t in enumerate(lines)], "doc_id long, text string")
+    out = fuzzy_lines.dedup_lines(table)
+    kinds = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert "dropped" in kinds and not kinds & {"lines", "classes", "words", "grams", "buckets", "grouped", "forms", "pairs"}
+    assert out.where("n_dropped > 0").count() > 50
+
+
+def test_fuzzy_lines_find_scattered_edits_and_bounds_hold(spark):
+    """Lines with 8% of their letters changed are found if they are short; sums over pieces and letter counts never say more than holds."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
+
+    def edited(line, share):
+        chars = list(line)
+        for k in rnd.sample(range(len(chars)), max(1, int(share * len(chars)))):
+            chars[k] = rnd.choice(["", "q", "zz", " "]) if share > 0.08 else rnd.choice("qrstuvwxyz")
+        return "".join(chars)
+
+    rows = []
+    for _ in range(200):
+        line = " ".join(word() for _ in range(rnd.randint(5, 12)))
+        rows += [(len(rows), line), (len(rows) + 1, edited(line, 0.08))]
+    got = fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["n_dropped"] for r in got) >= 180
+    long = [" ".join(word() for _ in range(rnd.randint(30, 300))) for _ in range(60)]
+    pairs = [(t, edited(t, rnd.choice([0.02, 0.09, 0.11, 0.3]))) for t in long] + [(t, t[40:] + t[:40]) for t in long[:9]] + list(zip(long, long[1:])) + [("", "a"), ("a", "a")]
+    df = spark.createDataFrame(pairs, "x string, y string").withColumn("n", F.greatest(F.length("x"), F.length("y")))
+    df = df.select("n", F.levenshtein("x", "y").alias("d"), fuzzy_lines._most(F.col("n")).alias("most"), fuzzy_lines._piecewise(F.col("x"), F.col("y"), F.greatest("n", F.lit(1)), F.lit(1 << 20)).alias("sum"), fuzzy_lines.similar("x", "y").alias("near"))
+    for r in df.collect():
+        assert (r["sum"] is None or r["sum"] >= r["d"]) and r["near"] == (r["d"] <= r["most"]), r
+    assert df.where("sum is not null and near").count() > 15
+
+
 def test_fingerprint_of_a_long_edited_text(spark):
     """A quarter of 50,000 sentences replaced: 75,000 of the 125,000 in either text are in both."""
     old = "\n".join(f"sentence {i}." for i in range(50_000))
